@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, fingerprints, media, mixing
+from corvane.llm import bpe, chat, fingerprints, media, minhash, mixing, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_bpe": bpe.op2_bpe,
+    "op3_minhash": minhash.op3_minhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op8_warc": warc.op8_warc,
     "op9_media": media.op9_media,
 }
 
-ORACLE_SQL = {"op1_chat_formatting": chat.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
+ORACLE_SQL = {
+    "op1_chat_formatting": chat.OP1_SQL,
+    "op3_minhash": minhash.OP3_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op8_warc": warc.OP8_SQL,
+}
