@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import shuffle_partitions, table, text_of
+from corvane.llm.common import shuffle_partitions, small_batches, table, text_of
 
 
 def canonical(text: str) -> str:
@@ -44,6 +44,7 @@ def _canonical_digest(texts: pd.Series) -> pd.DataFrame:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """The input with the canonical digest (32 hex digits) of each whole text."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, _canonical_digest(text_of(text))["fingerprint"])
 
 
@@ -53,6 +54,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The digest deals the rows; canonical bytes are part of the grouping key, so equal buckets are split by content.
     Aggregation is partial before the shuffle, so a group that holds a third of all rows costs one row per task.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), _canonical_digest(text_of(text)).alias("c")).select("doc_id", "c.*")
     groups = keyed.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return keyed.join(groups, ["fingerprint", "canonical"]).select("doc_id", "fingerprint", "group_id", "group_size")
@@ -66,6 +68,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     the driver. Null ids come first; equal ids are ordered by a hash of the text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = shuffle_partitions(spark)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     cuts = sorted({int(q) for q in keyed.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []

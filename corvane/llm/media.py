@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import slices, table, text_of
+from corvane.llm.common import slices, small_batches, table, text_of
 
 # Fixed values of the transport stream format.
 PACKET, SYNC = 188, 0x47
@@ -174,6 +174,7 @@ def to_media(df: DataFrame, payload: str = "payload") -> DataFrame:
         for b in slices(batches, payload):
             yield _with(b, {"media": pa.array((mux(x or b"") for x in b.column(payload).to_pylist()), pa.binary())}).drop_columns([payload])
 
+    small_batches(df.sparkSession)
     out = _schema(df, media=T.BinaryType())
     return df.mapInArrow(run, T.StructType([f for f in out.fields if f.name != payload]))
 
@@ -192,6 +193,7 @@ def from_media(df: DataFrame, media: str = "media") -> DataFrame:
             payload, pts, points, error = zip(*(one(x) for x in b.column(media).to_pylist()), strict=True)
             yield _with(b, {"payload": pa.array(payload, pa.binary()), "pts": pa.array(pts, pa.list_(pa.int64())), "access_points": pa.array(points, pa.list_(pa.int64())), "error": pa.array(error, pa.string())})
 
+    small_batches(df.sparkSession)
     longs = T.ArrayType(T.LongType())
     return df.mapInArrow(run, _schema(df, payload=T.BinaryType(), pts=longs, access_points=longs, error=T.StringType()))
 
