@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, fingerprints, media, minhash, mixing, warc
+from corvane.llm import bpe, chat, fingerprints, langid, media, minhash, mixing, suffix, toxicity, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_bpe": bpe.op2_bpe,
     "op3_minhash": minhash.op3_minhash,
+    "op4_language_id": langid.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_suffix_array": suffix.op7_suffix_array,
     "op8_warc": warc.op8_warc,
     "op9_media": media.op9_media,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
