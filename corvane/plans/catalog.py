@@ -1,6 +1,528 @@
-"""All registered queries over the driver's tables, and the SQL that says the same."""
+"""All registered queries over the driver's tables, and the SQL that says the same.
+
+Each query calls the operator that a user calls, with a stand-in table in place of the core table.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.functions import text as fn
+from corvane.operators import hierarchy, logs, resolve, search, updates, usages
+from corvane.plans import standins as v
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Common table expressions for the SQL below: the closure of the type tree, and that of the include graph.
+UP = "up(type_id, ancestor_id, depth) AS (SELECT p_partkey, p_partkey // 3, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT type_id, ancestor_id // 3, depth + 1 FROM up WHERE ancestor_id > 0)"
+SELF = "selfup AS (SELECT p_partkey AS type_id, p_partkey AS ancestor_id, 0 AS depth FROM part UNION ALL SELECT * FROM up)"
+
+
+def query(sql: str | None) -> Callable:
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# Hierarchies
+
+
+@query(f"WITH RECURSIVE {UP} SELECT * FROM up")
+def type_ancestors(spark, sf) -> DataFrame:
+    return v.type_ancestors(spark, sf)
+
+
+@query(f"""WITH RECURSIVE {UP}, {SELF} SELECT ancestor_id AS symbol_id, count(DISTINCT l_orderkey) AS n_assets
+FROM lineitem JOIN selfup ON l_partkey = type_id GROUP BY ancestor_id""")
+def usage_with_derived(spark, sf) -> DataFrame:
+    return usages.usage_with_derived(v.asset_refs(spark, sf).withColumnRenamed("target_id", "symbol_id"), v.type_ancestors(spark, sf))
+
+
+@query("""WITH RECURSIVE t(type_id, depth, path) AS (SELECT p_partkey, 1, '1-' || p_partkey FROM part WHERE p_partkey // 3 = 1
+UNION ALL SELECT p_partkey, depth + 1, path || '-' || p_partkey FROM part JOIN t ON p_partkey // 3 = type_id) SELECT * FROM t""")
+def descendants_of_one(spark, sf) -> DataFrame:
+    d = hierarchy.descendants(v.type_ancestors(spark, sf), v.inherits(spark, sf), 1)
+    return d.select("type_id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
+@query(f"WITH RECURSIVE {UP} SELECT ancestor_id, count(*) AS n_total, count(*) FILTER (depth = 1) AS n_direct FROM up GROUP BY ancestor_id")
+def subclass_counts(spark, sf) -> DataFrame:
+    return hierarchy.subclass_counts(v.type_ancestors(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {UP} SELECT ancestor_id, type_id, depth, name, rank FROM (SELECT up.*, p_name AS name,
+row_number() OVER (PARTITION BY ancestor_id ORDER BY depth, p_name, type_id)::INT AS rank FROM up JOIN part ON p_partkey = type_id) WHERE rank <= 20""")
+def capped_descendants(spark, sf) -> DataFrame:
+    names = v.symbols(spark, sf).select(F.col("symbol_id").alias("type_id"), "name")
+    return hierarchy.cap_descendants(v.type_ancestors(spark, sf), names, 20).select("ancestor_id", "type_id", "depth", "name", "rank")
+
+
+@query(f"""WITH RECURSIVE {UP}, {SELF} SELECT ancestor_id AS type_id, o_orderkey AS asset_path,
+CASE WHEN o_custkey <> ancestor_id THEN o_custkey END AS via, CASE WHEN o_custkey <> ancestor_id THEN 'type' END AS via_kind FROM orders JOIN selfup ON o_custkey = type_id""")
+def derived_assets(spark, sf) -> DataFrame:
+    # numbers of assets and of types overlap, so assets get numbers of their own for the walk
+    a = v.assets(spark, sf).withColumn("asset_path", -F.col("asset_path") - 1)
+    d = hierarchy.derived_assets(a, v.type_ancestors(spark, sf))
+    return d.withColumn("asset_path", -F.col("asset_path") - 1)
+
+
+@query(f"""WITH RECURSIVE {UP}, h AS (SELECT f.p_partkey AS function_id, b.p_partkey AS base_id, depth FROM part f JOIN up ON type_id = f.p_partkey JOIN part b ON b.p_partkey = ancestor_id AND b.p_type = f.p_type),
+t AS (SELECT function_id, arg_max(base_id, depth) AS origin_id, count(*) AS n_bases FROM h GROUP BY function_id)
+SELECT p_partkey AS function_id, coalesce(origin_id, p_partkey) AS origin_id, coalesce(n_bases, 0) AS n_bases FROM part LEFT JOIN t ON function_id = p_partkey""")
+def override_origins(spark, sf) -> DataFrame:
+    return hierarchy.override_chain(v.functions(spark, sf), v.type_ancestors(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {UP}, {SELF}, e AS (SELECT p_partkey AS event_id, p_type FROM part WHERE p_size % 2 = 0)
+SELECT DISTINCT event_id, m.p_partkey AS implementer, 'type' AS implementer_kind FROM part m JOIN selfup ON type_id = m.p_partkey JOIN e ON event_id = ancestor_id AND e.p_type = m.p_type WHERE m.p_size % 5 = 0
+UNION ALL SELECT DISTINCT event_id, l_orderkey, 'asset' FROM lineitem JOIN e ON l_partkey = event_id WHERE l_returnflag = 'A'""")
+def event_implementations(spark, sf) -> DataFrame:
+    f = v.functions(spark, sf).join(v.symbols(spark, sf).select(F.col("symbol_id").alias("function_id"), "size"), "function_id")
+    made = f.where("size % 5 = 0").withColumn("name", F.concat("name", F.lit("_Implementation"))).withColumn("is_native_event", F.lit(False))
+    refs = v.asset_refs(spark, sf).withColumn("ref_kind", F.when(F.col("ref_kind") == "A", "implement").otherwise("type"))
+    return hierarchy.event_implementations(f.unionByName(made), v.type_ancestors(spark, sf), refs)
+
+
+@query(f"""WITH RECURSIVE {UP}, s AS (SELECT type_id, p_type, p_partkey AS function_id, p_size, row_number() OVER (PARTITION BY type_id, p_type ORDER BY depth) AS n FROM up JOIN part ON p_partkey = ancestor_id)
+SELECT s.type_id, function_id, function_id AS declared_in, CASE WHEN s.p_size % 2 = 0 THEN s.p_type || '_Implementation' ELSE s.p_type END AS write_as
+FROM s JOIN part own ON own.p_partkey = s.type_id WHERE n = 1 AND s.p_size % 7 <> 0 AND s.p_size % 11 <> 0 AND own.p_type <> s.p_type""")
+def overridable_functions(spark, sf) -> DataFrame:
+    return hierarchy.overridable(v.functions(spark, sf), v.type_ancestors(spark, sf), v.types(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {UP}, {SELF} SELECT type_id, member_id, name, depth, NOT (private AND depth > 0) AS accessible FROM (SELECT type_id, p_partkey AS member_id, p_type AS name, depth, p_size % 3 = 0 AS private,
+row_number() OVER (PARTITION BY type_id, p_type ORDER BY depth) AS n FROM selfup JOIN part ON p_partkey = ancestor_id) WHERE n = 1""")
+def effective_members(spark, sf) -> DataFrame:
+    return hierarchy.effective_members(v.members(spark, sf), v.type_ancestors(spark, sf), v.types(spark, sf))
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0),
+r(path, reached) AS (SELECT a, b FROM e UNION SELECT path, b FROM r JOIN e ON reached = a) SELECT path, reached FROM r WHERE path <> reached""")
+def include_closure(spark, sf) -> DataFrame:
+    return hierarchy.include_closure(v.includes(spark, sf)).select("path", "reached")
+
+
+@query(f"WITH RECURSIVE {UP}, h AS (SELECT p_partkey FROM part WHERE p_name = 'red bolt') SELECT p_partkey AS type_id FROM h UNION SELECT ancestor_id FROM up JOIN h ON type_id = p_partkey")
+def filtered_tree(spark, sf) -> DataFrame:
+    hits = v.symbols(spark, sf).where("name = 'red bolt'").select(F.col("symbol_id").alias("type_id"))
+    return hierarchy.filter_tree(v.type_ancestors(spark, sf), hits)
+
+
+@query(None)
+def wait_cycles(spark, sf) -> DataFrame:
+    """Threads: suppliers; who waits for whom follows from the lines of one number. Tested against brute force."""
+    li = v.table(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity >= 49")
+    return hierarchy.wait_cycles(li.select(F.col("l_suppkey").alias("waiter"), (F.col("l_partkey") % 100).alias("holder")).where("waiter <> holder"))
+
+
+# Resolution
+
+
+@query("SELECT l_orderkey AS asset_path, l_linenumber AS line, l_returnflag AS ref_kind, p_partkey AS target_id, p_name AS name, p_brand AS module FROM lineitem JOIN part ON p_partkey = l_partkey")
+def resolved_refs(spark, sf) -> DataFrame:
+    return resolve.resolve_asset_refs(v.asset_refs(spark, sf), v.symbols(spark, sf)).select("asset_path", "line", "ref_kind", "target_id", "name", "module")
+
+
+@query("""WITH n AS (SELECT l_orderkey AS asset_path, CASE l_partkey % 10 WHEN 1 THEN l_partkey + 2 WHEN 2 THEN l_partkey + 1 ELSE l_partkey END AS k FROM lineitem)
+SELECT asset_path, p_partkey AS target_id, count(*) AS n FROM n JOIN part ON p_partkey = k GROUP BY ALL""")
+def redirected_refs(spark, sf) -> DataFrame:
+    return resolve.resolve_asset_refs(v.asset_refs(spark, sf), v.symbols(spark, sf), v.redirects(spark, sf)).groupBy("asset_path", "target_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45)
+SELECT n.p_name AS target_name, count(*) AS n_matches, count(DISTINCT l_orderkey) AS n_assets FROM n JOIN part p ON p.p_name = n.p_name GROUP BY n.p_name""")
+def property_matches(spark, sf) -> DataFrame:
+    names = v.table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("asset_path"), F.col("l_partkey").alias("symbol_id")).join(v.symbols(spark, sf), "symbol_id")
+    hits = resolve.match_property_names(names.select("asset_path", F.col("name").alias("target_name")), v.symbols(spark, sf))
+    return hits.groupBy("target_name").agg(F.count("*").alias("n_matches"), F.count_distinct("asset_path").alias("n_assets"))
+
+
+@query("""WITH w AS (SELECT DISTINCT 'Old' || p_brand AS old_module, p_name FROM part WHERE p_size % 2 = 0), s AS (SELECT DISTINCT p_brand, p_name FROM part),
+n AS (SELECT old_module, p_brand AS new_module, count(*) AS n_classes FROM w JOIN s USING (p_name) GROUP BY ALL)
+SELECT old_module, new_module, n_classes FROM (SELECT *, row_number() OVER (PARTITION BY old_module ORDER BY n_classes DESC, new_module) AS r FROM n) WHERE r = 1""")
+def module_aliases(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf)
+    refs = s.where("size % 2 = 0").select(F.concat(F.lit("Old"), "module").alias("target_module"), F.col("name").alias("target_name"))
+    return resolve.detect_module_aliases(refs, s)
+
+
+@query("SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def unused_api(spark, sf) -> DataFrame:
+    refs = v.table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("target_id"))
+    return resolve.unused_api(v.symbols(spark, sf), refs).select("symbol_id", "name")
+
+
+@query("SELECT c_custkey AS container_id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_definitions(spark, sf) -> DataFrame:
+    c = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("container_id"), F.col("c_name").alias("name"))
+    done = v.table(spark, sf, "orders").select(F.col("o_custkey").alias("container_id")).join(c, "container_id")
+    return resolve.missing_definitions(c, done)
+
+
+@query(f"""WITH RECURSIVE {UP}, {SELF} SELECT p.p_partkey AS type_id, p.p_name AS value FROM part p WHERE NOT EXISTS
+(SELECT 1 FROM selfup JOIN part b ON b.p_partkey = ancestor_id WHERE type_id = p.p_partkey AND b.p_type = split_part(upper(p.p_name), ' ', 1))""")
+def missing_specifier_targets(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf)
+    values = s.select(F.col("symbol_id").alias("type_id"), F.upper(F.split("name", " ")[0]).alias("value"), F.col("name").alias("shown"))
+    gone = resolve.missing_specifier_targets(values, v.functions(spark, sf).select("type_id", "name"), v.type_ancestors(spark, sf))
+    return gone.select("type_id", F.col("shown").alias("value"))
+
+
+@query(f"""WITH RECURSIVE {UP}, {SELF}, m AS (SELECT DISTINCT type_id, p_type FROM selfup JOIN part ON p_partkey = ancestor_id)
+SELECT l_orderkey AS path, l_linenumber AS line, l_partkey AS receiver_type, u.p_type AS name FROM lineitem JOIN part u ON u.p_partkey = l_suppkey
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.type_id = l_partkey AND m.p_type = u.p_type)""")
+def missing_members(spark, sf) -> DataFrame:
+    li = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("receiver_type"), F.col("l_suppkey").alias("symbol_id"))
+    uses = li.join(v.symbols(spark, sf).select("symbol_id", F.col("kind").alias("name")), "symbol_id").drop("symbol_id")
+    m = hierarchy.effective_members(v.members(spark, sf), v.type_ancestors(spark, sf), v.types(spark, sf))
+    return resolve.missing_members(uses, m).select("path", "line", "receiver_type", "name")
+
+
+@query("""WITH o AS (SELECT l_partkey, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT l_orderkey AS path, l_linenumber AS line, l_partkey AS callee, l_quantity::INT AS argc FROM lineitem JOIN o USING (l_partkey) WHERE l_returnflag <> 'A' AND l_quantity NOT BETWEEN lo AND hi""")
+def bad_arity(spark, sf) -> DataFrame:
+    li = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("callee"), F.col("l_quantity").cast("int").alias("argc"), "l_returnflag")
+    told = usages.arity_ranges(li.where("l_returnflag = 'A'").select("callee", F.col("argc").alias("min_args"), F.col("argc").alias("max_args")))
+    return resolve.bad_arity(li.where("l_returnflag <> 'A'").drop("l_returnflag"), told)
+
+
+@query(f"""WITH RECURSIVE {UP} SELECT l_orderkey AS use_id, l_suppkey AS from_type, l_partkey AS symbol_id, count(*) AS n,
+bool_and(m.p_size % 3 = 2 OR l_suppkey = l_partkey OR (m.p_size % 3 = 1 AND up.type_id IS NOT NULL) OR m.p_brand = f.p_brand) AS accessible
+FROM lineitem JOIN part m ON m.p_partkey = l_partkey JOIN part f ON f.p_partkey = l_suppkey LEFT JOIN up ON up.type_id = l_suppkey AND up.ancestor_id = l_partkey GROUP BY ALL""")
+def access_checks(spark, sf) -> DataFrame:
+    uses = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("use_id"), F.col("l_suppkey").alias("from_type"), F.col("l_partkey").alias("symbol_id"))
+    m = v.members(spark, sf).select(F.col("member_id").alias("symbol_id"), F.col("type_id").alias("owner"), "access")
+    brand = v.symbols(spark, sf).select("symbol_id", "module")
+    pairs = uses.select(F.col("symbol_id").alias("owner"), "from_type").distinct()
+    friends = pairs.join(brand.toDF("owner", "module"), "owner").join(brand.toDF("from_type", "module"), ["from_type", "module"])
+    return resolve.access_checks(uses, m, v.type_ancestors(spark, sf), friends).groupBy("use_id", "from_type", "symbol_id").agg(F.count("*").alias("n"), F.bool_and("accessible").alias("accessible"))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS dir, regexp_extract(url, '^https?://([^/]+)', 1) AS module FROM pages),
+g AS (SELECT dir, module FROM f UNION SELECT dir || '/en', module || ':en' FROM f)
+SELECT page_id, arg_max(module, length(dir)) AS module FROM pages JOIN g ON starts_with(regexp_replace(url, '/[^/]*$', '') || '/', dir || '/') GROUP BY page_id""")
+def page_modules(spark, sf) -> DataFrame:
+    p = v.table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
+    host = p.select(F.regexp_extract("path", "^(https?://[^/]+)", 1).alias("dir"), F.regexp_extract("path", "^https?://([^/]+)", 1).alias("module")).distinct()
+    folders = host.unionByName(host.select(F.concat("dir", F.lit("/en")).alias("dir"), F.concat("module", F.lit(":en")).alias("module")))
+    return resolve.assign_module(p, folders).select("page_id", "module")
+
+
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + floor(value)::BIGINT * 3600000000 AS b, event_id FROM events WHERE event_type = 'view'),
+p AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events WHERE event_type = 'purchase')
+SELECT p.event_id AS point_id, arg_max(s.event_id, a) AS scope_id FROM p JOIN s ON p.user_id = s.user_id AND t BETWEEN a AND b GROUP BY p.event_id""")
+def enclosing_scopes(spark, sf) -> DataFrame:
+    return resolve.enclosing_scope(v.points(spark, sf), v.scopes(spark, sf), 24 * v.HOUR).select("point_id", "scope_id")
+
+
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + floor(value)::BIGINT * 3600000000 AS b, event_type || '-' || event_id AS g FROM events WHERE event_type = 'click'),
+p AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events WHERE event_type = 'signup')
+SELECT event_id AS symbol_id, arg_max(g, a) AS guard FROM p LEFT JOIN s ON p.user_id = s.user_id AND t BETWEEN a AND b GROUP BY event_id""")
+def guards(spark, sf) -> DataFrame:
+    e = v.events(spark, sf).withColumn("line", F.unix_micros("ts")).withColumnRenamed("user_id", "path")
+    g = e.where("event_type = 'click'").select("path", "line", (F.col("line") + F.floor("value") * v.HOUR).alias("end_line"), F.concat_ws("-", "event_type", F.col("event_id").cast("string")).alias("guard"))
+    return resolve.guard_of(e.where("event_type = 'signup'").select(F.col("event_id").alias("symbol_id"), "path", "line"), g, 24 * v.HOUR).select("symbol_id", "guard")
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand, 'Brand#' || p_size AS dep FROM part)
+SELECT c.p_brand AS module, q.p_brand AS needs, count(DISTINCT c.p_partkey) AS n_types FROM part c JOIN part q ON q.p_partkey = c.p_partkey // 3
+WHERE c.p_partkey > 0 AND c.p_brand <> q.p_brand AND NOT EXISTS (SELECT 1 FROM d WHERE d.p_brand = c.p_brand AND d.dep = q.p_brand) GROUP BY ALL""")
+def missing_module_deps(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf)
+    deps = s.groupBy("module").agg(F.collect_set(F.concat(F.lit("Brand#"), F.col("size").cast("string"))).alias("deps"))
+    return resolve.missing_module_deps(v.inherits(spark, sf), s.select(F.col("symbol_id").alias("type_id"), "module"), deps)
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), u AS (SELECT DISTINCT l_suppkey AS path, l_partkey AS name FROM lineitem)
+SELECT path, name, name AS header FROM u WHERE path <> name AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = path AND r.b = name)
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 100 = path AND o_custkey = name)""")
+def missing_includes(spark, sf) -> DataFrame:
+    uses = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("name"))
+    seen = hierarchy.include_closure(v.includes(spark, sf), uses.select("path"))
+    headers = v.symbols(spark, sf).select(F.col("symbol_id").alias("name"), F.col("symbol_id").alias("header"))
+    forward = v.table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("path"), F.col("o_custkey").alias("name"))
+    return resolve.missing_includes(uses, headers, seen, forward)
+
+
+@query("""SELECT h.event_id AS hang_id, h.user_id AS session, (SELECT arg_max(o.event_type || '-' || o.event_id, o.ts) FROM events o WHERE o.event_type IN ('click', 'view') AND o.user_id = h.user_id AND o.ts <= h.ts) AS op
+FROM events h WHERE h.event_type = 'error'""")
+def attributed_hangs(spark, sf) -> DataFrame:
+    e = v.events(spark, sf).withColumnRenamed("user_id", "session")
+    ops = e.where("event_type in ('click', 'view')").select("session", "ts", F.concat_ws("-", "event_type", F.col("event_id").cast("string")).alias("op"))
+    return resolve.attribute_hangs(e.where("event_type = 'error'").select("session", "ts", F.col("event_id").alias("hang_id")), ops).select("hang_id", "session", "op")
+
+
+@query("""WITH f AS (SELECT 'd' || p_size || '/' || p_name AS path FROM part), i AS (SELECT o_orderkey AS path, (o_orderkey % 7)::INT AS line, p_name AS target_text FROM orders JOIN part ON p_partkey = o_custkey),
+t AS (SELECT i.*, pos, 'd' || ((path + pos * 3) % 50) || '/' || target_text AS r FROM i, (VALUES (0), (1), (2), (3)) p(pos))
+SELECT path, line, target_text, arg_min(r, pos) FILTER (r IN (SELECT path FROM f)) AS resolved_path FROM t GROUP BY path, line, target_text""")
+def resolved_includes(spark, sf) -> DataFrame:
+    files = v.symbols(spark, sf).select(F.concat(F.lit("d"), F.col("size").cast("string"), F.lit("/"), "name").alias("path"))
+    o = v.assets(spark, sf).withColumnRenamed("asset_path", "path")
+    inc = o.join(v.symbols(spark, sf).withColumnRenamed("symbol_id", "parent_path"), "parent_path").select("path", (F.col("path") % 7).cast("int").alias("line"), F.col("name").alias("target_text"))
+    dirs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("d"), ((F.col("path") + i * 3) % 50).cast("string")))
+    return resolve.resolve_includes(inc, o.select(F.col("path").alias("file"), dirs.alias("include_paths")), files)
+
+
+@query("SELECT p_partkey AS symbol_id, p_brand AS module FROM part WHERE length(p_brand) = 7 OR p_brand IN (SELECT 'Brand#1' || r_regionkey FROM region)")
+def available_types(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf)
+    modules = s.select("module", F.when(F.length("module") > 7, F.col("module")).alias("plugin")).distinct()
+    on = v.table(spark, sf, "region").select(F.concat(F.lit("Brand#1"), F.col("r_regionkey").cast("string")).alias("plugin"))
+    return resolve.available_types(s, modules, on).select("symbol_id", "module")
+
+
+# Usages and summaries
+
+
+@query("SELECT l_partkey AS symbol_id, count(DISTINCT l_orderkey) AS n_assets FROM lineitem GROUP BY 1")
+def usage_counts(spark, sf) -> DataFrame:
+    return usages.usage_counts(v.asset_refs(spark, sf).withColumnRenamed("target_id", "symbol_id"))
+
+
+@query("SELECT l_partkey AS symbol_id, " + ", ".join(f"count(DISTINCT CASE WHEN l_returnflag = '{k}' THEN l_orderkey END) AS \"{k}\"" for k in "ANR") + " FROM lineitem GROUP BY 1")
+def usage_matrix(spark, sf) -> DataFrame:
+    return usages.usage_matrix(v.asset_refs(spark, sf).withColumnRenamed("target_id", "symbol_id"), ["A", "N", "R"])
+
+
+@query("SELECT p_brand AS module, l_returnflag AS ref_kind, count(*) AS n_refs, count(DISTINCT l_orderkey) AS n_assets FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ROLLUP (p_brand, l_returnflag)")
+def index_summary(spark, sf) -> DataFrame:
+    return usages.index_summary(resolve.resolve_asset_refs(v.asset_refs(spark, sf), v.symbols(spark, sf)))
+
+
+@query("SELECT o_custkey AS parent_path, count(*) AS n_assets, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS assets FROM orders GROUP BY 1")
+def assets_by_parent(spark, sf) -> DataFrame:
+    return usages.assets_by_parent(v.assets(spark, sf)).withColumn("assets", F.array_join(F.transform("assets", lambda x: x.cast("string")), ","))
+
+
+@query("SELECT 'lang' AS key, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY ALL")
+def specifier_values(spark, sf) -> DataFrame:
+    d = v.table(spark, sf, "documents").select(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("meta"))
+    return usages.specifier_values(d).where("value is not null")
+
+
+@query("SELECT p_brand AS module, p_type AS kind, count(*) AS n_symbols FROM part GROUP BY ALL")
+def module_overview(spark, sf) -> DataFrame:
+    return usages.module_overview(v.symbols(spark, sf))
+
+
+@query("SELECT source AS asset_path, lang AS text_kind, count(*) AS n_hits FROM documents WHERE contains(lower(text), 'the') GROUP BY ALL")
+def search_summary(spark, sf) -> DataFrame:
+    hits = search.search_text(v.asset_texts(spark, sf), "The")
+    return usages.search_summary(hits.withColumn("asset_path", F.col("asset_kind")))
+
+
+@query("SELECT l_partkey AS callee, min(l_linenumber) AS min_args, max(l_quantity::INT) AS max_args FROM lineitem GROUP BY 1")
+def arity_ranges(spark, sf) -> DataFrame:
+    return usages.arity_ranges(v.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("callee"), F.col("l_linenumber").alias("min_args"), F.col("l_quantity").cast("int").alias("max_args")))
+
+
+@query("""SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, 0 AS col, l_partkey AS symbol_id FROM lineitem WHERE l_returnflag IN ('A', 'N')
+UNION SELECT l_orderkey, l_linenumber, 0, p_partkey FROM lineitem JOIN part ON p_size = l_suppkey AND p_partkey % 20 = 0 WHERE l_returnflag = 'R'""")
+def all_usages(spark, sf) -> DataFrame:
+    u = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.lit(0).alias("col"), F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("macro_id"), "l_returnflag")
+    bodies = v.symbols(spark, sf).where("symbol_id % 20 = 0").select(F.col("size").cast("long").alias("macro_id"), "symbol_id")
+    return usages.find_usages(u.where("l_returnflag = 'A'"), u.where("l_returnflag = 'N'"), usages.macro_body_uses(u.where("l_returnflag = 'R'"), bodies))
+
+
+@query("SELECT l_returnflag AS use_kind, l_partkey % 5 = 0 AS uncertain, count(*) AS n, (l_partkey % 5 = 0)::INT AS list_order FROM lineitem GROUP BY ALL")
+def uncertain_uses(spark, sf) -> DataFrame:
+    u = v.asset_refs(spark, sf).withColumn("receiver_type", F.when(F.col("target_id") % 5 != 0, F.col("target_id")))
+    return usages.split_uncertain(u).groupBy(F.col("ref_kind").alias("use_kind"), "uncertain", "list_order").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_type AS macro, w AS specifier, count(*) AS n FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w, p_size FROM part) WHERE (p_type, w) NOT IN
+(SELECT p_type, split_part(p_name, ' ', 1) FROM part WHERE p_size >= 25) GROUP BY ALL""")
+def unknown_specifiers(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf)
+    used = s.select("symbol_id", F.col("kind").alias("macro"), F.explode(F.split("name", " ")).alias("specifier"))
+    return usages.unknown_specifiers(used, s.where("size >= 25").select(F.col("kind").alias("macro"), F.split("name", " ")[0].alias("specifier")))
+
+
+@query("SELECT p_partkey AS symbol_id, split_part(p_name, ' ', 1) AS specifier, split_part(p_name, ' ', 2) AS conflicts FROM part WHERE split_part(p_name, ' ', 1) IN ('red', 'small') AND split_part(p_name, ' ', 2) IN ('bolt', 'gear')")
+def conflicting_specifiers(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf)
+    used = s.select("symbol_id", F.col("kind").alias("macro"), F.explode(F.split("name", " ")).alias("specifier"))
+    rules = s.select(F.col("kind").alias("macro")).distinct().withColumn("specifier", F.explode(F.array(F.lit("red"), F.lit("small")))).withColumn("conflicts_with", F.array(F.lit("bolt"), F.lit("gear")))
+    return usages.conflicting_specifiers(used, rules).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+@query("SELECT DISTINCT n_name AS project, 'r' || n_regionkey || '/Plugins' AS root FROM nation UNION SELECT n_name, 'extra/' || r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def plugin_roots(spark, sf) -> DataFrame:
+    n = v.table(spark, sf, "nation").join(v.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return usages.plugin_roots(n.select(F.col("n_name").alias("project"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dir"), F.array(F.concat(F.lit("extra/"), "r_name")).alias("additional_plugin_directories")))
+
+
+# Search
+
+
+@query("SELECT doc_id AS asset_path, source AS asset_kind, lang AS text_kind FROM documents WHERE contains(lower(text), 'that') AND source NOT IN ('src1', 'src2')")
+def text_search(spark, sf) -> DataFrame:
+    t = v.asset_texts(spark, sf).withColumn("is_name", F.lit(False)).withColumn("is_editor_cache", F.lit(False))
+    return search.search_text(search.scope_texts(t, media_kinds=["src1", "src2"]), "That").select("asset_path", "asset_kind", "text_kind")
+
+
+@query("SELECT doc_id AS asset_path FROM documents WHERE contains(text, 'The')")
+def text_search_case(spark, sf) -> DataFrame:
+    return search.search_text(v.asset_texts(spark, sf), "The", match_case=True).select("asset_path")
+
+
+@query(r"SELECT doc_id AS asset_path FROM documents WHERE regexp_matches(lower(text), '(^|[^0-9a-z_])with($|[^0-9a-z_])')")
+def text_search_word(spark, sf) -> DataFrame:
+    return search.search_text(v.asset_texts(spark, sf), "With", whole_word=True).select("asset_path")
+
+
+@query(r"SELECT doc_id AS asset_path FROM documents WHERE regexp_matches(text, '(^|[^0-9A-Za-z_])And($|[^0-9A-Za-z_])')")
+def text_search_case_word(spark, sf) -> DataFrame:
+    return search.search_text(v.asset_texts(spark, sf), "And", match_case=True, whole_word=True).select("asset_path")
+
+
+@query("SELECT doc_id AS asset_path, source AS asset_kind FROM documents WHERE contains(lower(text), 'license') AND (lang <> 'en' OR lang IS NULL) AND source <> 'src3' AND doc_id % 2 = 1")
+def text_search_scopes(spark, sf) -> DataFrame:
+    """Names are texts of one language, editor caches those of even numbers."""
+    t = v.asset_texts(spark, sf).withColumn("is_name", F.coalesce(F.col("text_kind") == "en", F.lit(False))).withColumn("is_editor_cache", F.col("asset_path") % 2 == 0)
+    return search.search_text(search.scope_texts(t, media_kinds=["src3"]), "license").select("asset_path", "asset_kind")
+
+
+@query("SELECT n_nationkey::BIGINT AS query_id, count(*) AS n FROM documents JOIN (SELECT n_nationkey, substr('theionandouingerasth', (n_nationkey % 15) + 1, 5) AS q FROM nation) ON contains(lower(text), q) GROUP BY 1")
+def text_search_table(spark, sf) -> DataFrame:
+    q = v.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.substring(F.lit("theionandouingerasth"), F.col("n_nationkey") % 15 + 1, F.lit(5)).alias("query"))
+    return search.search_text(v.asset_texts(spark, sf).select("text"), q).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE p_type IN ('SMALL', 'LARGE') AND p_brand = 'Brand#7'")
+def symbols_of_container(spark, sf) -> DataFrame:
+    return search.symbol_filter(v.symbols(spark, sf).withColumnRenamed("module", "container"), ["SMALL", "LARGE"], "Brand#7").select("symbol_id", "name")
+
+
+@query("SELECT p_partkey AS symbol_id FROM part WHERE p_brand <> 'Brand#1'")
+def symbols_without_engine(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf).withColumn("scope", F.when(F.col("module") == "Brand#1", "engine").otherwise("project"))
+    return search.scope_filter(s, include_engine=False).select("symbol_id")
+
+
+RANK = """WITH q AS (SELECT n_nationkey::BIGINT AS query_id, p_name AS query FROM nation JOIN part ON p_partkey = n_nationkey), w AS (SELECT DISTINCT query_id, unnest(string_split(query, ' ')) AS w FROM q),
+h AS (SELECT query_id, p_partkey, p_name, CASE WHEN p_name = w THEN 0 WHEN starts_with(p_name, w) THEN 1 {inside} END AS r FROM part, w),
+g AS (SELECT query_id, p_partkey AS symbol_id, p_name AS name, count(*) AS n_words, sum(r) AS s FROM h WHERE r IS NOT NULL GROUP BY ALL)
+SELECT query_id, rank, symbol_id, name, n_words FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_words DESC, s, length(name), name, symbol_id)::INT AS rank FROM g) WHERE rank <= 20"""
+
+
+@query(RANK.format(inside="WHEN contains(p_name, w) THEN 3"))
+def symbol_search_plain(spark, sf) -> DataFrame:
+    return search.search_symbols(v.symbols(spark, sf), _name_queries(spark, sf), 20, fuzzy=False)
+
+
+@query(RANK.format(inside="""WHEN contains(p_name, w) THEN 3 WHEN regexp_matches(p_name, array_to_string(regexp_extract_all(w, '.'), '.*')) THEN 4
+WHEN list_min(list_transform(string_split(p_name, ' '), lambda x: levenshtein(x, w))) <= CASE WHEN length(w) <= 8 THEN 1 ELSE 2 END THEN 5"""))
+def symbol_search_fuzzy(spark, sf) -> DataFrame:
+    return search.search_symbols(v.symbols(spark, sf), _name_queries(spark, sf), 20)
+
+
+def _name_queries(spark, sf) -> DataFrame:
+    n = v.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"))
+    return n.join(v.symbols(spark, sf).select(F.col("symbol_id").alias("query_id"), F.col("name").alias("query")), "query_id")
+
+
+@query("SELECT p_partkey AS symbol_id, upper(substr(p_name, 1, 1)) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) AS initials, regexp_matches(p_name, 's.*b') AS subsequence, "
+       "list_min(list_transform(string_split(p_name, ' '), lambda x: levenshtein(x, 'widgt'))) <= 1 AS typo FROM part")
+def fuzzy_names(spark, sf) -> DataFrame:
+    name = F.initcap("name")
+    return v.symbols(spark, sf).select("symbol_id", fn.initials(name).alias("initials"), fn.subsequence("name", "sb").alias("subsequence"), fn.typo("name", "widgt").alias("typo"))
+
+
+# Logs
+
+
+@query("""SELECT session, epoch_us(ts) AS ts_us, (gap / 1000000.0)::DOUBLE AS seconds FROM (SELECT user_id AS session, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) WHERE gap > 43200000000""")
+def hangs(spark, sf) -> DataFrame:
+    return logs.detect_hangs(v.heartbeats(spark, sf), 12 * 3600).select("session", F.unix_micros("ts").alias("ts_us"), "seconds")
+
+
+@query("""WITH h AS (SELECT user_id AS session, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts)) / 1000000 / 3600 AS hours FROM events)
+SELECT session, r AS report_at, count(*) AS n FROM h, (VALUES (5), (15), (60), (300)) v(r) WHERE hours > 1 AND r <= hours GROUP BY ALL""")
+def hang_reports(spark, sf) -> DataFrame:
+    h = logs.detect_hangs(v.heartbeats(spark, sf), 3600).withColumn("seconds", F.col("seconds") / 3600)
+    return logs.hang_reports(h).groupBy("session", "report_at").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT event_type, user_id, epoch_us(max(ts)) AS last_us FROM events GROUP BY event_type, user_id)
+SELECT event_type, user_id, last_us FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY last_us DESC, user_id DESC) <= 5""")
+def retained_sessions(spark, sf) -> DataFrame:
+    s = v.events(spark, sf).groupBy("event_type", "user_id").agg(F.unix_micros(F.max("ts")).alias("last_us"))
+    return logs.retain_sessions(s, 5, ("event_type",), ("last_us", "user_id"))
+
+
+@query("SELECT conv_id AS session, turn AS n, bytes_so_far FROM (SELECT conv_id, turn, sum(coalesce(octet_length(encode(text)), 0) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS bytes_so_far FROM conversations) WHERE bytes_so_far <= 2000")
+def capped_logs(spark, sf) -> DataFrame:
+    c = v.table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("n"), F.col("text").alias("message"))
+    return logs.cap_log(c, 2000).select("session", "n", "bytes_so_far")
+
+
+@query(None)
+def memory_steps(spark, sf) -> DataFrame:
+    """Values as gigabytes. Tested against a plain loop."""
+    s = v.events(spark, sf).select(F.col("user_id").alias("session"), "ts", (F.col("value") * logs.GIGABYTE / 10).cast("long").alias("bytes"))
+    return logs.memory_steps(s).select("session", F.unix_micros("ts").alias("ts_us"), "bytes")
+
+
+@query("""WITH o AS (SELECT user_id AS session, count(*) AS n_ops, count(*) FILTER (floor(value * 100)::BIGINT >= 300) AS n_slow, max(floor(value * 100)::BIGINT) AS slowest_ms FROM events WHERE event_type <> 'error' GROUP BY 1),
+h AS (SELECT session, count(*) AS n_hangs, max(g) AS longest_hang FROM (SELECT user_id AS session, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts)) / 1000000.0::DOUBLE AS g FROM events) WHERE g > 43200 GROUP BY 1)
+SELECT coalesce(o.session, h.session) AS session, coalesce(n_ops, 0) AS n_ops, coalesce(n_slow, 0) AS n_slow, slowest_ms, coalesce(n_hangs, 0) AS n_hangs, longest_hang FROM o FULL JOIN h ON o.session = h.session""")
+def log_summary(spark, sf) -> DataFrame:
+    e = v.events(spark, sf).withColumnRenamed("user_id", "session")
+    ops = e.where("event_type <> 'error'").select("session", F.floor(F.col("value") * 100).alias("ms"))
+    return logs.log_summary(ops, logs.detect_hangs(e, 12 * 3600))
+
+
+@query("SELECT user_id AS session, max((value * 100)::BIGINT) AS heap_bytes, max((value * 100)::BIGINT + 7) AS working_set_bytes FROM events WHERE event_type = 'view' GROUP BY 1")
+def build_memory(spark, sf) -> DataFrame:
+    n = F.round(F.col("value") * 100).cast("long")
+    lines = v.events(spark, sf).where("event_type = 'view'").select(F.col("user_id").alias("session"), F.concat(F.lit("memory: heap="), n.cast("string"), F.lit(" working set="), (n + 7).cast("string")).alias("message"))
+    return logs.build_memory(lines)
+
+
+@query("""SELECT conv_id AS type_id, turn AS function_id, last_value(CASE WHEN role = 'assistant' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_line,
+first_value(CASE WHEN role = 'assistant' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS before_line FROM conversations QUALIFY role <> 'assistant'""")
+def implementation_plan(spark, sf) -> DataFrame:
+    c = v.table(spark, sf, "conversations").select(F.col("conv_id").alias("type_id"), F.col("turn").alias("function_id"), F.col("turn").alias("line"), F.when(F.col("role") == "assistant", F.col("turn")).alias("def_line"))
+    return logs.implementation_plan(c)
+
+
+@query("SELECT conv_id AS path, turn AS line, role AS symbol_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role)::INT AS outline_pos FROM conversations")
+def outlines(spark, sf) -> DataFrame:
+    return logs.outline(v.table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.col("role").alias("symbol_id")))
+
+
+# Index updates
+
+
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || ' ' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id
+WHERE a.h IS DISTINCT FROM b.h""")
+def index_changes(spark, sf) -> DataFrame:
+    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
+    old = d.where("path % 7 <> 0").select("path", F.md5("text").alias("content_hash"))
+    new = d.where("path % 11 <> 0").select("path", F.md5(F.when(F.col("path") % 5 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("content_hash"))
+    return updates.diff_index(new, old)
+
+
+@query("""SELECT doc_id AS path, coalesce(length(b.text), length(d.text))::BIGINT AS n, b.doc_id2 IS NOT NULL AS unsaved FROM documents d
+LEFT JOIN (SELECT doc_id AS doc_id2, text || '!' AS text FROM documents WHERE doc_id % 3 = 0) b ON doc_id = doc_id2""")
+def overlaid_files(spark, sf) -> DataFrame:
+    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    buffers = d.where("path % 3 = 0").withColumn("content", F.concat("content", F.lit("!")))
+    return updates.overlay(d, buffers).select("path", F.length("content").cast("long").alias("n"), "unsaved")
+
+
+@query("""SELECT conv_id AS path, count(*) AS n_declarations FROM conversations GROUP BY 1""")
+def declaration_fingerprints(spark, sf) -> DataFrame:
+    c = v.table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.concat_ws(":", "role", "text").alias("declaration"))
+    return updates.declaration_fingerprints(c).select("path", "n_declarations")
