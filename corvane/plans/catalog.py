@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
-from corvane.operators import hierarchy, logs, resolve, search, updates, usages
+from corvane.operators import extract, hierarchy, inspections, logs, resolve, search, updates, usages
 from corvane.plans import standins as v
+from corvane.sources import readers
+from corvane.streaming import jobs
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -526,3 +528,128 @@ def overlaid_files(spark, sf) -> DataFrame:
 def declaration_fingerprints(spark, sf) -> DataFrame:
     c = v.table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.concat_ws(":", "role", "text").alias("declaration"))
     return updates.declaration_fingerprints(c).select("path", "n_declarations")
+
+
+# Extraction and sources
+
+
+@query("SELECT p_partkey AS line, unnest(['Get' || w, 'Set' || w, 'Init' || w, 'Get' || w || 'Attribute']) AS name, p_brand AS container FROM (SELECT p_partkey, p_brand, split_part(p_name, ' ', 2) AS w FROM part)")
+def generated_names(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf).select(F.lit("x").alias("path"), F.col("symbol_id").alias("line"), F.lit("ATTRIBUTE_ACCESSORS").alias("macro"), F.array("module", F.split("name", " ")[1]).alias("args"))
+    return extract.expand_generated_names(s).select("line", "name", "container")
+
+
+@query("""SELECT p_partkey AS symbol_id, p_brand AS container_id, p_name || s AS name FROM part, (VALUES ('_Implementation'), ('_Validate')) x(s)
+WHERE p_size % 9 <> 0 AND ((s = '_Implementation' AND p_type IN ('SMALL', 'LARGE', 'PROMO')) OR (s = '_Validate' AND p_type = 'LARGE'))""")
+def expected_definitions(spark, sf) -> DataFrame:
+    spec = F.when(F.col("kind") == "SMALL", F.array(F.lit("BlueprintNativeEvent"))).when(F.col("kind") == "LARGE", F.array(F.lit("Server"), F.lit("WithValidation"))).when(F.col("kind") == "PROMO", F.array(F.lit("Client"))).otherwise(F.array().cast("array<string>"))
+    s = v.symbols(spark, sf).select("symbol_id", F.col("module").alias("container_id"), "name", spec.alias("specifiers"), (F.col("size") % 9 == 0).alias("is_pure"), F.lit(False).alias("in_interface"))
+    return extract.expected_definitions(s)
+
+
+@query("""SELECT '/m/' || p_brand || '/Public/u' || p_partkey || '.h' AS header, '/m/' || p_brand || '/Private/u' || p_partkey || '.cpp' AS source FROM part WHERE p_size % 2 = 0""")
+def header_pairs(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf)
+    at = lambda folder, end: F.concat(F.lit("/m/"), "module", F.lit(f"/{folder}/u"), F.col("symbol_id").cast("string"), F.lit(end)).alias("path")
+    return extract.pair_header_source(s.select(at("Public", ".h")).unionByName(s.where("size % 2 = 0").select(at("Private", ".cpp"))))
+
+
+@query("SELECT p_partkey AS symbol_id, 'u/' || p_name || '.h' AS include_text, CASE WHEN p_type IN ('SMALL', 'STANDARD') THEN NULL ELSE substr(p_type, 1, 1) END AS prefix FROM part WHERE p_type <> 'MEDIUM'")
+def include_texts(spark, sf) -> DataFrame:
+    s = v.symbols(spark, sf).where("kind <> 'MEDIUM'")
+    path = F.concat(F.lit("/engine/"), "module", F.lit("/Public/u/"), "name", F.lit(".h"))
+    kind = F.when(F.col("kind").isin("ECONOMY"), "EConomy").when(F.col("kind") == "LARGE", "large").when(F.col("kind") == "PROMO", "promo").otherwise("none")
+    found = fn.name_prefix(F.when(F.col("kind").isin("LARGE", "PROMO", "ECONOMY"), F.col("kind")))
+    return s.select("symbol_id", fn.include_text(path).alias("include_text"), F.when(F.col("kind").isin("SMALL", "STANDARD"), None).otherwise(F.coalesce(found, F.substring("kind", 1, 1))).alias("prefix")).drop(kind)
+
+
+@query("SELECT doc_id, len(regexp_extract_all(replace(text, '%%', ''), '%')) AS arity FROM documents WHERE contains(text, '%')")
+def format_arities(spark, sf) -> DataFrame:
+    return v.table(spark, sf, "documents").where(F.contains("text", F.lit("%"))).select("doc_id", fn.format_arity("text").cast("long").alias("arity"))
+
+
+@query(r'''SELECT page_id AS path, len(regexp_extract_all(html, 'href="[^"]*"')) AS n FROM pages''')
+def page_links(spark, sf) -> DataFrame:
+    p = v.table(spark, sf, "pages")
+    files = p.select(F.col("page_id").alias("path"), F.regexp_replace("html", r'<a href="([^"]*)"', '\n#include "$1"\n').alias("content"))
+    # a page's text may hold what looks like a comment, so the lines are read as they are
+    links = readers.numbered_lines(files).where(F.col("text").rlike(r'^#include "'))
+    rest = readers.numbered_lines(files).where(~F.col("text").rlike(r'^#include "')).select("file", F.regexp_count("text", F.lit('href="[^"]*"')).alias("n"))
+    both = links.select("file", F.lit(1).alias("n")).unionByName(rest)
+    return both.groupBy(F.col("file").alias("path")).agg(F.sum("n").alias("n"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id AS file, line::INT AS line, last_value(CASE WHEN t LIKE '%.' THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) IS NOT NULL AS has_section FROM l WHERE t <> ''""")
+def section_carry(spark, sf) -> DataFrame:
+    """Lines that end in a full stop open sections; every line is an entry."""
+    d = readers.numbered_lines(v.table(spark, sf, "documents"), "doc_id", "text").where("text <> ''")
+    marked = d.select("file", (F.col("line") * 2).alias("line"), F.lit("k=v").alias("text")).unionByName(d.where(F.endswith("text", F.lit("."))).select("file", (F.col("line") * 2 - 1).alias("line"), F.lit("[s]").alias("text")))
+    return readers.ini_rows(marked).select("file", (F.col("line") / 2).cast("int").alias("line"), F.col("section").isNotNull().alias("has_section"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::INT AS k FROM events")
+def event_properties(spark, sf) -> DataFrame:
+    return v.table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query(r'''SELECT lang, count(*) AS n_documents, sum(len(regexp_extract_all(text, '[\pL\pN_]+')))::BIGINT AS n_words FROM documents WHERE NOT regexp_matches(text, '["/#''0-9]') GROUP BY lang''')
+def token_counts(spark, sf) -> DataFrame:
+    d = v.table(spark, sf, "documents").where(~F.col("text").rlike(r'''["/#'0-9]'''))
+    words = extract.tokenize(d.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).where("kind in ('identifier', 'keyword')").groupBy("path").agg(F.count("*").alias("n"))
+    return d.join(words, d["doc_id"] == words["path"], "left").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words"))
+
+
+# Inspections
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'A' AS g FROM lineitem) SELECT l_orderkey AS path, l_linenumber AS line, count(*) AS n FROM i JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM i GROUP BY 1) USING (l_orderkey) WHERE g AND l_linenumber < m GROUP BY ALL""")
+def inspection_include_order(spark, sf) -> DataFrame:
+    inc = v.asset_refs(spark, sf).select(F.col("asset_path").alias("path"), "line", F.when(F.col("ref_kind") == "A", "x.generated.h").otherwise("y.h").alias("target_text"))
+    return inspections.inspect_generated_not_last({"includes": inc}).groupBy("path", "line").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def inspection_replication(spark, sf) -> DataFrame:
+    c = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("container_id"), F.lit("p").alias("name"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.array(F.lit("Replicated"))).otherwise(F.array().cast("array<string>")).alias("specifiers"))
+    have = v.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("container_id"), F.lit("GetLifetimeReplicatedProps").alias("name"), F.array().cast("array<string>").alias("specifiers"))
+    s = c.unionByName(have).withColumn("path", F.col("container_id").cast("string")).withColumn("line", F.lit(1))
+    return inspections.inspect_replication_list({"symbols": s}).select(F.col("path").cast("long").alias("path"))
+
+
+@query("""SELECT event_id AS line, user_id::VARCHAR AS path FROM events WHERE event_type = 'error' AND NOT (user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 9) AND NOT (value < 1))""")
+def filtered_diagnostics(spark, sf) -> DataFrame:
+    """A value over 9 is an include of a header that exists, one below 1 of one that doesn't."""
+    e = v.events(spark, sf).where("event_type = 'error'")
+    d = e.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line"), F.when((F.col("value") > 9) | (F.col("value") < 1), "E1696").otherwise("E0020").alias("code"), F.when(F.col("value") > 9, 'cannot open "Real.h"').otherwise('cannot open "Gone.h"').alias("message"), F.lit("x").alias("token"))
+    headers = d.select("path", F.lit("Real.h").alias("target_text")).distinct()
+    none = d.where("false")
+    return inspections.filter_diagnostics(d, headers, none.select("path"), none.select(F.col("token").alias("name"))).select("line", "path")
+
+
+@query("SELECT o_orderpriority AS severity, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
+def error_counts(spark, sf) -> DataFrame:
+    f = v.assets(spark, sf).select(F.when(F.col("asset_kind") == "5-LOW", "suggestion").otherwise(F.col("asset_kind")).alias("severity"))
+    return inspections.error_list(f).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+# Streams
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id AS path, epoch_us(min(ts)) AS start_us, count(*) AS n_edits FROM s GROUP BY user_id, s""")
+def edit_bursts(spark, sf) -> DataFrame:
+    e = jobs.event_stream(spark, sf).select(F.col("user_id").alias("path"), "ts")
+    return jobs.finished(jobs.debounce(e, "12 hours")).select("path", F.unix_micros("start").alias("start_us"), "n_edits")
+
+
+@query("SELECT event_type AS op, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS n, max(floor(value * 100)::BIGINT) AS slowest_ms FROM events WHERE floor(value * 100)::BIGINT >= 300 GROUP BY ALL")
+def slow_operations(spark, sf) -> DataFrame:
+    e = jobs.event_stream(spark, sf).select("ts", F.col("event_type").alias("op"), F.floor(F.col("value") * 100).alias("ms"))
+    return jobs.finished(jobs.slow_operations(e)).select("op", F.unix_micros("start").alias("start_us"), "n", "slowest_ms")
+
+
+@query("SELECT session, epoch_us(ts) AS ts_us, (gap / 1000000.0)::DOUBLE AS seconds FROM (SELECT user_id AS session, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) WHERE gap > 43200000000")
+def streamed_hangs(spark, sf) -> DataFrame:
+    e = jobs.event_stream(spark, sf).select(F.col("user_id").alias("session"), "ts")
+    return jobs.finished(jobs.stream_hangs(e, 12 * 3600), "append").where("report_at is null").select("session", F.unix_micros("ts").alias("ts_us"), "seconds")
