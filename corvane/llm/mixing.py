@@ -83,8 +83,10 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix: each document's row, all its columns, as many times as it has copies."""
-    plan = mix_plan(docs, keep=tuple(docs.columns), **options)
-    return plan.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    names = {options.get(k, k) for k in ("doc_id", "text", "source")}
+    whole = docs.select(*names, F.struct(*docs.columns).alias("_row"))
+    plan = mix_plan(whole, keep=("_row",), **options).where("copies > 0")
+    return plan.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 def op5_mixing(spark, sf_dir) -> DataFrame:
