@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,17 +43,20 @@ _OPEN[:0x21] = False
 _OPEN[0x7F] = False
 
 
+#: How columns of a packed table are encoded: sorted words share their beginnings, numbers are split by byte.
+_ENCODINGS = {"word": "DELTA_BYTE_ARRAY", "position": "BYTE_STREAM_SPLIT", "ids.list.element": "BYTE_STREAM_SPLIT"}
+
+
 def _pack(**columns: pa.Array) -> bytes:
-    """Columns as one compressed Arrow stream."""
-    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
+    """Columns as one compressed Parquet table in memory."""
+    t, sink = pa.table(columns), pa.BufferOutputStream()
+    names = [f"{f.name}.list.element" if pa.types.is_list(f.type) else f.name for f in t.schema]
+    pq.write_table(t, sink, compression="zstd", use_dictionary=False, write_statistics=False, store_schema=False, column_encoding={n: _ENCODINGS[n] for n in names})
     return sink.getvalue().to_pybytes()
 
 
 def _unpack(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+    return pq.read_table(pa.BufferReader(data)).combine_chunks()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -75,7 +79,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(block, digest, batch, dictionary, positions, words before each row)."""
+    """(block, digest, batch, distinct words by falling frequency, positions in them, words before each row)."""
     context = TaskContext.get()
     at = (context.partitionId() if context else 0) << 32
     for batch in slices(batches, "text", BLOCK):
@@ -83,7 +87,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         coded = words.dictionary_encode()
         buffers = coded.dictionary.buffers()
         digest = xxhash.xxh3_64_intdigest(buffers[2] or b"", seed=len(words)) >> 1
-        yield at, digest, batch, coded.dictionary, coded.indices, before
+        codes = coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")  # small numbers for common words
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        yield at, digest, batch, coded.dictionary.take(pa.array(order)), pa.array(rank[codes]), before
         at += 1
 
 
@@ -119,18 +127,20 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, digest, _, words, _, _ in _blocks(batches):
-            owner = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words.to_pylist()), np.int64, len(words))
-            order = np.argsort(owner, kind="stable")
-            edges = np.searchsorted(owner[order], np.arange(parts + 1))
-            for p in range(parts):
-                if edges[p] < edges[p + 1]:
-                    own = order[edges[p] : edges[p + 1]]
-                    yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "owner": p, "data": _pack(position=pa.array(own.astype(np.int32)), word=words.take(pa.array(own)))}])
+            told = words.to_pylist()
+            shares: list[list[int]] = [[] for _ in range(parts)]
+            for i in sorted(range(len(told)), key=told.__getitem__):
+                shares[xxhash.xxh3_64_intdigest(told[i]) % parts].append(i)
+            for p, own in enumerate(shares):
+                if own:
+                    own = pa.array(own, pa.int32())
+                    yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "owner": p, "data": _pack(position=own, word=words.take(own))}])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("data", pa.binary()), ("words", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("before", pa.list_(pa.int64()))])
         for block, digest, batch, words, positions, before in _blocks(batches):
-            data = _pack(positions=pa.array([positions], pa.list_(pa.int32())), before=pa.array([before], pa.list_(pa.int64())), doc_id=pa.array([batch.column("doc_id")], pa.list_(pa.int64())), words=pa.array([len(words)], pa.int64()))
-            yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "data": data}])
+            columns = [pa.array([x]) for x in (block, digest, _pack(position=positions))] + [pa.array([len(words)], pa.int32()), pa.array([batch.column("doc_id")], pa.list_(pa.int64())), pa.array([before], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, known = _tokenizer(vocabulary), {}
@@ -143,38 +153,32 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                     known[w] = np.array(e.ids, np.int32)
                 ids = [known[w] for w in words]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "data": _pack(position=own["position"].combine_chunks(), ids=lists)}])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "data": _pack(position=own["position"].chunk(0), ids=lists)}])
 
     def assemble(rows: pa.Table) -> pa.Table:
-        whole, shares = None, []
         if len(set(rows["digest"].to_pylist())) > 1:
             raise ValueError("the input changed between two reads of it: write it to a table first")
-        for kind, data in zip(rows["kind"].to_pylist(), rows["data"].to_pylist(), strict=True):
-            if kind:
-                shares.append(_unpack(data))
-            else:
-                whole = _unpack(data)
-        if whole is None:
+        whole = [i for i, n in enumerate(rows["words"].to_pylist()) if n is not None]
+        if len(whole) != 1:
             raise ValueError("a block without documents: write the input to a table first")
-        docs, before = whole["doc_id"].combine_chunks().flatten(), whole["before"].combine_chunks().flatten().to_numpy()
-        positions = whole["positions"].combine_chunks().flatten()
+        row = rows.slice(whole[0], 1)
+        docs, before = row["doc_id"].combine_chunks().flatten(), row["before"].combine_chunks().flatten().to_numpy()
+        positions = _unpack(row["data"][0].as_py())["position"].to_numpy()
         if not len(positions):
             return pa.table({"doc_id": docs, "ids": pa.array([[]] * len(docs), pa.list_(pa.int32()))})
-        share = pa.concat_tables(shares)
-        if len(share) != whole["words"][0].as_py():
+        share = pa.concat_tables([_unpack(x) for i, x in enumerate(rows["data"].to_pylist()) if i != whole[0]]).combine_chunks()
+        if len(share) != row["words"][0].as_py():
             raise ValueError("a block lacks words: write the input to a table first")
         back = np.empty(len(share), np.int64)
         back[share["position"].to_numpy()] = np.arange(len(share))
-        lists = share["ids"].combine_chunks()
-        lists = (lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).take(pa.array(back[positions.to_numpy()]))
-        ends = lists.offsets.to_numpy()[before]
-        return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), lists.flatten())})
+        lists = share["ids"].chunk(0).take(pa.array(back[positions]))
+        return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[before]), lists.values)})
 
     words = docs.mapInArrow(split, "block long, digest long, owner long, data binary").repartition(parts, "owner")
-    encoded = words.select("block", "digest", "data").mapInArrow(encode_once, "block long, digest long, data binary").withColumn("kind", F.lit(1))
-    numbered = docs.mapInArrow(number, "block long, digest long, data binary").withColumn("kind", F.lit(0))
-    return numbered.unionByName(encoded).groupBy("block").applyInArrow(assemble, "doc_id long, ids array<int>")
+    encoded = words.select("block", "digest", "data").mapInArrow(encode_once, "block long, digest long, data binary")
+    numbered = docs.mapInArrow(number, "block long, digest long, data binary, words int, doc_id array<long>, before array<long>")
+    return numbered.unionByName(encoded, allowMissingColumns=True).groupBy("block").applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, vocabulary: str) -> DataFrame:
