@@ -122,7 +122,6 @@ def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("session_date", "session_time", "pid", (F.col("n") + 1).cast("long").alias("n"), F.try_to_timestamp(grab(1)).alias("ts"), grab(2).alias("category"), F.coalesce(grab(3), F.col("line")).alias("message"))
 
 
-def unreadable(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, cause) of listed files without any content: what a skipping read leaves out."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return listed.where("length = 0").select("path", F.lit("empty").alias("cause"))
+def unreadable(expected: DataFrame, read: DataFrame) -> DataFrame:
+    """(path, cause): files that were listed (path) but of which a skipping read gave nothing."""
+    return expected.select("path").distinct().join(read.select("path"), "path", "left_anti").withColumn("cause", F.lit("vanished, empty or unreadable"))
