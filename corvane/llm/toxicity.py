@@ -102,13 +102,22 @@ def _with_bias(places: np.ndarray, offsets: np.ndarray, bias: int) -> tuple[np.n
     return index, starts
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
-    """Adaptive gradient steps on the logistic loss, weights drawn to zero by L1 and factors by L2."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    terms, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    prior = min(max(labels.mean(), 1e-9), 1 - 1e-9) if len(labels) else 0.5
-    hits = np.bincount(inverse, np.repeat(labels, [len(r) for r in rows]), len(terms)) if len(terms) else counts
-    terms = terms[(counts >= LEAST) & ((hits - counts * prior) ** 2 >= TELLING * counts * prior * (1 - prior))]
+def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
+    """Adaptive gradient steps on the logistic loss, weights drawn to zero by L1 and factors by L2.
+
+    flat, offsets: the terms of all rows, one row after the other. Terms are counted in pieces, so nothing as long as flat is made beside it.
+    """
+    size = len(labels)
+    prior = min(max(labels.mean(), 1e-9), 1 - 1e-9) if size else 0.5
+    counts, hits = np.zeros(DIM, np.int32), np.zeros(DIM, np.int32)
+    for a in range(0, size, 512):
+        b = min(size, a + 512)
+        part, own = flat[offsets[a] : offsets[b]], np.repeat(labels[a:b] > 0, np.diff(offsets[a : b + 1]))
+        np.add.at(counts, part, 1)
+        np.add.at(hits, part[own], 1)
+    terms = np.flatnonzero(counts >= LEAST)
+    seen, hit = counts[terms].astype(float), hits[terms]
+    terms = terms[(hit - seen * prior) ** 2 >= TELLING * seen * prior * (1 - prior)]
     n = len(terms)
     draw = np.random.default_rng(SEED)
     model = FactorizationMachine(terms, np.zeros(n + 1), draw.normal(0, 0.01, (n + 1, FACTORS)))
@@ -118,12 +127,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
     if positive in (0, len(labels)):
         return model
     own = []
-    for r in rows:
+    for i in range(size):
+        r = flat[offsets[i] : offsets[i + 1]]
         at = np.searchsorted(terms, r)
         own.append(at[(at < n) & (terms[np.minimum(at, n - 1)] == r)] if n else at[:0])
     gw, gv = np.full(n + 1, 1e-6), np.full((n + 1, FACTORS), 1e-6)
     for _ in range(EPOCHS):
-        order = draw.permutation(len(rows))
+        order = draw.permutation(size)
         for b in range(0, len(order), BATCH):
             part = order[b : b + BATCH]
             sizes = np.array([len(own[i]) for i in part])
@@ -160,9 +170,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), lists], ["doc_id", "toxic", "terms"])
 
     got = both.mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    lists = got["terms"].combine_chunks() if len(got) else None
-    rows = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in lists] if len(got) else []
-    return fit(rows, got["toxic"].to_numpy().astype(float) if len(got) else np.zeros(0))
+    if not len(got):
+        return fit(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0))
+    lists = got["terms"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return fit(lists.values.to_numpy(zero_copy_only=False), offsets, got["toxic"].to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "score") -> DataFrame:
