@@ -106,6 +106,11 @@ def access_checks(uses: DataFrame, members: DataFrame, anc: DataFrame, friends:
     return u.withColumn("accessible", F.coalesce(ok, F.lit(False))).drop("_derived", "_friend")
 
 
+def access_violations(uses: DataFrame, members: DataFrame, anc: DataFrame, friends: DataFrame) -> DataFrame:
+    """The uses that may not reach their member."""
+    return access_checks(uses, members, anc, friends).where("not accessible")
+
+
 def path_prefixes(path: str) -> Column:
     """All folders above a path, longest last."""
     parts = F.split(unix_path(path), "/")

@@ -49,6 +49,19 @@ def symbol_filter(symbols: DataFrame, kinds: list[str] | None = None, container:
     return symbols.where(F.col("container") == container) if container is not None else symbols
 
 
+def container_query(text: str) -> tuple[str | None, str]:
+    """A query's container and name: `AFoo::Bar` asks for Bar inside AFoo, `Tick::` for all inside Tick, `Bar` for Bar anywhere."""
+    container, sep, name = text.rpartition("::")
+    return (container or None if sep else None), name
+
+
+def scoped_symbols(symbols: DataFrame, text: str) -> DataFrame:
+    """Symbols that a query with an optional container finds: the name as a substring, without case."""
+    container, name = container_query(text)
+    found = symbol_filter(symbols, container=container)
+    return found.where(F.contains(F.lower("name"), F.lit(name.lower()))) if name else found
+
+
 def scope_filter(df: DataFrame, include_engine: bool, scope: str = "scope") -> DataFrame:
     return df if include_engine else df.where(F.col(scope) != "engine")
 

@@ -48,6 +48,18 @@ def explode_asset_facts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return refs, texts
 
 
+def read_asset_facts(spark: SparkSession, path: str, form: str = "json") -> tuple[DataFrame, DataFrame]:
+    """asset_refs and asset_texts out of files with one nested record per asset."""
+    refs = "array<struct<ref_kind:string,target_path:string,target_name:string>>"
+    texts = "array<struct<text_kind:string,breadcrumb:array<string>,text:string,is_name:boolean,is_editor_cache:boolean,loc:struct<namespace:string,key:string>>>"
+    return explode_asset_facts(spark.read.schema(f"asset_path string, asset_kind string, refs {refs}, texts {texts}").format(form).load(path))
+
+
+def read_specifier_catalog(spark: SparkSession, path: str, engine_version: str, form: str = "parquet") -> DataFrame:
+    """The specifiers of one engine version."""
+    return read_facts(spark, path, "specifier_catalog", form).where(F.col("engine_version") == engine_version)
+
+
 def ini_rows(lines: DataFrame) -> DataFrame:
     """(file, line, section, key, value) of numbered lines (file, line, text): the section carries forward; before any it is null."""
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)

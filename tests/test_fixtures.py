@@ -166,6 +166,19 @@ def test_search(spark):
     assert {r.query_id for r in search.search_symbols(s, q, fuzzy=False).collect()} == {2}
 
 
+def test_container_queries(spark):
+    s = frame(spark, "name string, kind string, container string", ("Bar", "function", "AFoo"), ("Bar", "function", "ABaz"), ("Delta", "local", "Tick"), ("i", "local", "Tick"))
+    find = lambda q: sorted((r.container, r.name) for r in search.scoped_symbols(s, q).collect())
+    assert find("AFoo::Bar") == [("AFoo", "Bar")] and find("Tick::") == [("Tick", "Delta"), ("Tick", "i")] and find("bar") == [("ABaz", "Bar"), ("AFoo", "Bar")]
+    assert search.symbol_filter(s, ["local"]).count() == 2
+
+
+def test_asset_facts(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"asset_path": "BP", "asset_kind": "bp", "refs": [{"ref_kind": "call", "target_name": "f"}], "texts": [{"text": "t", "breadcrumb": ["A", "B"]}]}\n{"asset_path": "N"}\n')
+    refs, texts = readers.read_asset_facts(spark, f"file://{tmp_path}/a.json")
+    assert [(r.asset_path, r.target_name) for r in refs.collect()] == [("BP", "f")] and [(r.asset_path, r.breadcrumb) for r in texts.collect()] == [("BP", ["A", "B"])]
+
+
 def test_logs(spark):
     t0 = dt.datetime(2024, 1, 1)
     beats, at = [(1, t0)], t0
