@@ -1,14 +1,14 @@
 """Near duplicates: universal hash minima in bands, verification, connected components.
 
 1. A pass over the texts makes each document's set of word shingles and keeps its size, a 128-bit digest of the set
-   and 128 minima of universal hashes over the set.
+   and, of 512 minima of universal hashes over the set, the low bytes (the signature) and the band keys.
 2. Documents with equal sets form a class; its smallest id stands for it. Only classes go on.
-3. 32 bands of 4 minima give bucket keys. Sets of similarity 0.8 meet in some bucket but for one in 10 million pairs.
+3. 32 bands of the first 128 minima, 4 each, give bucket keys. Sets of similarity 0.8 meet in some bucket but for one in 10 million pairs.
 4. In each bucket every class is paired with the smallest one (a star, so a bucket of n classes gives n - 1 pairs). Pairs
    whose sizes or signatures rule out the threshold go; the rest are confirmed on the full sets, made from the texts.
 5. Confirmed links are merged by large-star and small-star. Buckets that still hold several components have their members
-   of different components compared by signature in blocks of bounded size, and what those find is confirmed and
-   merged too. So a link that isn't to a bucket's smallest class is found as well.
+   of different components compared by signature in blocks of bounded size, each pair in the first band that they share, and
+   what those find is confirmed and merged too. So a link that isn't to a bucket's smallest class is found as well.
 
 The first confirmation takes the best pair of each class only; the other pairs count only while they join components.
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import WORD, binary_array, lower_ascii, saved, slices, small_batches, table, text_bytes, text_of, word_spans
 from corvane.llm.components import components
 
-BANDS, ROWS, SEED = 32, 4, 20240917
-#: Similarity in hundredths. SLACK: how far below it a signature's estimate may be (nearly six standard deviations).
-PERCENT, SLACK = 80, 0.2
+BANDS, ROWS, MINIMA, SEED = 32, 4, 512, 20240917
+#: Similarity in hundredths. SLACK: how far below it a signature's estimate may be (four and a half standard deviations).
+PERCENT, SLACK = 80, 0.08
 #: Members of one bucket that are compared in one block of the last search.
 BLOCK = 2_000
 _CHUNK = 1 << 16
@@ -40,7 +40,7 @@ _CHUNK = 1 << 16
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED)
-    return draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
+    return draw.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), draw.integers(0, 1 << 32, n, np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,8 +84,8 @@ def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def minima(hashes: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
-    """The n minima of each text with a set (rows of the result follow the texts; empty sets have the largest value)."""
+def minima(hashes: np.ndarray, offsets: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """The n minima of each text with a set, under a x + b modulo 2^32 (rows follow the texts; empty sets have the largest value)."""
     a, b = _coefficients(n)
     out = np.full((len(offsets) - 1, n), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(offsets[1:] > offsets[:-1])
@@ -93,40 +93,52 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -> np
     while at < len(full):
         to = max(at + 1, int(np.searchsorted(offsets[full], offsets[full[at]] + _CHUNK)))
         rows = full[at:to]
-        x = hashes[offsets[rows[0]] : offsets[rows[-1] + 1]]
+        x = (hashes[offsets[rows[0]] : offsets[rows[-1] + 1]] >> np.uint64(32)).astype(np.uint32)
         starts = offsets[rows] - offsets[rows[0]]
         for k in range(n):
-            out[rows, k] = np.minimum.reduceat((x * a[k] + b[k]) >> np.uint64(32), starts)
+            out[rows, k] = np.minimum.reduceat(x * a[k] + b[k], starts)
         at = to
     return out
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of each signature."""
-    keys = np.zeros((len(signatures), BANDS), np.uint64)
+def band_keys(minima_: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band of each row of minima."""
+    keys = np.zeros((len(minima_), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for band in range(BANDS):
-            h = np.full(len(signatures), band + 1, np.uint64)
+            h = np.full(len(minima_), band + 1, np.uint64)
             for r in range(ROWS):
-                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, band * ROWS + r])
+                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + minima_[:, band * ROWS + r])
             keys[:, band] = h
     return keys
 
 
+def matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Equally long binary values as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def estimate(same: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal signature bytes; one byte in 256 is equal by chance."""
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
 def sketches(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature) of every row; set and signature are null for empty sets."""
+    """(doc_id, n_shingles, set_id, bands, signature) of every row; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, offsets = shingle_hashes(batch.column("text"), words)
             sizes = np.diff(offsets)
-            signatures = minima(hashes, offsets)
+            least = minima(hashes, offsets)
+            keys, signatures = band_keys(least), (least & 0xFF).astype(np.uint8)
             sets = [xxhash.xxh3_128_digest(hashes[i:j].tobytes()) if j > i else None for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            signed = [signatures[i].tobytes() if n else None for i, n in enumerate(sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sets, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+            banded, signed = ([x[i].tobytes() if n else None for i, n in enumerate(sizes)] for x in (keys, signatures))
+            columns = [batch.column("doc_id"), pa.array(sizes), *(pa.array(x, pa.binary()) for x in (sets, banded, signed))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "bands", "signature"])
 
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary, signature binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -135,24 +147,24 @@ def _buckets(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+                keys = matrix(batch.column("bands"), np.int64, BANDS)
                 nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(nodes)], ["key", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "key long, node long")
+    return classes.select("node", "bands").mapInArrow(run, "key long, node long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(a, b, estimate): the pairs whose signatures agree in at least that share of their minima."""
     c = classes.select("node", "n_shingles", "signature")
     p = pairs.join(c.toDF("b", "nb", "sb"), "b").join(c.toDF("a", "na", "sa"), "a")
-    p = p.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) if least >= PERCENT / 100 - SLACK else F.lit(True))
+    p = p.where(F.least("na", "nb") >= F.greatest("na", "nb") * (least + SLACK - 1e-9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(s).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for s in ("sa", "sb"))
-                same = (x == y).mean(axis=1)
+                x, y = (matrix(batch.column(s), np.uint8, MINIMA) for s in ("sa", "sb"))
+                same = estimate((x == y).mean(axis=1))
                 keep = np.flatnonzero(same >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(same[keep])], ["a", "b", "estimate"])
 
@@ -200,27 +212,30 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, least: fl
     own = members.join(labels.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = own.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("node", "n_shingles", "signature"), "node")
+    rows = rows.join(classes.select("node", "n_shingles", "bands", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def run(t: pa.Table) -> pa.Table:
         node, part, size, block = (t[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        signed = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(len(node), -1)
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        signed, keys = matrix(t["signature"], np.uint8, MINIMA), matrix(t["bands"], np.int64, BANDS)
+        i, j, key = t["i"][0].as_py(), t["j"][0].as_py(), t["key"][0].as_py()
+        band = int((keys[0] == key).argmax())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
-            y = right[(part[right] != part[x]) & (100 * np.minimum(size[right], size[x]) >= PERCENT * np.maximum(size[right], size[x]))]
+            y = right[(part[right] != part[x]) & (np.minimum(size[right], size[x]) >= (least + SLACK - 1e-9) * np.maximum(size[right], size[x]))]
             if i == j:
                 y = y[node[y] > node[x]]
+            if len(y) and band:
+                y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]  # an earlier bucket has this pair
             if len(y):
-                y = y[(signed[y] == signed[x]).mean(axis=1) >= least]
+                y = y[estimate((signed[y] == signed[x]).mean(axis=1)) >= least]
                 a += [node[x]] * len(y)
                 b += node[y].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = rows.select("key", "i", "j", "block", "node", "component", "n_shingles", "signature").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rows.select("key", "i", "j", "block", "node", "component", "n_shingles", "bands", "signature").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     sketch = saved(sketches(docs, words), "sketches")
     linked = sketch.where("doc_id is not null and set_id is not null")
-    classes = saved(linked.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    classes = saved(linked.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     # rows that share an id but not their text are one node: both classes get their sets' links through it
     buckets = _buckets(classes)
     centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
