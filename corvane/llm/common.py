@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a `saved` whose tables are deleted at the end of the block; what is returned from it must be saved otherwise."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield save
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Batches to Python workers hold at most so many bytes (or one row); a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -63,6 +81,24 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Bits of the filter that keeps rows without a partner out of shuffles: its size is fixed.
+FILTER_BITS = 1 << 23
+
+
+def maybe_among(df: DataFrame, keys: DataFrame, key: str, wanted: bool = True) -> DataFrame:
+    """Rows whose key (a long) may be (wanted) or surely isn't among keys: a hashed bitmap of FILTER_BITS bits (1 MB) is broadcast.
+
+    It only spares shuffles: rows that pass by chance find no partner in the join that follows. Null keys are among nothing.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = keys.where(F.col(key).isNotNull()).select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
+    rows = df.withColumn("_b", place).withColumn("_bucket", F.bitmap_bucket_number("_b")).withColumn("_at", F.bitmap_bit_position("_b"))
+    rows = rows.join(F.broadcast(bits), "_bucket", "left")  # at most FILTER_BITS / 32768 + 1 rows of 4 KB
+    bit = F.expr("pmod(shiftright(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)), 2) = 1")
+    is_set = F.coalesce(bit & F.col(key).isNotNull(), F.lit(False))
+    return rows.where(is_set if wanted else ~is_set).drop("_b", "_bucket", "_at", "_bits")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the texts of each hold at most `most` bytes (a longer text stands alone)."""
     for batch in batches:

@@ -7,10 +7,12 @@ driver sees two numbers a step (count and checksum of the edges), never the edge
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import saved
+from corvane.llm.common import saved, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,17 +30,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = saved, most_steps: int = 60) -> DataFrame:
     """(u, v): each node that isn't the smallest of its component, with that smallest node.
 
-    edges: u, v (long). Null ends and loops are ignored; repeated edges do no harm; no edges give no rows.
+    edges: u, v (long). Null ends and loops are ignored; repeated edges do no harm; no edges give no rows. keep writes the result.
     """
-    now = saved(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    told = None
-    for _ in range(most_steps):
-        now = saved(_small_star(saved(_large_star(now), "large-star")), "small-star")
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == told:
-            return now
-        told = sums
+    with scratch(edges.sparkSession) as save:
+        now = save(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        told = None
+        for _ in range(most_steps):
+            now = save(_small_star(save(_large_star(now), "large-star")), "small-star")
+            sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if sums == told:
+                return keep(now, "components")
+            told = sums
     raise RuntimeError("the components have not settled")

@@ -13,7 +13,7 @@
 The first confirmation takes the best pair of each class only; the other pairs count only while they join components.
 
 Null and empty texts have empty sets and no links. With fewer words than a shingle takes, all words form one. Rows that share
-an id are one node. A null id can't be linked: its component is null and the row is kept. An empty table gives no rows.
+an id are one node; if their texts differ, links are confirmed on the greatest of them. A null id can't be linked: its component is null and the row is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, binary_array, lower_ascii, saved, slices, small_batches, table, text_bytes, text_of, word_spans
+from corvane.llm.common import WORD, binary_array, lower_ascii, maybe_among, saved, scratch, slices, small_batches, table, text_bytes, text_of, word_spans
 from corvane.llm.components import components
 
 BANDS, ROWS, MINIMA, SEED = 32, 4, 512, 20240917
@@ -243,39 +243,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc
     small_batches(docs.sparkSession)
     least = percent / 100 - SLACK
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    sketch = saved(sketches(docs, words), "sketches")
-    linked = sketch.where("doc_id is not null and set_id is not null")
-    classes = saved(linked.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
-    # rows that share an id but not their text are one node: both classes get their sets' links through it
-    buckets = _buckets(classes)
-    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    members = saved(buckets.join(centres, "key"), "buckets")
-    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    stars = saved(_estimated(stars, classes, least), "stars")
-    members = members.select("key", "node")
-
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    texts = saved(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = saved(_confirmed(best, texts, words, percent), "links")
-    labels = components(links)
-
-    side = lambda n: labels.select(F.col("u").alias(n), F.col("v").alias(f"of_{n}"))
-    crossing = lambda pairs: pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    more = saved(_confirmed(crossing(stars), texts, words, percent), "links")
-    links = links.unionByName(more)
-    labels = components(labels.unionByName(more))
-
-    across = saved(_across(members, labels, classes, least), "across")
-    wanted = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct()
-    missing = wanted.join(texts.select("doc_id"), "doc_id", "left_anti")
-    texts = texts.unionByName(docs.join(missing, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    more = saved(_confirmed(across, texts, words, percent), "links")
-    labels = components(labels.unionByName(more))
-
-    ids = classes.select("set_id", "node")
-    out = sketch.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left").join(labels.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "node", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with scratch(docs.sparkSession) as save:
+        sketch = save(sketches(docs, words), "sketches")
+        linked = sketch.where("doc_id is not null and set_id is not null")
+        classes = save(linked.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+        buckets = _buckets(classes)
+        centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+        members = save(buckets.join(centres, "key"), "buckets")
+        stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        stars = save(_estimated(stars, classes, least), "stars")
+        members = members.select("key", "node")
+
+        best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
+        involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+        texts = save(maybe_among(docs, involved, "doc_id").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+        links = save(_confirmed(best, texts, words, percent), "links")
+        labels = components(links, save)
+
+        side = lambda n: labels.select(F.col("u").alias(n), F.col("v").alias(f"of_{n}"))
+        crossing = lambda pairs: pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        more = save(_confirmed(crossing(stars), texts, words, percent), "links")
+        labels = components(labels.unionByName(more), save)
+
+        across = save(_across(members, labels, classes, least), "across")
+        wanted = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct()
+        missing = wanted.join(texts.select("doc_id"), "doc_id", "left_anti")
+        texts = texts.unionByName(maybe_among(docs, missing, "doc_id").join(missing, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+        more = save(_confirmed(across, texts, words, percent), "links")
+        labels = components(labels.unionByName(more), save)
+
+        ids = classes.select("set_id", "node")
+        out = sketch.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left").join(labels.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left")
+        return saved(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "node", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
 
 
 def op3_minhash(spark, sf_dir) -> DataFrame:

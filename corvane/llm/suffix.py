@@ -34,14 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import saved, shuffle_partitions, slices, small_batches, table, text_bytes, text_of
+from corvane.llm.common import maybe_among, saved, scratch, shuffle_partitions, slices, small_batches, table, text_bytes, text_of
 
 GRAM = 16
 #: Edge phrases of one class that one task takes; edge phrases that are sorted at once.
 HOT, CHUNK = 50_000, 20_000
-#: Bits of the filter that keeps untouched documents out of joins: its size is fixed.
-FILTER_BITS = 1 << 23
-_BITS_PER_ROW = 32_768
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -109,23 +106,10 @@ def _parsed(keyed: DataFrame, least: int) -> DataFrame:
     return keyed.select("row_key", "text").mapInArrow(run, "row_key long, lo int, hi int, at int, class long, full1 long, full2 long")
 
 
-def _touched(keyed: DataFrame, keys: DataFrame, wanted: bool = True) -> DataFrame:
-    """Rows whose key may be (wanted) or surely isn't among keys: a hashed bitmap of FILTER_BITS bits (1 MB) is broadcast.
-
-    It only spares shuffles: rows that pass by chance find no partner in the join that follows.
-    """
-    place = F.pmod(F.col("row_key"), F.lit(FILTER_BITS))
-    bits = keys.select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
-    rows = keyed.withColumn("_b", place).withColumn("_bucket", F.bitmap_bucket_number("_b")).withColumn("_at", F.bitmap_bit_position("_b"))
-    rows = rows.join(F.broadcast(bits), "_bucket", "left")  # at most FILTER_BITS / 32768 rows of 4 KB
-    is_set = F.coalesce(F.expr("pmod(shiftright(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)), 2) = 1"), F.lit(False))
-    return rows.where(is_set if wanted else ~is_set).drop("_b", "_bucket", "_at", "_bits")
-
-
 def _with_bytes(keyed: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """The members with their bytes from lo to the end of the string that starts at hi."""
     places = members.groupBy("row_key").agg(F.collect_list(F.struct("class", "lo", "hi", "at", "single")).alias("places"))
-    both = _touched(keyed.select("row_key", "text"), places).join(places, "row_key")
+    both = maybe_among(keyed.select("row_key", "text"), places, "row_key").join(places, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,18 +217,19 @@ def _hot_edges(members: DataFrame, least: int) -> DataFrame:
 
 def repeated(keyed: DataFrame, least: int) -> DataFrame:
     """(row_key, lo, hi): all starts of repeated strings, as runs. keyed: row_key, text."""
-    parsed = saved(_parsed(keyed, least), "phrases")
-    shared = parsed.groupBy("class").count().where("count > 1").select("class")
-    parsed = saved(parsed.join(shared, "class", "left_semi"), "shared-phrases")
-    fulls = saved(parsed.groupBy("class", "full1", "full2").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "lo", "hi", "at")).alias("p")), "full-phrases")
-    whole = parsed.join(fulls.where("n > 1").select("class", "full1", "full2"), ["class", "full1", "full2"], "left_semi").select("row_key", "lo", "hi")
-    open_classes = fulls.groupBy("class").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("kinds > 1 and singles > 0").select("class", "kinds")
-    members = fulls.join(open_classes, "class").select("class", "p.*", (F.col("n") == 1).alias("single"), "kinds")
-    members = saved(members, "edge-phrases")
-    usual = _edges(_with_bytes(keyed, members.where(F.col("kinds") <= HOT), least), least)
-    hot = members.where(F.col("kinds") > HOT)
-    edges = usual if hot.isEmpty() else usual.unionByName(_hot_edges(_with_bytes(keyed, hot, least), least))
-    return saved(whole.unionByName(edges), "repeats")
+    with scratch(keyed.sparkSession) as save:
+        parsed = save(_parsed(keyed, least), "phrases")
+        shared = parsed.groupBy("class").count().where("count > 1").select("class")
+        parsed = save(parsed.join(shared, "class", "left_semi"), "shared-phrases")
+        fulls = save(parsed.groupBy("class", "full1", "full2").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "lo", "hi", "at")).alias("p")), "full-phrases")
+        whole = parsed.join(fulls.where("n > 1").select("class", "full1", "full2"), ["class", "full1", "full2"], "left_semi").select("row_key", "lo", "hi")
+        open_classes = fulls.groupBy("class").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("kinds > 1 and singles > 0").select("class", "kinds")
+        members = fulls.join(open_classes, "class").select("class", "p.*", (F.col("n") == 1).alias("single"), "kinds")
+        members = save(members, "edge-phrases")
+        usual = _edges(_with_bytes(keyed, members.where(F.col("kinds") <= HOT), least), least)
+        hot = members.where(F.col("kinds") > HOT)
+        edges = usual if hot.isEmpty() else usual.unionByName(_hot_edges(_with_bytes(keyed, hot, least), least))
+        return saved(whole.unionByName(edges), "repeats")
 
 
 def without_repeats(docs: DataFrame, least: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -256,8 +241,8 @@ def without_repeats(docs: DataFrame, least: int = 400, text: str = "text", doc_i
     runs = runs.groupBy("row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     n_bytes = F.octet_length("_text").cast("long")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    plain = _touched(keyed, runs, wanted=False).select(*names, n_bytes.alias("n_bytes"), F.col("_text").cast("binary").alias("kept"), F.array().cast(spans).alias("spans"))
-    cut = _touched(keyed, runs).join(runs, "row_key", "left").select(*names, n_bytes.alias("n_bytes"), F.col("_text").cast("binary").alias("_raw"), "runs")
+    plain = maybe_among(keyed, runs, "row_key", wanted=False).select(*names, n_bytes.alias("n_bytes"), F.col("_text").cast("binary").alias("kept"), F.array().cast(spans).alias("spans"))
+    cut = maybe_among(keyed, runs, "row_key").join(runs, "row_key", "left").select(*names, n_bytes.alias("n_bytes"), F.col("_text").cast("binary").alias("_raw"), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
