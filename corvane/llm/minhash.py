@@ -263,14 +263,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc
         side = lambda n: labels.select(F.col("u").alias(n), F.col("v").alias(f"of_{n}"))
         crossing = lambda pairs: pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
         more = save(_confirmed(crossing(stars), texts, words, percent), "links")
-        labels = components(labels.unionByName(more), save)
+        labels = labels if more.isEmpty() else components(labels.unionByName(more), save)
 
         across = save(_across(members, labels, classes, least), "across")
         wanted = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct()
         missing = wanted.join(texts.select("doc_id"), "doc_id", "left_anti")
         texts = texts.unionByName(maybe_among(docs, missing, "doc_id").join(missing, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
         more = save(_confirmed(across, texts, words, percent), "links")
-        labels = components(labels.unionByName(more), save)
+        labels = labels if more.isEmpty() else components(labels.unionByName(more), save)
 
         ids = classes.select("set_id", "node")
         out = sketch.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left").join(labels.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left")
