@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import binary_array, shuffle_partitions, slices, small_batches, table, text_bytes, text_of
+from corvane.llm.common import binary_array, give_back, shuffle_partitions, slices, small_batches, table, text_bytes, text_of
 
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 
 _CUT = np.zeros(256, bool)  # a cut may come before these
 _CUT[[0x20, 9, 10, 13]] = True
@@ -173,6 +173,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         back = np.empty(len(share), np.int64)
         back[share["position"].to_numpy()] = np.arange(len(share))
         lists = share["ids"].chunk(0).take(pa.array(back[positions]))
+        give_back()
         return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[before]), lists.values)})
 
     words = docs.mapInArrow(split, "block long, digest long, owner long, data binary").repartition(parts, "owner")

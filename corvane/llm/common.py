@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,10 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-corvane-')}"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return base.rstrip("/")
+    return (base or f"file://{tempfile.mkdtemp(prefix='spark-corvane-')}").rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -99,7 +97,15 @@ def maybe_among(df: DataFrame, keys: DataFrame, key: str, wanted: bool = True) -
     return rows.where(is_set if wanted else ~is_set).drop("_b", "_bucket", "_at", "_bits")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again and again, and idle ones keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the texts of each hold at most `most` bytes (a longer text stands alone)."""
     for batch in batches:
         if not batch.num_rows:
@@ -110,6 +116,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
+            give_back()
             at = to
 
 

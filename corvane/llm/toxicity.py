@@ -13,6 +13,7 @@ counts with each. Without labels of both kinds the score is the same for all row
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,22 +53,26 @@ def text_terms(column: pa.Array, known: np.ndarray | None = None) -> tuple[np.nd
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
     coded = binary_array(data, starts, ends).dictionary_encode()
-    lists = [word_terms(w.decode("utf-8", "replace")) for w in coded.dictionary.to_pylist()]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    terms = np.fromiter((t for x in lists for t in x), np.int64, sizes.sum())
+    distinct = len(coded.dictionary)
+    sizes, held = np.zeros(distinct, np.int64), array("i")
+    for i, word in enumerate(coded.dictionary):
+        own = word_terms(word.as_py().decode("utf-8", "replace"))
+        sizes[i] = len(own)
+        held.extend(own)
+    terms = np.frombuffer(held, np.int32).astype(np.int64)
     width = DIM
     if known is not None:
         width = max(1, len(known))
         at = np.searchsorted(known, terms)
         found = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == terms) if len(known) else np.zeros(len(terms), bool)
-        owner = np.repeat(np.arange(len(lists)), sizes)[found]
-        terms, sizes = at[found], np.bincount(owner, minlength=len(lists))
+        owner = np.repeat(np.arange(distinct), sizes)[found]
+        terms, sizes = at[found], np.bincount(owner, minlength=distinct)
     first = np.concatenate([[0], np.cumsum(sizes)])
     codes = coded.indices.to_numpy().astype(np.int64)
     keep = sizes[codes] > 0
     row = np.repeat(np.arange(rows), np.diff(before))[keep]
-    pairs = np.unique(row * len(lists) + codes[keep])
-    row, code = pairs // len(lists), pairs % len(lists)
+    pairs = np.unique(row * distinct + codes[keep])
+    row, code = pairs // distinct, pairs % distinct
     n = sizes[code]
     place = np.repeat(first[code] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
     both = np.unique(np.repeat(row, n) * width + terms[place])
