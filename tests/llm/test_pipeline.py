@@ -1,6 +1,7 @@
 """The stages one by one on planted cases, and the whole run against brute force where it can be."""
 
 import random
+import re
 
 import corpus_pipeline as pipeline
 from corvane.llm import minhash, mixing, toxicity
@@ -49,6 +50,43 @@ def test_repeated_passages_are_cut(spark):
             assert got[i].n_chars == len(got[i].text) and (spans or got[i].text == text)
 
 
+def test_passages_count_by_words_however_short(spark):
+    draw = random.Random(8)
+    words = [f"wörd{i}" for i in range(900)]
+    short = lambda n: " ".join(draw.choice("abcdefgé") for _ in range(n))
+    fill = lambda: " ".join(draw.choice(words) for _ in range(30))
+    long, least, under, ones, others = " ".join(draw.choice(words) for _ in range(50)), short(51), short(50), short(30), short(30)
+    assert len(least.encode()) < 240 < len(long.encode())
+    # the chain of two repeats of 30 words is a run of 60 repeated words, but no 51 of them are found elsewhere
+    parts = [least, least, under, under, long, long, ones, others, f"{ones} {others}"]
+    rows = [(i, f"{fill()} {p} {fill()}", None, None, 0) for i, p in enumerate(parts)]
+    # within a document, and from its first word to its last
+    rows += [(20, f"{(x := short(55))} {fill()} {x}", None, None, 0), (21, y := short(70), None, None, 0), (22, y, None, None, 0)]
+    got = {r.doc_id: r for r in pipeline.cut_repeats(spark, documents(spark, rows), "").collect()}
+    want = {i: text.replace(least, "") if i < 2 else text for i, text, *_ in rows} | {20: rows[9][1].replace(x, ""), 21: "", 22: ""}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+
+
+def brute_passages(texts):
+    """Texts without the windows of 51 words that occur more than once."""
+    seen = {}
+    for d, text in enumerate(texts):
+        own = [m.span() for m in re.finditer(r"[^ \t-\r]+", text)]
+        for a, b in zip(own, own[50:], strict=False):
+            seen.setdefault(text[a[0] : b[1]], []).append((d, a[0], b[1]))
+    gone = [set() for _ in texts]
+    for d, a, b in (p for x in seen.values() if len(x) > 1 for p in x):
+        gone[d].update(range(a, b))
+    return ["".join(c for i, c in enumerate(text) if i not in g) for text, g in zip(texts, gone, strict=True)]
+
+
+def test_passages_match_a_count_of_all_windows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.where("text is not null").collect()
+    got = {r.doc_id: r.text for r in pipeline.cut_repeats(spark, docs, sf).collect() if r.text is not None}
+    assert got == dict(zip([r.doc_id for r in rows], brute_passages([r.text for r in rows]), strict=True))
+
+
 def test_toxic_documents_go_and_clean_ones_stay(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in pipeline.drop_toxic(spark, docs, sf).collect()}
