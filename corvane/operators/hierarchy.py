@@ -15,29 +15,40 @@ from pyspark.sql import functions as F
 
 from corvane.operators.tables import saved
 
+#: Rounds of a closure that are written as one table; a bound that no real graph comes near, beyond which it raises.
+MERGE, MOST_ROUNDS = 8, 1_000_000
 
-def closure(edges: DataFrame, src: str, dst: str, max_depth: int = 64, seeds: DataFrame | None = None, loops: bool = False) -> DataFrame:
-    """(src, dst, depth) for all that is reachable. seeds: the src to start from (default: all). loops: keep src = dst."""
+
+def closure(edges: DataFrame, src: str, dst: str, seeds: DataFrame | None = None, loops: bool = False) -> DataFrame:
+    """(src, dst, depth) for all that is reachable. seeds: the src to start from (default: all). loops: keep src = dst.
+
+    Rounds go on until one adds nothing, so their number is the longest of the shortest ways; MERGE tables of the same rank are
+    written as one, so plans stay short.
+    """
     step = saved(edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).where("_from is not null and _to is not null").distinct(), "edges")
     first = step.select(F.col("_from").alias(src), F.col("_to").alias(dst), F.lit(1).alias("depth"))
     if seeds is not None:
         first = first.join(seeds.select(src).distinct(), src, "left_semi")
-    found = [saved(first if loops else first.where(F.col(src) != F.col(dst)), "closure")]
-    for depth in range(2, max_depth + 1):
-        known = reduce(DataFrame.unionByName, found)
-        new = found[-1].select(src, F.col(dst).alias("_from")).join(step, "_from").select(src, F.col("_to").alias(dst)).distinct()
+    new = saved(first if loops else first.where(F.col(src) != F.col(dst)), "closure")
+    found = [(0, new)]
+    for depth in range(2, MOST_ROUNDS):
+        known = reduce(DataFrame.unionByName, (f for _, f in found))
+        new = new.select(src, F.col(dst).alias("_from")).join(step, "_from").select(src, F.col("_to").alias(dst)).distinct()
         if not loops:
             new = new.where(F.col(src) != F.col(dst))
         new = saved(new.join(known.select(src, dst), [src, dst], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if new.isEmpty():
-            break
-        found.append(new)
-    return reduce(DataFrame.unionByName, found)
+            return known
+        found.append((0, new))
+        while len(found) >= MERGE and found[-MERGE][0] == found[-1][0]:
+            rank = found[-1][0] + 1
+            found[-MERGE:] = [(rank, saved(reduce(DataFrame.unionByName, (f for _, f in found[-MERGE:])), "closure"))]
+    raise RuntimeError("the closure has not settled")
 
 
-def ancestors(inherits: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(inherits: DataFrame) -> DataFrame:
     """(type_id, ancestor_id, depth), nearest first by depth; interfaces are parents like others."""
-    return closure(inherits.select(F.col("child_id").alias("type_id"), F.col("parent_id").alias("ancestor_id")), "type_id", "ancestor_id", max_depth)
+    return closure(inherits.select(F.col("child_id").alias("type_id"), F.col("parent_id").alias("ancestor_id")), "type_id", "ancestor_id")
 
 
 def with_self(anc: DataFrame, types: DataFrame) -> DataFrame:
@@ -141,10 +152,10 @@ def effective_members(members: DataFrame, anc: DataFrame, types: DataFrame) -> D
     return seen.select("type_id", "member_id", "name", "depth", ((F.col("access") != "private") | (F.col("depth") == 0)).alias("accessible"))
 
 
-def include_closure(includes: DataFrame, seeds: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def include_closure(includes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(path, reached, depth): all files that a file sees through includes; seeds: path, the files of interest."""
     edges = includes.select("path", F.col("resolved_path").alias("reached"))
-    return closure(edges, "path", "reached", max_depth, seeds)
+    return closure(edges, "path", "reached", seeds)
 
 
 def filter_tree(anc: DataFrame, hits: DataFrame) -> DataFrame:

@@ -16,15 +16,19 @@ from corvane.operators.tables import saved
 LINE_BLOCK = 256
 
 
-def closed_redirects(redirects: DataFrame, hops: int = 16) -> DataFrame:
-    """(old_name, new_name) with chains followed to their end by doubling; names in a cycle or a longer chain are dropped."""
-    one = saved(redirects.groupBy("old_name").agg(F.min("new_name").alias("new_name")).where("old_name <> new_name"), "redirects")
-    now, reach = one, 1
-    while reach < hops:
+def closed_redirects(redirects: DataFrame) -> DataFrame:
+    """(old_name, new_name) with chains followed to their end by doubling; names that end in a cycle are dropped.
+
+    As long as a chain is open, a doubling ends some names; what is left once none ends goes round in a cycle.
+    """
+    now = one = saved(redirects.groupBy("old_name").agg(F.min("new_name").alias("new_name")).where("old_name <> new_name"), "redirects")
+    old = one.select(F.col("old_name").alias("new_name"))
+    last, open_names = None, now.join(old, "new_name", "left_semi").count()
+    while open_names and open_names != last:
         step = now.select(F.col("old_name").alias("new_name"), F.col("new_name").alias("_next"))
         now = saved(now.join(step, "new_name", "left").select("old_name", F.coalesce("_next", "new_name").alias("new_name")), "redirects")
-        reach *= 2
-    return now.join(one.select(F.col("old_name").alias("new_name")), "new_name", "left_anti").select("old_name", "new_name")
+        last, open_names = open_names, now.join(old, "new_name", "left_semi").count()
+    return now.join(old, "new_name", "left_anti").select("old_name", "new_name")
 
 
 def apply_redirects(df: DataFrame, redirects: DataFrame, col: str, closed: bool = False) -> DataFrame:

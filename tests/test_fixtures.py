@@ -140,6 +140,18 @@ def test_redirects_and_aliases(spark):
     assert [tuple(x) for x in resolve.detect_module_aliases(lost, symbols).collect()] == [("OldModule", "New", 2)]
 
 
+def test_a_chain_of_seventy(spark):
+    steps = frame(spark, "path int, resolved_path int", *[(i, i + 1) for i in range(70)])
+    got = {r.reached: r.depth for r in hierarchy.include_closure(steps, frame(spark, "path int", (0,))).collect()}
+    assert got == {t: t for t in range(1, 71)}
+
+
+def test_long_redirects(spark):
+    r = frame(spark, "old_name int, new_name int", *[(i, i + 1) for i in range(100)], *[(200 + i, 201 + i) for i in range(30)], (230, 220))
+    assert {x.old_name: x.new_name for x in resolve.closed_redirects(r).collect()} == dict.fromkeys(range(100), 100)
+    assert resolve.closed_redirects(r.where("false")).count() == 0
+
+
 def test_nearest_folder_and_scope(spark):
     files = frame(spark, "path string", ("/p/Source/Game/Ui/a.h",), ("/p/Source/Game/b.h",), ("/q/c.h",))
     modules = frame(spark, "dir string, module string", ("/p/Source/Game", "Game"), ("/p/Source/Game/Ui/", "Ui"))
