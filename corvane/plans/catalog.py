@@ -600,6 +600,14 @@ def token_counts(spark, sf) -> DataFrame:
     return d.join(words, d["doc_id"] == words["path"], "left").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words"))
 
 
+@query(None)
+def whole_token_counts(spark, sf) -> DataFrame:
+    """As token_counts, over all documents: strings, comments, directives and numbers count as no words. Tested against a count by hand."""
+    d = v.table(spark, sf, "documents")
+    words = extract.tokenize(d.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).where("kind in ('identifier', 'keyword')").groupBy("path").agg(F.count("*").alias("n"))
+    return d.join(words, d["doc_id"] == words["path"], "left").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words"))
+
+
 # Inspections
 
 

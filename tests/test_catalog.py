@@ -43,3 +43,10 @@ def test_wait_cycles_match_a_walk(spark, sf):
                 break
             seen |= now
     assert {r.thread: r.cycle_length for r in QUERIES["wait_cycles"](spark, sf).collect()} == want
+
+
+def test_whole_token_counts_read_every_document(spark, tmp_path):
+    rows = [(1, "en", 'say "not these" but it\'s // gone\n#include x 12 y'), (2, "en", None), (3, "de", "äpfel ist 3x")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.lang: (r.n_documents, r.n_words) for r in QUERIES["whole_token_counts"](spark, f"file://{tmp_path}").collect()}
+    assert got == {"en": (2, 6), "de": (1, 2)}
