@@ -125,6 +125,13 @@ def wait_cycles(spark, sf) -> DataFrame:
     return hierarchy.wait_cycles(li.select(F.col("l_suppkey").alias("waiter"), (F.col("l_partkey") % 100).alias("holder")).where("waiter <> holder"))
 
 
+@query(None)
+def whole_wait_cycles(spark, sf) -> DataFrame:
+    """As wait_cycles, over all lines. Tested against brute force."""
+    li = v.table(spark, sf, "lineitem")
+    return hierarchy.wait_cycles(li.select(F.col("l_suppkey").alias("waiter"), (F.col("l_partkey") % 100).alias("holder")).where("waiter <> holder"))
+
+
 # Resolution
 
 
@@ -147,6 +154,15 @@ def property_matches(spark, sf) -> DataFrame:
     return hits.groupBy("target_name").agg(F.count("*").alias("n_matches"), F.count_distinct("asset_path").alias("n_assets"))
 
 
+@query("""WITH n AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT n.p_name AS target_name, count(*) AS n_matches, count(DISTINCT l_orderkey) AS n_assets FROM n JOIN part p ON p.p_name = n.p_name GROUP BY n.p_name""")
+def whole_property_matches(spark, sf) -> DataFrame:
+    """As property_matches, over all lines."""
+    names = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("asset_path"), F.col("l_partkey").alias("symbol_id")).join(v.symbols(spark, sf), "symbol_id")
+    hits = resolve.match_property_names(names.select("asset_path", F.col("name").alias("target_name")), v.symbols(spark, sf))
+    return hits.groupBy("target_name").agg(F.count("*").alias("n_matches"), F.count_distinct("asset_path").alias("n_assets"))
+
+
 @query("""WITH w AS (SELECT DISTINCT 'Old' || p_brand AS old_module, p_name FROM part WHERE p_size % 2 = 0), s AS (SELECT DISTINCT p_brand, p_name FROM part),
 n AS (SELECT old_module, p_brand AS new_module, count(*) AS n_classes FROM w JOIN s USING (p_name) GROUP BY ALL)
 SELECT old_module, new_module, n_classes FROM (SELECT *, row_number() OVER (PARTITION BY old_module ORDER BY n_classes DESC, new_module) AS r FROM n) WHERE r = 1""")
@@ -335,6 +351,15 @@ def all_usages(spark, sf) -> DataFrame:
     return usages.find_usages(u.where("l_returnflag = 'A'"), u.where("l_returnflag = 'N'"), usages.macro_body_uses(u.where("l_returnflag = 'R'"), bodies))
 
 
+@query("""SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, 0 AS col, l_partkey AS symbol_id FROM lineitem WHERE l_returnflag IN ('A', 'N')
+UNION SELECT l_orderkey, l_linenumber, 0, p_partkey FROM lineitem JOIN part ON p_size = l_suppkey WHERE l_returnflag = 'R'""")
+def whole_usages(spark, sf) -> DataFrame:
+    """As all_usages, with all parts as macro bodies."""
+    u = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.lit(0).alias("col"), F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("macro_id"), "l_returnflag")
+    bodies = v.symbols(spark, sf).select(F.col("size").cast("long").alias("macro_id"), "symbol_id")
+    return usages.find_usages(u.where("l_returnflag = 'A'"), u.where("l_returnflag = 'N'"), usages.macro_body_uses(u.where("l_returnflag = 'R'"), bodies))
+
+
 @query("SELECT l_returnflag AS use_kind, l_partkey % 5 = 0 AS uncertain, count(*) AS n, (l_partkey % 5 = 0)::INT AS list_order FROM lineitem GROUP BY ALL")
 def uncertain_uses(spark, sf) -> DataFrame:
     u = v.asset_refs(spark, sf).withColumn("receiver_type", F.when(F.col("target_id") % 5 != 0, F.col("target_id")))

@@ -50,3 +50,21 @@ def test_whole_token_counts_read_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r.lang: (r.n_documents, r.n_words) for r in QUERIES["whole_token_counts"](spark, f"file://{tmp_path}").collect()}
     assert got == {"en": (2, 6), "de": (1, 2)}
+
+
+def test_whole_wait_cycles_match_a_walk(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey a", "l_partkey % 100 b").where("a <> b").distinct().toPandas()
+    out = {}
+    for a, b in li.itertuples(index=False):
+        out.setdefault(a, set()).add(b)
+    want = {}
+    for start in out:
+        seen, now, n = set(), {start}, 0
+        while now:
+            n += 1
+            now = {y for x in now for y in out.get(x, ())} - seen
+            if start in now:
+                want[start] = n
+                break
+            seen |= now
+    assert {r.thread: r.cycle_length for r in QUERIES["whole_wait_cycles"](spark, sf).collect()} == want
