@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.tables import hadoop_path, saved, shared_dir
+
 #: What counts as white space between words.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -27,20 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or f"file://{tempfile.mkdtemp(prefix='spark-corvane-')}").rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later work doesn't repeat what led to it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Gives a `saved` whose tables are deleted at the end of the block; what is returned from it must be saved otherwise."""
@@ -54,8 +41,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     try:
         yield save
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = hadoop_path(spark, folder)
+        store.delete(path, True)
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
@@ -79,19 +66,22 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: Bits of the filter that keeps rows without a partner out of shuffles: its size is fixed.
-FILTER_BITS = 1 << 23
+#: Bits a key of the filter that keeps rows without a partner out of shuffles, and its least and greatest size in bits.
+KEY_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 28
 
 
 def maybe_among(df: DataFrame, keys: DataFrame, key: str, wanted: bool = True) -> DataFrame:
-    """Rows whose key (a long) may be (wanted) or surely isn't among keys: a hashed bitmap of FILTER_BITS bits (1 MB) is broadcast.
+    """Rows whose key may be (wanted) or surely isn't among keys: a hashed bitmap of KEY_BITS bits a row of keys is broadcast.
 
-    It only spares shuffles: rows that pass by chance find no partner in the join that follows. Null keys are among nothing.
+    keys is counted first, so give a written table. A bitmap has MOST_BITS (32 MB) at most: beyond 33 million keys it fills up,
+    and from some 500 million on nearly all rows pass. It only spares shuffles: rows that pass by chance find no partner in the
+    join that follows. Null keys are among nothing.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(size))
     bits = keys.where(F.col(key).isNotNull()).select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
     rows = df.withColumn("_b", place).withColumn("_bucket", F.bitmap_bucket_number("_b")).withColumn("_at", F.bitmap_bit_position("_b"))
-    rows = rows.join(F.broadcast(bits), "_bucket", "left")  # at most FILTER_BITS / 32768 + 1 rows of 4 KB
+    rows = rows.join(F.broadcast(bits), "_bucket", "left")  # at most MOST_BITS / 32768 + 1 rows of 4 KB
     bit = F.expr("pmod(shiftright(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)), 2) = 1")
     is_set = F.coalesce(bit & F.col(key).isNotNull(), F.lit(False))
     return rows.where(is_set if wanted else ~is_set).drop("_b", "_bucket", "_at", "_bits")
