@@ -13,18 +13,12 @@ documents are dropped by the first stage.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvane.llm import bpe, minhash, mixing, suffix, toxicity
-from corvane.llm.common import maybe_among, saved, scratch, shared_dir, slices, table, text_bytes, text_of, word_spans
+from corvane.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Repeated passages of so many words and more are cut out. The fewest bytes that so many words take: one each, and one between.
@@ -46,66 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return one.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
-def _windows(found: DataFrame) -> DataFrame:
-    """(row_key, start, end, h1, h2): every PASSAGE_WORDS whole words in a row that lie in a span, with a 128-bit hash of their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = text_bytes(batch.column("text"))
-            starts, ends, before = word_spans(data, offsets)
-            raw = memoryview(np.ascontiguousarray(data))
-            keys, lo, hi = [], [], []
-            for i, (key, own) in enumerate(zip(batch.column("row_key").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-                first, last = starts[before[i] : before[i + 1]] - offsets[i], ends[before[i] : before[i + 1]] - offsets[i]
-                for s in own:
-                    a, b = np.searchsorted(first, s["start"]), np.searchsorted(last, s["end"], side="right")
-                    if b - a >= PASSAGE_WORDS:
-                        n = b - a - PASSAGE_WORDS + 1
-                        keys.append(np.full(n, key, np.int64))
-                        lo.append(first[a : a + n] + offsets[i])
-                        hi.append(last[a + PASSAGE_WORDS - 1 : b] + offsets[i])
-            if keys:
-                key, a, b = np.concatenate(keys), np.concatenate(lo), np.concatenate(hi)
-                found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
-                base = offsets[np.searchsorted(offsets, a, side="right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array((x - base).astype(np.int32)) for x in (a, b)), pa.array(found[:, 0]), pa.array(found[:, 1])], ["row_key", "start", "end", "h1", "h2"])
-
-    return found.select("row_key", "text", "spans").mapInArrow(run, "row_key long, start int, end int, h1 long, h2 long")
-
-
-@F.pandas_udf(T.StringType())
-def _without_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """The texts without the bytes of their spans, which begin and end with words and may overlap."""
-    out = []
-    for text, own in zip(texts, spans, strict=True):
-        raw = text.encode()
-        cut, at = [], 0
-        for a, b in sorted((s["start"], s["end"]) for s in own):
-            cut.append(raw[at:a])
-            at = max(at, b)
-        out.append(b"".join([*cut, raw[at:]]).decode())
-    return pd.Series(out, dtype=object)
-
-
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once; every document stays, if only with an empty text.
 
-    A passage is PASSAGE_WORDS or more whole words in a row. The suffix orders find all repeated bytes; a run of them may be
-    chained from repeats of fewer words, so the windows of words within the runs are counted, and only repeated windows go.
+    A passage is PASSAGE_WORDS or more whole words in a row, whatever white space lies between them.
     """
-    keyed = docs.select(COLUMNS).withColumn("row_key", F.xxhash64("doc_id", text_of()))
-    with scratch(spark) as save:
-        found = suffix.without_repeats(keyed.withColumnRenamed("row_key", "_row"), PASSAGE_BYTES).where(F.size("spans") > 0)
-        windows = save(_windows(found.withColumnRenamed("_row", "row_key")), "windows")
-        twice = save(windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "repeated-windows")
-        own = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        passages = saved(own, "passages")
-    plain = maybe_among(keyed, passages, "row_key", wanted=False)
-    cut = maybe_among(keyed, passages, "row_key").join(passages, "row_key", "left")
-    none = F.array().cast(passages.schema["spans"].dataType)
-    text = F.when(F.col("text").isNotNull(), _without_spans(text_of(), F.coalesce("spans", none)))
-    out = plain.select(COLUMNS).unionByName(cut.withColumn("text", text).select(COLUMNS))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    cut = suffix.without_repeats(docs.select(COLUMNS), PASSAGE_WORDS, unit="word")
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
