@@ -7,13 +7,17 @@
 4. In each bucket every class is paired with the smallest one (a star, so a bucket of n classes gives n - 1 pairs). Pairs
    whose sizes or signatures rule out the threshold go; the rest are confirmed on the full sets, made from the texts.
 5. Confirmed links are merged by large-star and small-star. Buckets that still hold several components have their members
-   of different components compared by signature in blocks of bounded size, each pair in the first band that they share, and
-   what those find is confirmed and merged too. So a link that isn't to a bucket's smallest class is found as well.
+   of different components compared by signature, each pair in the first band that they share, and what those find is
+   confirmed and merged too. So a link that isn't to a bucket's smallest class is found as well.
+6. Buckets of over BLOCK classes of several components (texts with much in common, but less than the threshold) are not compared
+   in pairs. Their classes are dealt anew by their rarest shingles: two sets of similarity t share one of the |A| - t |A| + 1 rarest
+   of either, so this loses no link, and what many texts have in common is in nobody's rare part.
 
 The first confirmation takes the best pair of each class only; the other pairs count only while they join components.
 
 Null and empty texts have empty sets and no links. With fewer words than a shingle takes, all words form one. Rows that share
-an id are one node; if their texts differ, links are confirmed on the greatest of them. A null id can't be linked: its component is null and the row is kept. An empty table gives no rows.
+an id are one node, linked by each of their texts: all classes of an id are one component, and its empty rows belong to it.
+A null id can't be linked: its component is null and the row is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD, binary_array, lower_ascii, maybe_among, saved, scratch, slices, small_batches, table, text_bytes, text_of, word_spans
@@ -33,7 +37,7 @@ from corvane.llm.components import components
 BANDS, ROWS, MINIMA, SEED = 32, 4, 512, 20240917
 #: Similarity in hundredths. SLACK: how far below it a signature's estimate may be (four and a half standard deviations).
 PERCENT, SLACK = 80, 0.08
-#: Members of one bucket that are compared in one block of the last search.
+#: Members of one bucket that are compared with each other.
 BLOCK = 2_000
 _CHUNK = 1 << 16
 
@@ -190,9 +194,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
         last, mine = None, set()
         for batch in batches:
             keep = []
-            for i, (a, ta, tb) in enumerate(zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True)):
-                if a != last:
-                    last, mine = a, shingle_set(ta.as_py(), words)
+            for i, (ta, tb) in enumerate(zip(batch.column("ta"), batch.column("tb"), strict=True)):
+                if last is None or not ta.as_buffer().equals(last):
+                    last, mine = ta.as_buffer(), shingle_set(ta.as_py(), words)
                 other = shingle_set(tb.as_py(), words)
                 both = len(mine & other)
                 if both and 100 * both >= percent * (len(mine) + len(other) - both):
@@ -203,15 +207,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return t.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
-def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _components_of(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, node) with the component of each."""
+    return members.join(labels.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """(key, n) of the buckets that hold several components."""
+    return own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
+
+
+def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float, banded: bool) -> DataFrame:
     """(a, b): pairs of different components that share a bucket and whose signatures allow a link.
 
-    A bucket is cut into blocks of about BLOCK members; each pair of blocks is one group, so groups are bounded
-    and a pair is given only if its signatures agree.
+    A bucket of over BLOCK members is cut into blocks; each pair of blocks is one group, so groups are bounded
+    and a pair is given only if its signatures agree. banded: keys are bands, and a pair belongs to the first that it shares.
     """
-    own = members.join(labels.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = own.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    sized = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = own.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     rows = rows.join(classes.select("node", "n_shingles", "bands", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
@@ -219,7 +232,7 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, least: fl
         node, part, size, block = (t[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
         signed, keys = matrix(t["signature"], np.uint8, MINIMA), matrix(t["bands"], np.int64, BANDS)
         i, j, key = t["i"][0].as_py(), t["j"][0].as_py(), t["key"][0].as_py()
-        band = int((keys[0] == key).argmax())
+        band = int((keys[0] == key).argmax()) if banded else 0
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
@@ -235,7 +248,32 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, least: fl
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     found = rows.select("key", "i", "j", "block", "node", "component", "n_shingles", "bands", "signature").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, node) for the rarest shingles of every text, as many as any set of that similarity must share one of. texts: node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            hashes, offsets = shingle_hashes(batch.column("text"), words)
+            sizes = np.diff(offsets)
+            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            own = np.array([xxhash.xxh3_64_intdigest(t.as_buffer()) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(np.repeat(own, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(hashes.view(np.int64))], ["node", "own", "size", "key"])
+
+    shingles = texts.select("node", "text").mapInArrow(run, "node long, own long, size long, key long")
+    spread = shingles.join(shingles.groupBy("key").agg(F.count("*").alias("n")), "key")
+    rarest = Window.partitionBy("node", "own").orderBy("n", "key")
+    wanted = F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1
+    return spread.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= wanted).select("key", "node").distinct()
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, save) -> DataFrame:
+    """(doc_id, text): the different texts of the given ids (doc_id)."""
+    ids = save(ids.distinct(), "ids")
+    own = maybe_among(docs, ids, "doc_id").join(ids, "doc_id", "left_semi")
+    return save(own.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.max("text").alias("text")).select("doc_id", "text"), "texts")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,9 +293,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc
         members = members.select("key", "node")
 
         best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-        involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-        texts = save(maybe_among(docs, involved, "doc_id").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+        texts = _texts_of(docs, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")), save)
         links = save(_confirmed(best, texts, words, percent), "links")
+        ids = classes.select("set_id", "node")
+        several = linked.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("doc_id")
+        nodes = save(linked.join(several, "doc_id", "left_semi").join(ids, "set_id").select("doc_id", "node").distinct(), "nodes-of-ids")
+        links = links.unionByName(nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").select(F.col("node").alias("u"), "v"))
         labels = components(links, save)
 
         side = lambda n: labels.select(F.col("u").alias(n), F.col("v").alias(f"of_{n}"))
@@ -265,15 +306,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc
         more = save(_confirmed(crossing(stars), texts, words, percent), "links")
         labels = labels if more.isEmpty() else components(labels.unionByName(more), save)
 
-        across = save(_across(members, labels, classes, least), "across")
-        wanted = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct()
-        missing = wanted.join(texts.select("doc_id"), "doc_id", "left_anti")
-        texts = texts.unionByName(maybe_among(docs, missing, "doc_id").join(missing, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
-        more = save(_confirmed(across, texts, words, percent), "links")
-        labels = labels if more.isEmpty() else components(labels.unionByName(more), save)
-
-        ids = classes.select("set_id", "node")
-        out = sketch.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left").join(labels.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left")
+        own = save(_components_of(members, labels), "members")
+        mixed = save(_mixed(own), "mixed-buckets")
+        across = save(_across(own, mixed.where(F.col("n") <= BLOCK), classes, least, banded=True), "across")
+        large = mixed.where(F.col("n") > BLOCK)
+        if not large.isEmpty():
+            wide = own.join(large.select("key"), "key", "left_semi").select(F.col("node").alias("doc_id"))
+            rare = save(_components_of(rare_shingles(_texts_of(docs, wide, save).withColumnRenamed("doc_id", "node"), words, percent), labels), "rare-shingles")
+            across = save(across.unionByName(_across(rare, _mixed(rare), classes, least, banded=False)).distinct(), "across")
+        if not across.isEmpty():
+            texts = _texts_of(docs, across.select(F.col("a").alias("doc_id")).union(across.select("b")), save)
+            more = save(_confirmed(across, texts, words, percent), "links")
+            labels = labels if more.isEmpty() else components(labels.unionByName(more), save)
+
+        out = sketch.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
+        empty = sketch.where("doc_id is not null and set_id is null").select("doc_id")
+        if not empty.isEmpty():  # an empty row of an id that has other rows is in their component
+            named = linked.join(empty, "doc_id", "left_semi").join(ids, "set_id").groupBy("doc_id").agg(F.min("node").alias("_node"))
+            out = out.join(named, "doc_id", "left").withColumn("node", F.coalesce("node", "_node"))
+        out = out.join(labels.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left")
         return saved(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "node", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
 
 

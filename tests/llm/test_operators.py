@@ -153,6 +153,38 @@ def test_near_duplicates_match_brute_force(spark, words):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_large_buckets_are_dealt_by_rare_shingles(spark, monkeypatch):
+    """Texts that share much, but not enough, meet in all bands; links among them must be found without comparing all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    draw = random.Random(3)
+    common = [f"c{i}" for i in range(70)]
+    own = [[f"o{g}_{i}" for i in range(30)] for g in range(12)]
+    # two copies of each text with some change; the first 70 words are the same in all
+    rows = [(100 * c + g, " ".join(common + [w if draw.random() > 0.05 else "x" for w in own[g]]), None, None, 0) for g in range(12) for c in range(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    want = brute_components(rows, 5, 80)
+    assert got == want and len({c for _, c in want.values()}) > 1
+    rare = minhash.rare_shingles(documents(spark, rows).selectExpr("doc_id as node", "text"), 5, 80).collect()
+    sets = {}
+    for r in rare:
+        sets.setdefault(r.node, set()).add(r.key)
+    texts = {r[0]: minhash.shingle_set(r[1], 5) for r in rows}
+    for x in texts:
+        for y in texts:
+            if 100 * len(texts[x] & texts[y]) >= 80 * len(texts[x] | texts[y]):
+                assert sets[x] & sets[y]
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    a, b, c, d = map(text, "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (11, d), (11, ""), (12, d), (13, a + " z"), (15, ""), (15, None), (4, c), (4, d)]
+    got = minhash.near_duplicates(documents(spark, [(i, t, None, None, 0) for i, t in rows]).withColumn("component_id", F.lit("clash")).withColumn("kept", F.lit("clash"))).collect()
+    want = {3: 3, 5: 3, 7: 3, 13: 3, 9: 4, 11: 4, 12: 4, 4: 4, 15: 15}
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got), got
+    assert {r.doc_id for r in got if r.kept} == {3, 4, 15}
+
+
 def test_components_match_brute_force(spark):
     draw = random.Random(5)
     edges = [(draw.randint(0, 80), draw.randint(0, 80)) for _ in range(60)] + [(500, i) for i in range(200, 260)] + [(i, i + 1) for i in range(600, 660)] + [(None, 1), (7, 7)]
