@@ -3,8 +3,10 @@
 A text's terms are its words (letters and digits, lower case) and their first 4 and 5 characters, hashed into DIM
 buckets; each counts once a text. The score is the logistic of bias + sum of weights + sum over pairs of terms of the inner
 product of their factors, so a pair can say what neither term says alone (an insult beside the mention of a group).
-The model is fitted on at most SAMPLE labelled rows, the ones with the smallest hash of their id; buckets that fewer than LEAST rows of
-the sample have, or that tell nothing of the label there, are left out. So the model has a bounded size whatever the corpus, and it is sent to all tasks.
+The model is fitted on at most SAMPLE labelled rows, the ones with the smallest hash of their id. Of the buckets that at least LEAST rows of
+the sample have, it takes those that tell of the label alone (chi-square of TELLING) and those that tell of it in pairs: of the PAIRED
+most frequent buckets, a and b count if among the rows with a the ones with b differ in their labels, and among the rows with b
+those with a (chi-square of TELLING_PAIR each), whatever either says alone. So the model has a bounded size whatever the corpus, and it is sent to all tasks.
 
 Null and empty texts have no terms and get the bias alone. Labels that are null are ignored; an id with several labels or texts
 counts with each. Without labels of both kinds the score is the same for all rows. Ids may be null or repeated.
@@ -27,8 +29,8 @@ from corvane.llm.common import binary_array, held_out, slices, small_batches, ta
 
 DIM = 1 << 22
 SAMPLE, LEAST = 16_384, 4
-#: Terms count whose chi-square with the label reaches this in the sample.
-TELLING = 12.0
+#: Terms count whose chi-square with the label reaches this in the sample; or, in pairs of the PAIRED most frequent, within each other's rows.
+TELLING, TELLING_PAIR, PAIRED = 12.0, 25.0, 2_048
 PREFIXES = (4, 5)
 FACTORS, EPOCHS, BATCH, RATE, L1, L2, SEED = 4, 15, 256, 0.15, 1e-4, 1e-3, 7
 THRESHOLD = 0.3
@@ -107,6 +109,33 @@ def _with_bias(places: np.ndarray, offsets: np.ndarray, bias: int) -> tuple[np.n
     return index, starts
 
 
+def _known(row: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The places in terms (sorted) of those of a row's terms that are in it."""
+    if not len(terms):
+        return row[:0]
+    at = np.searchsorted(terms, row)
+    return at[(at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == row)]
+
+
+def telling_in_pairs(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Which of the terms tell of the label in some pair. Rows are counted in blocks: two tables of len(terms) squared are held."""
+    n = len(terms)
+    both, hits = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for at in range(0, len(labels), 1024):
+        block = np.zeros((min(1024, len(labels) - at), n), np.float32)
+        for i in range(len(block)):
+            block[i, _known(flat[offsets[at + i] : offsets[at + i + 1]], terms)] = 1
+        both += block.T @ block
+        toxic = block[labels[at : at + 1024] > 0]
+        hits += toxic.T @ toxic
+    rows = np.maximum(np.diag(both), 1)[:, None]
+    rate = np.diag(hits)[:, None] / rows  # among the rows with the first of the pair
+    spread = both * rate * (1 - rate) * (1 - both / rows)
+    tells = (hits - both * rate) ** 2 >= TELLING_PAIR * spread
+    tells &= spread > 0
+    return (tells & tells.T).any(axis=1)
+
+
 def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
     """Adaptive gradient steps on the logistic loss, weights drawn to zero by L1 and factors by L2.
 
@@ -122,7 +151,9 @@ def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Factorizat
         np.add.at(hits, part[own], 1)
     terms = np.flatnonzero(counts >= LEAST)
     seen, hit = counts[terms].astype(float), hits[terms]
-    terms = terms[(hit - seen * prior) ** 2 >= TELLING * seen * prior * (1 - prior)]
+    alone = terms[(hit - seen * prior) ** 2 >= TELLING * seen * prior * (1 - prior)]
+    frequent = np.sort(terms[np.lexsort((terms, -seen))[:PAIRED]])
+    terms = np.union1d(alone, frequent[telling_in_pairs(flat, offsets, labels, frequent)])
     n = len(terms)
     draw = np.random.default_rng(SEED)
     model = FactorizationMachine(terms, np.zeros(n + 1), draw.normal(0, 0.01, (n + 1, FACTORS)))
@@ -131,11 +162,7 @@ def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Factorizat
     model.weights[n] = np.log((positive + 1) / (len(labels) - positive + 1))
     if positive in (0, len(labels)):
         return model
-    own = []
-    for i in range(size):
-        r = flat[offsets[i] : offsets[i + 1]]
-        at = np.searchsorted(terms, r)
-        own.append(at[(at < n) & (terms[np.minimum(at, n - 1)] == r)] if n else at[:0])
+    own = [_known(flat[offsets[i] : offsets[i + 1]], terms) for i in range(size)]
     gw, gv = np.full(n + 1, 1e-6), np.full((n + 1, FACTORS), 1e-6)
     for _ in range(EPOCHS):
         order = draw.permutation(size)

@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,6 +460,60 @@ def test_toxicity_learns_an_interaction(spark):
     assert len(wrong) <= 0.03 * len(rows)
 
 
+def test_toxicity_learns_what_no_term_says_alone():
+    """Toxic if exactly one of two words is there: neither word's rows differ in their labels, so additive weights can't tell."""
+    draw = random.Random(9)
+
+    def made(n):
+        rows, labels = [], []
+        for _ in range(n):
+            one, other = draw.random() < 0.5, draw.random() < 0.5
+            words = [f"word{draw.randint(0, 60)}" for _ in range(20)] + ["grobian"] * one + ["gnomes"] * other
+            draw.shuffle(words)
+            rows.append(" ".join(words))
+            labels.append(float(one != other))
+        return pa.array(rows, pa.string()), np.array(labels)
+
+    texts, labels = made(1500)
+    flat, offsets = toxicity.text_terms(texts)
+    model = toxicity.fit(flat, offsets, labels)
+    texts, labels = made(800)
+    places, offsets = toxicity.text_terms(texts, model.terms)
+    assert ((model.margins(places, offsets) > 0) == labels).mean() > 0.95
+    model.factors[:] = 0
+    assert ((model.margins(places, offsets) > 0) == labels).mean() < 0.8
+
+
+def loop_score(model, text):
+    """The score of a text by plain loops over its terms and their pairs."""
+    terms = set().union(*(toxicity.word_terms(w) for w in re.findall(r"[^ \t-\r]+", text or "")))
+    at = [i for i, t in enumerate(model.terms.tolist()) if t in terms]
+    y = model.weights[-1] + sum(model.weights[i] for i in at)
+    for n, i in enumerate(at):
+        for j in at[n + 1 :]:
+            y += sum(a * b for a, b in zip(model.factors[i], model.factors[j], strict=True))
+    return 1 / (1 + np.exp(-y))
+
+
+def test_op10_matches_loops(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    model = toxicity.learn(docs, common.table(spark, sf, "labels"))
+    got = QUERIES["op10_toxicity"](spark, sf).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)
+        assert abs(r.score - loop_score(model, texts[r.doc_id])) < 1e-6
+
+
+def test_toxicity_ties_of_terms_are_settled():
+    """Equally frequent terms: which of them are searched for pairs doesn't depend on the order of rows."""
+    flat, offsets = np.tile(np.arange(10, 30), 40), np.arange(0, 801, 20)
+    labels = np.array([0.0, 1.0] * 20)
+    one, other = toxicity.fit(flat, offsets, labels), toxicity.fit(flat, offsets, labels)
+    assert (one.terms == other.terms).all() and (one.weights == other.weights).all()
+
+
 def test_toxicity_on_hard_rows(spark):
     rows, labels = toy(100)
     for model in (toxicity.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")), toxicity.learn(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))):
