@@ -2,7 +2,8 @@
 
 A text is brought to one canonical form (Unicode NFKC, case folding, runs of white space to one blank, none at the
 ends) and hashed with 128-bit xxhash. Rows with equal digests are then compared byte for byte, so a clash of digests
-never joins two documents.
+never joins two documents. Only buckets of several rows are compared: their canonical texts are packed and grouped with their
+digests, with partial aggregation, so a group that holds a third of all rows costs one row a task.
 
 Null texts count as empty; empty texts all share one fingerprint. Repeated rows stay repeated. A column of the input
 that has the name of a result column is replaced by the result.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import shuffle_partitions, small_batches, table, text_of
+from corvane.llm.common import maybe_among, saved, scratch, shuffle_partitions, small_batches, table, text_of
 
 
 def canonical(text: str) -> str:
@@ -36,28 +37,59 @@ def digest(canon: str) -> str:
     return xxhash.xxh3_128_hexdigest(canon.encode("utf-8", "surrogatepass"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("canonical", T.StringType())]))
-def _canonical_digest(texts: pd.Series) -> pd.DataFrame:
-    canon = texts.map(canonical)
-    return pd.DataFrame({"fingerprint": canon.map(digest), "canonical": canon})
+@F.pandas_udf(T.StringType())
+def _digests(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: digest(canonical(t)))
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    """The canonical texts, compressed: equal if and only if these are."""
+    codec = pa.Codec("zstd", 3)
+    return texts.map(lambda t: codec.compress(canonical(t).encode("utf-8", "surrogatepass"), asbytes=True))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """The input with the canonical digest (32 hex digits) of each whole text."""
     small_batches(docs.sparkSession)
-    return docs.withColumn(out, _canonical_digest(text_of(text))["fingerprint"])
+    return docs.withColumn(out, _digests(text_of(text)))
+
+
+def buckets(docs: DataFrame) -> DataFrame:
+    """(fingerprint, packed, group_id, group_size, variants), written, for every canonical text of the rows whose digests occur more than once.
+
+    docs: doc_id, text, without nulls in text. group_id: the smallest id; variants: different texts with that digest, 1 unless digests clash.
+    """
+    with scratch(docs.sparkSession) as save:
+        keyed = docs.select("doc_id", "text", _digests("text").alias("fingerprint"))
+        several = save(keyed.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "several")
+        packed = maybe_among(keyed, several, "fingerprint").select("doc_id", "fingerprint", _packed("text").alias("packed"))
+        groups = save(packed.groupBy("fingerprint", "packed").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")), "groups")
+        variants = groups.groupBy("fingerprint").agg(F.count("*").alias("variants"), F.sum("group_size").alias("n")).where("n > 1").drop("n")
+        clash = save(variants.where("variants > 1"), "clashes")
+        alone = groups.where("group_size > 1").select("fingerprint", F.lit(None).cast("binary").alias("packed"), "group_id", "group_size", F.lit(1).cast("long").alias("variants"))
+        if clash.isEmpty():
+            return saved(alone, "buckets")
+        return saved(alone.join(clash, "fingerprint", "left_anti").unionByName(groups.join(clash, "fingerprint").select(alone.columns)), "buckets")
+
+
+def _with_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (doc_id, text, fingerprint, ...) with group_id and group_size out of buckets; texts are compared where digests clash."""
+    out = rows.join(found.where("variants = 1").select("fingerprint", "group_id", "group_size"), "fingerprint", "left")
+    clash = found.where("variants > 1").select("fingerprint", "packed", F.col("group_id").alias("_id"), F.col("group_size").alias("_size"))
+    if not clash.isEmpty():
+        out = out.withColumn("packed", _packed("text")).join(clash, ["fingerprint", "packed"], "left").withColumn("group_id", F.coalesce("_id", "group_id")).withColumn("group_size", F.coalesce("_size", "group_size"))
+    return out.withColumn("group_id", F.coalesce("group_id", "doc_id")).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, group_id (smallest id with the same canonical bytes), group_size.
 
-    The digest deals the rows; canonical bytes are part of the grouping key, so equal buckets are split by content.
-    Aggregation is partial before the shuffle, so a group that holds a third of all rows costs one row per task.
+    Digests deal the rows; canonical bytes are compared inside buckets. Null ids are passed over by group_id unless all are null.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), _canonical_digest(text_of(text)).alias("c")).select("doc_id", "c.*")
-    groups = keyed.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
-    return keyed.join(groups, ["fingerprint", "canonical"]).select("doc_id", "fingerprint", "group_id", "group_size")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    return _with_groups(docs.withColumn("fingerprint", _digests("text")), buckets(docs)).select("doc_id", "fingerprint", "group_id", "group_size")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,10 +144,13 @@ def _likeness(texts: pd.Series, edited: pd.Series, nexts: pd.Series) -> pd.DataF
 
 
 def op6_fingerprints(spark, sf_dir) -> DataFrame:
-    """Fingerprint of every document and of its edited text; an exact digest's likeness is 1 or 0."""
-    pairs = with_next(table(spark, sf_dir, "documents"))
+    """Fingerprint of every document and of its edited text, with its group of equal fingerprints; an exact digest's likeness is 1 or 0."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = with_next(docs)
     n = F.length("text").cast("long")
     cut = F.floor(n / 2)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next_text"), F.lit(1), cut.cast("int")))
     pairs = pairs.select("doc_id", n.alias("n_chars"), "text", edited.alias("edited"), "next_text")
-    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _likeness("text", "edited", "next_text").alias("f")).select("doc_id", "n_chars", "edited_sha256", "f.*")
+    rows = pairs.select("doc_id", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _likeness("text", "edited", "next_text").alias("f")).select("doc_id", "text", "n_chars", "edited_sha256", "f.*")
+    grouped = _with_groups(rows, buckets(docs.select("doc_id", text_of().alias("text"))))
+    return grouped.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size")

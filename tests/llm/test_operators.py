@@ -292,6 +292,13 @@ def test_op6_matches_brute_force(spark, sf):
     d = [(r.doc_id, r.text or "") for r in common.table(spark, sf, "documents").orderBy("doc_id").collect()]
     got = {r.doc_id: r for r in QUERIES["op6_fingerprints"](spark, sf).collect()}
     assert len(got) == len(d)
+    groups = {}
+    for k, text in d:
+        groups.setdefault(fingerprints.canonical(text), []).append(k)
+    for k, text in d:
+        own = groups[fingerprints.canonical(text)]
+        assert (got[k].group_id, got[k].group_size) == (min(own), len(own))
+    assert max(map(len, groups.values())) > 1
     for i, (k, text) in enumerate(d):
         after = d[(i + 1) % len(d)][1]
         n = len(text) // 2
@@ -301,6 +308,14 @@ def test_op6_matches_brute_force(spark, sf):
         assert (r.near_edited, r.near_next) == (float(r.fingerprint == r.edited_fingerprint), float(fingerprints.canonical(text) == fingerprints.canonical(after)))
 
 
+def test_clashing_digests_are_told_apart_by_bytes(spark):
+    rows = spark.createDataFrame([(1, "a", "f"), (2, "b", "f"), (3, "A ", "f"), (4, "c", "g"), (5, "c", "g"), (6, "d", "h")], "doc_id long, text string, fingerprint string")
+    packed = rows.select("doc_id", "fingerprint", fingerprints._packed("text").alias("packed")).groupBy("fingerprint", "packed").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    found = packed.withColumn("variants", F.when(F.col("fingerprint") == "f", 2).otherwise(1))
+    got = {r.doc_id: (r.group_id, r.group_size) for r in fingerprints._with_groups(rows, found).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 2), 5: (4, 2), 6: (6, 1)}
+
+
 def test_next_document_on_hard_rows(spark):
     got = fingerprints.with_next(documents(spark)).collect()
     assert len(got) == len(ROWS)
