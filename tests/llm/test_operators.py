@@ -80,6 +80,30 @@ def test_bpe_matches_the_library(spark):
     assert bpe.decode(bpe.encode(empty(spark), bpe.vocabulary_path()), bpe.vocabulary_path()).count() == 0
 
 
+def test_op2_matches_the_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.no_truncation()
+    t.no_padding()
+    want = {}
+    for r in common.table(spark, sf, "documents").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+    got = QUERIES["op2_bpe"](spark, sf).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_bpe_of_words_that_are_not_held(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    rows = [(i, f"{'ab' * 300} x {'cd' * 200}{i % 2} {'ab' * 300}", None, None, 0) for i in range(6)]
+    docs = documents(spark, rows).withColumn("ids", F.lit("clash")).withColumn("word", F.lit("clash")).repartition(3)
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(docs, bpe.vocabulary_path()).collect()}
+    assert got == {r[0]: t.encode(r[1], add_special_tokens=False).ids for r in rows}
+
+
 def test_bpe_cuts_at_token_boundaries():
     from tokenizers import Tokenizer
 
