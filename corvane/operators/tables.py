@@ -31,11 +31,16 @@ def hadoop_path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; it is deleted when the session's JVM ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An address in the shared folder that nothing has used; what is written there is deleted when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     found, store = hadoop_path(spark, path)
     store.deleteOnExit(found)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
