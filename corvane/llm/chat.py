@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,21 +143,14 @@ def unescape(text: Column) -> Column:
 def formatted(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans): the training text of each conversation, and the spans (start, length; code
     points) of it that the loss covers: the texts of role `learn`."""
-    t = turns.select("conv_id", F.struct("turn", "role", "text").alias("t"))
-    t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    piece = lambda x: F.struct(F.concat(F.lit('<turn role="'), escape(x["role"]), F.lit('">')).alias("head"), escape(x["text"]).alias("body"), (x["role"] == learn).alias("learn"))
-    t = t.select("conv_id", F.transform("turns", piece).alias("p"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int,learn:boolean>>").alias("spans"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["head"])
-        span = F.struct(start.alias("start"), F.length(x["body"]).alias("length"), x["learn"].alias("learn"))
-        return F.struct((start + F.length(x["body"]) + F.lit(len("</turn>"))).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    spans = F.aggregate("p", zero, add)["spans"]
-    spans = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    text = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit("</turn>"))), "")
-    return t.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    t = turns.select("conv_id", "turn", "role", "text", F.concat(F.lit('<turn role="'), escape(F.col("role")), F.lit('">')).alias("head"), escape(F.col("text")).alias("body"))
+    t = t.withColumn("piece", F.concat("head", "body", F.lit("</turn>")))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head")).cast("int")
+    t = t.select("conv_id", F.struct(start.alias("start"), F.length("body").alias("length"), (F.col("role") == learn).alias("learn"), "piece").alias("p"))
+    t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    spans = F.transform(F.filter("p", lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    return t.select("conv_id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(texts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.tables import hadoop_path, saved, shared_dir
+from corvane.operators.tables import hadoop_path, new_folder, saved
 
 #: What counts as white space between words.
 SPACE = r"\x20\x09-\x0D"
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Gives a `saved` whose tables are deleted at the end of the block; what is returned from it must be saved otherwise."""
-    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "scratch")
 
     def save(df: DataFrame, name: str) -> DataFrame:
         path = f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import saved, shared_dir, shuffle_partitions, small_batches, table, text_of
+from corvane.llm.common import hadoop_path, new_folder, saved, shuffle_partitions, small_batches, table, text_of
 
 MIN_REVISIT = 100
 #: An archive is closed when it has grown to so many bytes.
 ARCHIVE_BYTES = 64 << 20
 PIECE = 64 << 10
+#: Schemes of addresses that tasks can write to.
+FILE_SYSTEMS = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,7 +98,15 @@ def plan_revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
 
 
 def write_archives(planned: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the planned records below `folder` (any address that Arrow's file systems know); gives (archive, n_records)."""
+    """Write the planned records below `folder`; gives (archive, n_records). A path without a scheme is one of Spark's default file
+    system; a file system that Arrow doesn't know is an error at once."""
+    if ":/" not in folder:
+        path, store = hadoop_path(planned.sparkSession, folder)
+        folder = store.makeQualified(path).toString()
+    scheme, _, rest = folder.partition(":")
+    if scheme not in FILE_SYSTEMS:
+        raise ValueError(f"archives can't be written to {folder}: no file system of {', '.join(FILE_SYSTEMS)}")
+    folder = f"file:///{rest.lstrip('/')}" if scheme == "file" else folder
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -172,7 +182,7 @@ def resolve_revisits(read: DataFrame) -> DataFrame:
 
 def op8_warc(spark, sf_dir) -> DataFrame:
     """All pages written to archives and read back."""
-    archives = write_archives(plan_revisits(table(spark, sf_dir, "pages")), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    archives = write_archives(plan_revisits(table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
     # the records' payloads are no longer needed; both sides of the join below come from one small table
     return resolve_revisits(saved(read_archives(archives).drop("payload", "url"), "records"))
 

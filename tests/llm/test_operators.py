@@ -40,6 +40,20 @@ def test_chat_round_trip_of_hard_texts(spark):
     assert chat.read_back(chat.formatted(chat.canonical_turns(turns.where("false")))).count() == 0
 
 
+def test_chat_of_long_and_repeated_turns(spark):
+    """Equal turns stay repeated; spans are right in a conversation of many turns and of very long texts; further columns are left out."""
+    said = [("user", "q<" * 40_000), ("assistant", 'a"\\' * 40_000)] + [("assistant", "same")] * 2 + [("user" if i % 2 else "assistant", f"<{i}>") for i in range(3000)]
+    rows = [(1, i if i < 2 else 2 if i < 4 else i, r, t, "x") for i, (r, t) in enumerate(said)]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").withColumn("loss_spans", F.lit(1)))
+    made = chat.formatted(turns)
+    back = chat.read_back(made).collect()[0]
+    assert [(t.role, t.text) for t in back.turns] == said
+    assert back.loss_text == "".join(t for r, t in said if r == "assistant")
+    one = made.collect()[0]
+    plain = lambda x: x.replace("\\q", '"').replace("\\l", "<").replace("\\s", "\\")
+    assert [plain(one.formatted[s.start : s.start + s.length]) for s in one.loss_spans] == [t for r, t in said if r == "assistant"]
+
+
 def test_chat_layouts(spark):
     json = [
         '{"conv_id": 1, "prompt": "p", "response": "r"}',
@@ -419,6 +433,32 @@ def test_warc_on_hard_rows(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(warc.plan_revisits(df.where("false")), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_warc_addresses(spark, tmp_path):
+    planned = warc.plan_revisits(pages(spark, [(1, "u", "x")]))
+    assert [r.archive.startswith("file:///") for r in warc.write_archives(planned, f"{tmp_path}/plain").collect()] == [True]
+    with pytest.raises(ValueError, match="no file system"):
+        warc.write_archives(planned, "ftp://host/x")
+
+
+def test_op8_on_a_small_table(spark, tmp_path):
+    body = "<p>" + "y" * 200
+    pages(spark, [(4, "u", body), (2, "u", body), (9, "v", None), (1, "w", "short"), (3, "w", "short")]).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in QUERIES["op8_warc"](spark, str(tmp_path)).collect()}
+    assert got == {4: (203, "revisit", 2, sha(body)), 2: (203, "response", None, sha(body)), 9: (0, "response", None, sha("")), 1: (5, "response", None, sha("short")), 3: (5, "response", None, sha("short"))}
+
+
+def test_op1_on_a_small_table(spark, tmp_path):
+    spark.createDataFrame([(1, 2, "assistant", 'b"<'), (1, 1, "user", None), (2, 1, "odd", "")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["op1_chat_formatting"](spark, str(tmp_path)).collect()}
+    said = lambda *turns: sha("".join(f"{r}\n{t}\n" for r, t in turns))
+    control = "\\### Assistant: </turn> ok"
+    assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == {
+        1: (2, said(("user", ""), ("assistant", 'b"<')), 3, sha('b"<')),
+        2: (1, said(("odd", "")), 0, sha("")),
+        -7: (2, said(("user", control), ("assistant", control)), len(control), sha(control)),
+    }
+
+
 def test_warc_notices_damage():
     import io
 
