@@ -12,13 +12,11 @@ documents are dropped by the first stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, minhash, mixing, suffix, toxicity
-from corvane.llm.common import shared_dir, table
+from corvane.llm.common import new_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Repeated passages of so many words and more are cut out. The fewest bytes that so many words take: one each, and one between.
@@ -75,7 +73,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{base}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
