@@ -7,10 +7,12 @@ last opening of each depth gives the container. There is no type checking: what
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import path_stem, prefix_kind, unix_path
+from corvane.functions.text import is_exposed, path_stem, prefix_kind, unix_path
 
 # Macros of the engine's reflection system.
 REFLECTION = ["UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UPROPERTY", "UFUNCTION", "UPARAM", "UMETA", "UDELEGATE"]
@@ -19,8 +21,10 @@ KEYWORDS = ["auto", "bool", "break", "case", "catch", "char", "class", "const",
 
 _STRING = r'"(?:[^"\\\n]++|\\.)*+"'
 _PIECES = rf"(?s){_STRING}|'(?:[^'\\\n]++|\\.)*+'|//[^\n]*|/\*.*?(?:\*/|\z)|[^\"'/]++|."
-#: Balanced parentheses, three deep.
-_PAREN = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
+#: Levels of parentheses in one another that are followed: the bracket depth that common compilers allow.
+NESTING = 256
+#: Balanced parentheses, with strings and quotes in them.
+PAREN = reduce(lambda inner, _: rf"\((?:[^()\"]++|{_STRING}|{inner}|\")*+\)", range(NESTING), r"\([^()]*+\)")
 
 
 def without_comments(content: Column, strings: bool = True) -> Column:
@@ -43,7 +47,7 @@ def _trimmed(x: Column) -> Column:
 
 def _top_level(args: Column) -> Column:
     """A list in parentheses cut at its own commas."""
-    item = rf"(?:{_STRING}|{_PAREN}|[^,\"()])+"
+    item = rf"(?:{_STRING}|{PAREN}|[^,\"()])+"
     return F.filter(F.transform(F.regexp_extract_all(args, F.lit(item), 0), _trimmed), lambda x: x != "")
 
 
@@ -54,7 +58,7 @@ def extract_reflection(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.posexplode(cut).alias("n", "text"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("line", F.coalesce(F.sum(lines_in(F.col("text"))).over(w), F.lit(0)) + 1)
-    head = rf"^({names})\s*({_PAREN})"
+    head = rf"^({names})\s*({PAREN})"
     rows = rows.where(F.col("text").rlike(head)).withColumn("macro", F.regexp_extract("text", head, 1)).withColumn("args", F.regexp_extract("text", head, 2))
     items = _top_level(F.substring(F.col("args"), F.lit(2), F.length("args") - 2))
     rows = rows.withColumn("items", items)
@@ -100,10 +104,10 @@ def statements(files: DataFrame) -> DataFrame:
 def extract_declarations(files: DataFrame) -> DataFrame:
     """(path, line, end_line, kind, name, container, bases, params, type_text, flags): types, functions, fields, enum values, namespaces, macros, declaration level only."""
     s = statements(files)
-    macro = r"^(?:(?:" + "|".join(REFLECTION) + r"|GENERATED_BODY|GENERATED_UCLASS_BODY)\s*" + _PAREN + r"\s*)+"
+    macro = r"^(?:(?:" + "|".join(REFLECTION) + r"|GENERATED_BODY|GENERATED_UCLASS_BODY)\s*" + PAREN + r"\s*)+"
     s = s.withColumn("text", F.trim(F.regexp_replace("text", macro, ""))).withColumn("text", F.trim(F.regexp_replace("text", r"^(?:public|protected|private)\s*:\s*", "")))
     kind_re = r"^(?:template\s*<[^>]*>\s*)?(class|struct|union|enum(?: class)?|namespace)\s+(?:\w+_API\s+)?(\w+)(?:\s+final)?\s*(?::([^:].*?))?\s*\{$"
-    func_re = rf"^((?:(?:virtual|static|inline|explicit|constexpr|friend|FORCEINLINE|extern|\w+_API)\s+)*)([\w:<>,&*\s]*?)\s*\b(~?\w+(?:::~?\w+)*)\s*({_PAREN})\s*((?:const|override|final|noexcept)\b\s*)*(=\s*0|=\s*default|=\s*delete)?\s*(?::[^:].*)?[;{{]$"
+    func_re = rf"^((?:(?:virtual|static|inline|explicit|constexpr|friend|FORCEINLINE|extern|\w+_API)\s+)*)([\w:<>,&*\s]*?)\s*\b(~?\w+(?:::~?\w+)*)\s*({PAREN})\s*((?:const|override|final|noexcept)\b\s*)*(=\s*0|=\s*default|=\s*delete)?\s*(?::[^:].*)?[;{{]$"
     field_re = r"^((?:(?:static|const|mutable|constexpr|inline)\s+)*)([\w:<>,&*\s]+?[\s&*>])(\w+)\s*(?:\[[^\]]*\])?\s*(?:=.*|\{)?;?$"
     is_type, is_func = F.col("text").rlike(kind_re), F.col("text").rlike(func_re) & ~F.col("text").rlike(r"^(?:if|for|while|switch|return|else|do|catch)\b")
     is_field = F.col("text").rlike(field_re) & F.endswith("text", F.lit(";")) & ~F.col("text").rlike(r"^(?:return|using|typedef|friend|delete|goto|break|continue|class|struct|enum)\b")
@@ -131,13 +135,13 @@ def extract_declarations(files: DataFrame) -> DataFrame:
 
 def _list_items(args: Column) -> Column:
     """Parameters: cut at commas that are outside of angle brackets and parentheses."""
-    item = rf"(?:<(?:[^<>]|<[^<>]*>)*>|{_PAREN}|[^,<(])+"
+    item = rf"(?:<(?:[^<>]|<[^<>]*>)*>|{PAREN}|[^,<(])+"
     return F.filter(F.transform(F.regexp_extract_all(args, F.lit(item), 0), _trimmed), lambda x: (x != "") & (x != "void"))
 
 
 def extract_delegates(files: DataFrame) -> DataFrame:
     """(path, line, macro, type_name, params, is_dynamic, is_multicast, returns, errors) of delegate declarations, with what is wrong in them."""
-    head = rf"\b(DECLARE_\w*DELEGATE\w*)\s*({_PAREN})"
+    head = rf"\b(DECLARE_\w*DELEGATE\w*)\s*({PAREN})"
     cut = F.split(without_comments(F.col("content")), r"(?=\bDECLARE_\w*DELEGATE\w*\s*\()")
     rows = files.select("path", F.posexplode(cut).alias("n", "text"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
@@ -195,10 +199,23 @@ def tokenize(files: DataFrame) -> DataFrame:
     return t.withColumn("token", F.trim("token")).withColumn("kind", kind)
 
 
-def classify_tokens(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Identifier tokens with `class`: the kind of the symbol of that name, else what the name's prefix says. A name of several kinds takes the first by name."""
-    known = symbols.groupBy("name").agg(F.min("kind").alias("_kind"))
-    return tokens.where("kind = 'identifier'").join(known, tokens["token"] == known["name"], "left").select(*tokens.columns, F.coalesce("_kind", prefix_kind("token")).alias("class"))
+def classify_tokens(tokens: DataFrame, symbols: DataFrame, anc: DataFrame | None = None) -> DataFrame:
+    """Identifier tokens with `class`, and with `exposed` where symbols have specifiers.
+
+    The class is the kind of the symbol of that name (of several kinds the first by name); for types below AActor or UObject, where
+    ancestors are given (symbols with symbol_id then), it is actor or object; else what the name's prefix says. A name is exposed if some symbol of it is.
+    """
+    kind, known = F.col("kind"), symbols
+    if anc is not None:
+        roots = symbols.where("name in ('AActor', 'UObject')").select(F.col("symbol_id").alias("ancestor_id"), F.col("name").alias("_root"))
+        up = anc.join(roots, "ancestor_id").groupBy(F.col("type_id").alias("symbol_id")).agg(F.min("_root").alias("_root"))
+        known = symbols.join(up, "symbol_id", "left")
+        kind = F.when(F.col("_root") == "AActor", "actor").when(F.col("_root") == "UObject", "object").otherwise(kind)
+    exposed = F.max(is_exposed("specifiers")) if "specifiers" in symbols.columns else F.lit(False)
+    known = known.groupBy("name").agg(F.min(kind).alias("_kind"), exposed.alias("_exposed"))
+    out = tokens.where("kind = 'identifier'").join(known, tokens["token"] == known["name"], "left")
+    more = [F.coalesce("_exposed", F.lit(False)).alias("exposed")] if "specifiers" in symbols.columns else []
+    return out.select(*tokens.columns, F.coalesce("_kind", prefix_kind("token")).alias("class"), *more)
 
 
 def generated_header(path: str | Column = "path") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import format_arity, name_prefix, path_stem, pointee_type
-from corvane.operators.extract import expected_definitions, lines_in, without_comments
+from corvane.operators.extract import PAREN, expected_definitions, lines_in, without_comments
 from corvane.operators.usages import conflicting_specifiers
 
 RULES: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
@@ -105,9 +105,18 @@ def inspect_function_in_struct(t: dict) -> DataFrame:
     return findings(t["symbols"].where("macro = 'UFUNCTION'").join(structs, "container_id", "left_semi"), "function_in_struct", "error", "a reflected struct can't have reflected functions")
 
 
+def _inherited(t: dict, own: DataFrame) -> DataFrame:
+    """own (container_id, ...) for each container and, where ancestors are given, for all types below it."""
+    if "ancestors" not in t:
+        return own
+    below = t["ancestors"].select(F.col("type_id").alias("_type"), F.col("ancestor_id").alias("container_id"))
+    return own.unionByName(below.join(own, "container_id").drop("container_id").withColumnRenamed("_type", "container_id"))
+
+
 @rule
 def inspect_replicated_using(t: dict) -> DataFrame:
-    own = t["symbols"].where("macro = 'UFUNCTION'").select("container_id", F.col("name").alias("value"))
+    """The function may be the class's own or a base's."""
+    own = _inherited(t, t["symbols"].where("macro = 'UFUNCTION'").select("container_id", F.col("name").alias("value")))
     s = _specifiers(t).where("specifier = 'ReplicatedUsing'").join(t["symbols"].select("symbol_id", "container_id"), "symbol_id")
     return findings(s.join(own, ["container_id", "value"], "left_anti"), "replicated_using", "error", F.concat(F.lit("no reflected function is named "), "value"), F.concat(F.lit("OnRep_"), "name"))
 
@@ -115,7 +124,7 @@ def inspect_replicated_using(t: dict) -> DataFrame:
 @rule
 def inspect_replication_list(t: dict) -> DataFrame:
     props = t["symbols"].where(has("Replicated") | F.exists("specifiers", lambda x: F.startswith(x, F.lit("ReplicatedUsing"))))
-    have = t["symbols"].where("name = 'GetLifetimeReplicatedProps'").select("container_id")
+    have = t["symbols"].where("name = 'GetLifetimeReplicatedProps'").select("container_id")  # the list of a base doesn't hold them
     return findings(props.join(have, "container_id", "left_anti"), "replication_list", "error", "the class has no GetLifetimeReplicatedProps")
 
 
@@ -195,34 +204,44 @@ def inspect_access(t: dict) -> DataFrame:
     return findings(t["access_checks"].where("not accessible"), "access", "error", F.concat(F.lit("the member is "), "access"))
 
 
-def _code_lines(t: dict) -> DataFrame:
-    clean = without_comments(F.col("content"), strings=False)
-    return t["source_files"].select("path", F.posexplode(F.split(clean, "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
+#: What to look for in code without comments and strings; conditions and statements may go over several lines.
+ASSIGNMENT_IN_IF = r"^(?:if|while)\s*\(\s*[\w.\->\[\]]+\s*=(?!=)[^=;]*\)"
+EMPTY_BODY = rf"^(?:if|for|while)\s*{PAREN}\s*;"
+SELF_ASSIGNMENT = r"^([\w.\->\[\]:]+)\s*=\s*\1\s*;"
 
 
-#: What to look for in a line of code without comments and strings.
-ASSIGNMENT_IN_IF = r"\b(?:if|while)\s*\(\s*[\w.\->\[\]]+\s*=(?!=)[^=;]*\)"
-EMPTY_STATEMENT = r"(?:^\s*|[^}\s]\s*)\b(?:if|for)\s*\((?:[^()]|\([^()]*\))*\)\s*;|^\s*while\s*\((?:[^()]|\([^()]*\))*\)\s*;"
-SELF_ASSIGNMENT = r"(?:^|[;{}])\s*([\w.\->\[\]:]+)\s*=\s*\1\s*;"
+def code_pieces(files: DataFrame, at: str) -> DataFrame:
+    """(path, line, text, before): the code of each file cut where the pattern `at` matches, with the line of each piece's first word and what ends the piece before."""
+    cut = F.split(without_comments(F.col("content"), strings=False), at)
+    rows = files.select("path", F.posexplode(cut).alias("n", "raw"))
+    w = Window.partitionBy("path").orderBy("n")
+    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
+    above = F.coalesce(F.sum(lines_in(F.col("raw"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    end = F.coalesce(F.right(F.regexp_replace(F.lag("raw").over(w), r"\s+$", ""), F.lit(1)), F.lit(""))
+    return rows.select("path", (above + 1 + lines_in(F.substring(F.col("raw"), F.lit(1), lead))).alias("line"), F.regexp_replace("raw", r"^\s+", "").alias("text"), end.alias("before"))
 
 
-def line_rule(lines: DataFrame, pattern: str, name: str, message: str) -> DataFrame:
-    return findings(lines.where(F.col("text").rlike(pattern)), name, "warning", message)
+#: Pieces that begin with a condition, and statements.
+_CONDITIONS, _STATEMENTS = r"(?=\b(?:if|for|while)\s*\()", r"(?<=[;{}])"
 
 
 @rule
 def inspect_assignment_in_condition(t: dict) -> DataFrame:
-    return line_rule(_code_lines(t), ASSIGNMENT_IN_IF, "assignment_in_condition", "an assignment is the condition")
+    found = code_pieces(t["source_files"], _CONDITIONS).where(F.col("text").rlike(ASSIGNMENT_IN_IF))
+    return findings(found, "assignment_in_condition", "warning", "an assignment is the condition")
 
 
 @rule
 def inspect_empty_statement(t: dict) -> DataFrame:
-    return line_rule(_code_lines(t), EMPTY_STATEMENT, "empty_statement", "a semicolon is the whole body")
+    """A `while` right after a closing brace ends a do loop."""
+    found = code_pieces(t["source_files"], _CONDITIONS).where(F.col("text").rlike(EMPTY_BODY)).where(~(F.startswith("text", F.lit("while")) & (F.col("before") == "}")))
+    return findings(found, "empty_statement", "warning", "a semicolon is the whole body")
 
 
 @rule
 def inspect_self_assignment(t: dict) -> DataFrame:
-    return line_rule(_code_lines(t), SELF_ASSIGNMENT, "self_assignment", "a value is assigned to itself")
+    found = code_pieces(t["source_files"], _STATEMENTS).where(F.col("text").rlike(SELF_ASSIGNMENT))
+    return findings(found, "self_assignment", "warning", "a value is assigned to itself")
 
 
 @rule
@@ -233,9 +252,9 @@ def inspect_format_arguments(t: dict) -> DataFrame:
     rows = t["source_files"].select("path", F.posexplode(cut).alias("n", "text"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("line", F.coalesce(F.sum(lines_in(F.col("text"))).over(w), F.lit(0)) + 1)
-    call = r'(?s)^(?:UE_LOG\s*\([^,()]*,[^,()]*,|FString::Printf\s*\()\s*TEXT\s*\(\s*"((?:[^"\\]|\\.)*)"\s*\)((?:"(?:[^"\\]|\\.)*"|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|[^()"])*)\)'
+    call = rf'(?s)^(?:UE_LOG\s*\([^,()]*,[^,()]*,|FString::Printf\s*\()\s*TEXT\s*\(\s*"((?:[^"\\]|\\.)*)"\s*\)((?:"(?:[^"\\]|\\.)*"|{PAREN}|[^()"])*)\)'
     rows = rows.where(F.col("text").rlike(call)).withColumn("_rest", F.regexp_extract("text", call, 2))
-    flat = F.regexp_replace(F.regexp_replace("_rest", r'"(?:[^"\\]|\\.)*"', ""), r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "")
+    flat = F.regexp_replace(F.regexp_replace("_rest", r'"(?:[^"\\]|\\.)*"', ""), PAREN, "")
     rows = rows.withColumn("_args", F.regexp_count(flat, F.lit(",")))
     return findings(rows.where(format_arity(F.regexp_extract("text", call, 1)) != F.col("_args")), "format_arguments", "warning", "conversions and arguments differ in number")
 

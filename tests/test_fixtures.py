@@ -328,3 +328,22 @@ def test_updates(spark):
     assert updates.declaration_fingerprints(a).collect() == updates.declaration_fingerprints(b).collect()
     v = frame(spark, "path string, version long, content string", ("f", 2, "new"), ("f", 1, "old"))
     assert updates.latest_versions(v).first().content == "new"
+
+
+def test_parentheses_of_any_depth(spark):
+    deep = lambda n: "(" * n + 'x, ")"' + ")" * n
+    for n in (8, 200):
+        code = f"UFUNCTION(Category = F{deep(n)}, Exec)\nvoid A();\nDECLARE_DELEGATE_OneParam(FOne, decltype{deep(n)});\nvoid G(int32 A = F{deep(n)}, bool B);\n"
+        files = frame(spark, "path string, content string", ("a.h", code))
+        got = extract.extract_reflection(files).first()
+        assert list(got.specifiers) == [f"Category = F{deep(n)}", "Exec"] and got.declaration == "void A()"
+        d = extract.extract_delegates(files).first()
+        assert list(d.params) == [f"decltype{deep(n)}"] and not d.errors
+        assert len(extract.extract_declarations(files).where("name = 'G'").first().params) == 2
+
+
+def test_conditions_over_several_lines(spark):
+    code = "void f() {\nif (a\n  = b) { c; }\nif (a ==\n b) d();\nfor (int i = 0;\n i < g(h(1), (2));\n ++i)\n ;\ndo { x(); } while (y);\nwhile (z)\n;\nq.r =\n q.r;\n// if (a = b) ;\n}"
+    t = {"source_files": frame(spark, "path string, content string", ("a.cpp", code))}
+    line = lambda rule: [r.line for r in inspections.RULES[rule](t).orderBy("line").collect()]
+    assert line("assignment_in_condition") == [2] and line("empty_statement") == [6, 11] and line("self_assignment") == [13]
