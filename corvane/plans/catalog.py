@@ -5,35 +5,21 @@ Each query calls the operator that a user calls, with a stand-in table in place
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
 from corvane.operators import extract, hierarchy, inspections, logs, resolve, search, updates, usages
-from corvane.plans import standins as v
+from corvane.plans import rules, standins as v  # noqa: F401, the rules register their queries
+from corvane.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from corvane.sources import readers
 from corvane.streaming import jobs
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: Common table expressions for the SQL below: the closure of the type tree, and that of the include graph.
 UP = "up(type_id, ancestor_id, depth) AS (SELECT p_partkey, p_partkey // 3, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT type_id, ancestor_id // 3, depth + 1 FROM up WHERE ancestor_id > 0)"
 SELF = "selfup AS (SELECT p_partkey AS type_id, p_partkey AS ancestor_id, 0 AS depth FROM part UNION ALL SELECT * FROM up)"
 
 
-def query(sql: str | None) -> Callable:
-    def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 # Hierarchies
 
 
