@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import pointee_type
 from corvane.operators.tables import saved
 
 #: Rounds of a closure that are written as one table; a bound that no real graph comes near, beyond which it raises.
@@ -152,6 +153,23 @@ def effective_members(members: DataFrame, anc: DataFrame, types: DataFrame) -> D
     return seen.select("type_id", "member_id", "name", "depth", ((F.col("access") != "private") | (F.col("depth") == 0)).alias("accessible"))
 
 
+def static_members(members: DataFrame, anc: DataFrame, types: DataFrame) -> DataFrame:
+    """effective_members (members with is_static) as a static function sees them: static ones, unless a nearer member hides them."""
+    return effective_members(members, anc, types).join(members.where("is_static").select("member_id"), "member_id", "left_semi")
+
+
+def pointee_members(fields: DataFrame, members: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(field_id, member_id, name, via): what may follow a field of pointer type: members of the object pointed at (via ->) and, for
+    smart pointers, those of the wrapper itself (via .).
+
+    fields: field_id, type_text. members: effective members (type_name, member_id, name). wrappers: type_name of the pointer template, member_id, name.
+    """
+    f = fields.select("field_id", pointee_type("type_text").alias("type_name"), F.regexp_extract("type_text", r"^\s*(?:const\s+)?(\w+)\s*<", 1).alias("_wrapper")).where("type_name is not null")
+    seen = f.join(members.select("type_name", "member_id", "name"), "type_name").select("field_id", "member_id", "name", F.lit("->").alias("via"))
+    own = f.join(wrappers.select(F.col("type_name").alias("_wrapper"), "member_id", "name"), "_wrapper").select("field_id", "member_id", "name", F.lit(".").alias("via"))
+    return seen.unionByName(own)
+
+
 def include_closure(includes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(path, reached, depth): all files that a file sees through includes; seeds: path, the files of interest."""
     edges = includes.select("path", F.col("resolved_path").alias("reached"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ def hang_reports(hangs: DataFrame, at: tuple = REPORT_SECONDS) -> DataFrame:
 
 
 def retain_sessions(sessions: DataFrame, n: int = 5, group: tuple = (), order: tuple = ("session_date", "session_time", "pid")) -> DataFrame:
-    """The newest n sessions (of each group)."""
+    """The newest n sessions (of each group); without a group a sorted limit, which each task cuts first."""
+    if not group:
+        return sessions.orderBy(*[F.desc(c) for c in order]).limit(n)
     w = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
     return sessions.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
@@ -38,19 +42,22 @@ def cap_log(lines: DataFrame, most: int = 20 << 20, group: str = "session", orde
 def memory_steps(samples: DataFrame, step: int = GIGABYTE) -> DataFrame:
     """(session, ts, bytes): samples written, i.e. the first one and each that differs from the last written one by step or more.
 
-    What was last written depends on all before, so it is a fold over each session's samples in order of time.
+    What was last written depends on all before, so it is a fold over each session's samples in order of time: Spark sorts them within
+    partitions (on disk, if need be), and a task holds one batch and the last value that was written.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "bytes"], kind="stable")
-        keep, last = [], None
-        for b in pdf["bytes"]:
-            keep.append(last is None or abs(b - last) >= step)
-            last = b if keep[-1] else last
-        return pdf[keep]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, first = None, 0, True
+        for batch in batches:
+            keep = []
+            for i, (session, b) in enumerate(zip(batch.column("session").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
+                if first or session != now or abs(b - last) >= step:
+                    now, last, first = session, b, False
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
 
     samples = samples.select("session", "ts", "bytes").where("bytes is not null")
-    return samples.groupBy("session").applyInPandas(fold, samples.schema)
+    return samples.repartition("session").sortWithinPartitions("session", "ts", "bytes").mapInArrow(fold, samples.schema)
 
 
 def log_summary(ops: DataFrame, hangs: DataFrame, slow_ms: int = SLOW_MS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,11 +34,24 @@ def index_summary(refs: DataFrame) -> DataFrame:
     return refs.rollup("module", "ref_kind").agg(F.count("*").alias("n_refs"), F.count_distinct("asset_path").alias("n_assets"))
 
 
+def index_overview(refs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """index_summary with a row for each detected module alias (old_module, new_module, n_classes): ref_kind is `alias`, n_refs its classes."""
+    told = aliases.select(F.col("old_module").alias("module"), F.lit("alias").alias("ref_kind"), F.col("n_classes").alias("n_refs"), F.lit(0).cast("long").alias("n_assets"), F.col("new_module").alias("alias_of"))
+    return index_summary(refs).withColumn("alias_of", F.lit(None).cast("string")).unionByName(told)
+
+
 def assets_by_parent(assets: DataFrame) -> DataFrame:
-    """(parent_path, n_assets, assets) with the assets in order."""
+    """(parent_path, n_assets, assets) with the assets in order: one array a parent, so for parents whose assets a task can hold;
+    `ranked_assets` has no such bound."""
     return assets.groupBy("parent_path").agg(F.count("*").alias("n_assets"), F.sort_array(F.collect_list("asset_path")).alias("assets"))
 
 
+def ranked_assets(assets: DataFrame) -> DataFrame:
+    """(parent_path, position, asset_path): as assets_by_parent, a row per asset."""
+    w = Window.partitionBy("parent_path").orderBy("asset_path")
+    return assets.select("parent_path", F.row_number().over(w).alias("position"), "asset_path")
+
+
 def specifier_values(symbols: DataFrame) -> DataFrame:
     """(key, value, n): values of meta keys in use."""
     return symbols.select(F.explode("meta").alias("key", "value")).groupBy("key", "value").agg(F.count("*").alias("n"))

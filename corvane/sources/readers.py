@@ -134,6 +134,22 @@ def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("session_date", "session_time", "pid", (F.col("n") + 1).cast("long").alias("n"), F.try_to_timestamp(grab(1)).alias("ts"), grab(2).alias("category"), F.coalesce(grab(3), F.col("line")).alias("message"))
 
 
-def unreadable(expected: DataFrame, read: DataFrame) -> DataFrame:
-    """(path, cause): files that were listed (path) but of which a skipping read gave nothing."""
-    return expected.select("path").distinct().join(read.select("path"), "path", "left_anti").withColumn("cause", F.lit("vanished, empty or unreadable"))
+def list_files(spark: SparkSession, roots: list[str], pattern: str = "*") -> DataFrame:
+    """(path, size) of files as they are now; contents aren't read. Tasks get no empty files, so the names come from Spark's own listing, which
+    the driver holds for every read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
+    names = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    return names.join(files.select(_decoded_path().alias("path"), F.col("length").alias("size")), "path", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"))
+
+
+def unreadable(expected: DataFrame, read: DataFrame, now: DataFrame | None = None) -> DataFrame:
+    """(path, cause): files that were listed (path) but of which a skipping read gave nothing.
+
+    now: a later listing (path, size) tells why: the file has vanished, has become or was empty, or is there but can't be read. Without it the cause is
+    unknown.
+    """
+    gone = expected.select("path").distinct().join(read.select("path"), "path", "left_anti")
+    if now is None:
+        return gone.withColumn("cause", F.lit("unknown"))
+    cause = F.when(F.col("size").isNull(), "vanished").when(F.col("size") == 0, "empty").otherwise("unreadable")
+    return gone.join(now.select("path", "size"), "path", "left").select("path", cause.alias("cause"))

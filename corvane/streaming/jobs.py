@@ -36,7 +36,7 @@ def update_index(batch: DataFrame, index: str, extract: Callable[[DataFrame], Da
     if old_files is not None:
         new = new.join(old_files.select("path", F.col("version").alias("_have")), "path", "left").where("_have is null or version > _have").drop("_have")
     new = saved(new, "accepted")
-    decls = extract(new.where("not deleted").select("path", "content")).withColumn("part", part)
+    decls = saved(extract(new.where("not deleted").select("path", "content")).withColumn("part", part), "extracted")
     prints = declaration_fingerprints(decls).select("path", "fingerprint")
     files = saved(new.drop("content").join(prints, "path", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("0"))).select("path", "version", "deleted", "fingerprint", "part"), "files")
     changed = files.select("path", "fingerprint", "deleted")
@@ -69,16 +69,17 @@ def _replace(old: DataFrame | None, new: DataFrame, paths: DataFrame, where: str
             empty = hit.join(out.select("part").distinct(), "part", "left_anti")
             marks = empty.select(*[F.col("part") if c == "part" else F.lit(None).cast(t).alias(c) for c, t in out.dtypes])
             out = out.unionByName(marks)
-    saved(out, "partitions").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(where)
+    # one task per partition number, so that each folder gets one file
+    saved(out, "partitions").repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(where)
 
 
 def read_declarations(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.parquet(f"{index}/declarations").where("path is not null").drop("part")
 
 
-def stream_index(files: DataFrame, index: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def stream_index(files: DataFrame, index: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str, partitions: int = PARTITIONS) -> StreamingQuery:
     """Keep an index up to date from a stream of file versions; each batch is put in once more without harm if it is repeated."""
-    return files.writeStream.foreachBatch(lambda b, _: update_index(b, index, extract)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(lambda b, _: update_index(b, index, extract, partitions)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def debounce(edits: DataFrame, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
