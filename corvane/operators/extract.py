@@ -187,10 +187,20 @@ def pair_header_source(files: DataFrame) -> DataFrame:
     return k.where(F.lower("path").rlike(r"\.h$")).select("_key", F.col("path").alias("header")).join(k.where(F.lower("path").rlike(r"\.cpp$")).select("_key", F.col("path").alias("source")), "_key").select("header", "source")
 
 
+#: Lexical tokens.
+_TOKENS = rf"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|{_STRING}|'(?:[^'\\\n]++|\\.)*+'|(?m:^[ \t]*#[ \t]*\w+)|\d[\w.']*|[\p{{L}}\p{{N}}_]+|[^\s\w]"
+
+
+def word_counts(files: DataFrame) -> DataFrame:
+    """(path, n): identifiers and keywords of each file, as tokenize tells them, counted without a row per token."""
+    is_word = lambda t: t.rlike(r"^[\p{L}_]") & ~t.isin([*REFLECTION, "GENERATED_BODY"])
+    words = F.filter(F.regexp_extract_all("content", F.lit(_TOKENS), 0), is_word)
+    return files.select("path", F.coalesce(F.size(words), F.lit(0)).cast("long").alias("n"))
+
+
 def tokenize(files: DataFrame) -> DataFrame:
     """(path, n, token, kind): lexical tokens in order, with their class."""
-    pattern = rf"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|{_STRING}|'(?:[^'\\\n]++|\\.)*+'|(?m:^[ \t]*#[ \t]*\w+)|\d[\w.']*|[\p{{L}}\p{{N}}_]+|[^\s\w]"
-    t = files.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), 0)).alias("n", "token"))
+    t = files.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(_TOKENS), 0)).alias("n", "token"))
     starts = lambda x: F.startswith("token", F.lit(x))
     kind = (
         F.when(starts("///") | starts("/**"), "doc comment").when(starts("//") | starts("/*"), "comment").when(starts('"') | starts("'"), "string").when(F.ltrim("token").startswith("#"), "directive")

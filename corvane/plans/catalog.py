@@ -105,18 +105,22 @@ def filtered_tree(spark, sf) -> DataFrame:
     return hierarchy.filter_tree(v.type_ancestors(spark, sf), hits)
 
 
-@query(None)
+#: Holders are numbers below 100, so no shortest cycle is longer than that.
+CYCLES = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_suppkey <> l_partkey % 100),
+r(start, node, d) AS (SELECT a, b, 1 FROM e UNION SELECT start, b, d + 1 FROM r JOIN e ON node = a WHERE d < 100 AND node <> start) SELECT start AS thread, min(d) AS cycle_length FROM r WHERE start = node GROUP BY start"""
+
+
+@query(CYCLES)
 def wait_cycles(spark, sf) -> DataFrame:
-    """Threads: suppliers; who waits for whom follows from the lines of one number. Tested against brute force."""
-    li = v.table(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity >= 49")
+    """Threads: suppliers; who waits for whom follows from the lines. Also tested against brute force."""
+    li = v.table(spark, sf, "lineitem")
     return hierarchy.wait_cycles(li.select(F.col("l_suppkey").alias("waiter"), (F.col("l_partkey") % 100).alias("holder")).where("waiter <> holder"))
 
 
-@query(None)
+@query(CYCLES)
 def whole_wait_cycles(spark, sf) -> DataFrame:
-    """As wait_cycles, over all lines. Tested against brute force."""
-    li = v.table(spark, sf, "lineitem")
-    return hierarchy.wait_cycles(li.select(F.col("l_suppkey").alias("waiter"), (F.col("l_partkey") % 100).alias("holder")).where("waiter <> holder"))
+    """As wait_cycles."""
+    return wait_cycles(spark, sf)
 
 
 # Resolution
@@ -133,10 +137,10 @@ def redirected_refs(spark, sf) -> DataFrame:
     return resolve.resolve_asset_refs(v.asset_refs(spark, sf), v.symbols(spark, sf), v.redirects(spark, sf)).groupBy("asset_path", "target_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45)
+@query("""WITH n AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT n.p_name AS target_name, count(*) AS n_matches, count(DISTINCT l_orderkey) AS n_assets FROM n JOIN part p ON p.p_name = n.p_name GROUP BY n.p_name""")
 def property_matches(spark, sf) -> DataFrame:
-    names = v.table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("asset_path"), F.col("l_partkey").alias("symbol_id")).join(v.symbols(spark, sf), "symbol_id")
+    names = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("asset_path"), F.col("l_partkey").alias("symbol_id")).join(v.symbols(spark, sf), "symbol_id")
     hits = resolve.match_property_names(names.select("asset_path", F.col("name").alias("target_name")), v.symbols(spark, sf))
     return hits.groupBy("target_name").agg(F.count("*").alias("n_matches"), F.count_distinct("asset_path").alias("n_assets"))
 
@@ -144,24 +148,23 @@ def property_matches(spark, sf) -> DataFrame:
 @query("""WITH n AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT n.p_name AS target_name, count(*) AS n_matches, count(DISTINCT l_orderkey) AS n_assets FROM n JOIN part p ON p.p_name = n.p_name GROUP BY n.p_name""")
 def whole_property_matches(spark, sf) -> DataFrame:
-    """As property_matches, over all lines."""
-    names = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("asset_path"), F.col("l_partkey").alias("symbol_id")).join(v.symbols(spark, sf), "symbol_id")
-    hits = resolve.match_property_names(names.select("asset_path", F.col("name").alias("target_name")), v.symbols(spark, sf))
-    return hits.groupBy("target_name").agg(F.count("*").alias("n_matches"), F.count_distinct("asset_path").alias("n_assets"))
+    """As property_matches."""
+    return property_matches(spark, sf)
 
 
-@query("""WITH w AS (SELECT DISTINCT 'Old' || p_brand AS old_module, p_name FROM part WHERE p_size % 2 = 0), s AS (SELECT DISTINCT p_brand, p_name FROM part),
+@query("""WITH w AS (SELECT DISTINCT 'Old' || p_brand AS old_module, p_name FROM part), s AS (SELECT DISTINCT p_brand, p_name FROM part),
 n AS (SELECT old_module, p_brand AS new_module, count(*) AS n_classes FROM w JOIN s USING (p_name) GROUP BY ALL)
 SELECT old_module, new_module, n_classes FROM (SELECT *, row_number() OVER (PARTITION BY old_module ORDER BY n_classes DESC, new_module) AS r FROM n) WHERE r = 1""")
 def module_aliases(spark, sf) -> DataFrame:
     s = v.symbols(spark, sf)
-    refs = s.where("size % 2 = 0").select(F.concat(F.lit("Old"), "module").alias("target_module"), F.col("name").alias("target_name"))
+    refs = s.select(F.concat(F.lit("Old"), "module").alias("target_module"), F.col("name").alias("target_name"))
     return resolve.detect_module_aliases(refs, s)
 
 
-@query("SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+@query("SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def unused_api(spark, sf) -> DataFrame:
-    refs = v.table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("target_id"))
+    """Orders as assets that refer to the symbol of their customer's number."""
+    refs = v.table(spark, sf, "orders").select(F.col("o_custkey").alias("target_id"))
     return resolve.unused_api(v.symbols(spark, sf), refs).select("symbol_id", "name")
 
 
@@ -331,20 +334,18 @@ def arity_ranges(spark, sf) -> DataFrame:
 
 
 @query("""SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, 0 AS col, l_partkey AS symbol_id FROM lineitem WHERE l_returnflag IN ('A', 'N')
-UNION SELECT l_orderkey, l_linenumber, 0, p_partkey FROM lineitem JOIN part ON p_size = l_suppkey AND p_partkey % 20 = 0 WHERE l_returnflag = 'R'""")
+UNION SELECT l_orderkey, l_linenumber, 0, p_partkey FROM lineitem JOIN part ON p_size = l_suppkey WHERE l_returnflag = 'R'""")
 def all_usages(spark, sf) -> DataFrame:
     u = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.lit(0).alias("col"), F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("macro_id"), "l_returnflag")
-    bodies = v.symbols(spark, sf).where("symbol_id % 20 = 0").select(F.col("size").cast("long").alias("macro_id"), "symbol_id")
+    bodies = v.symbols(spark, sf).select(F.col("size").cast("long").alias("macro_id"), "symbol_id")
     return usages.find_usages(u.where("l_returnflag = 'A'"), u.where("l_returnflag = 'N'"), usages.macro_body_uses(u.where("l_returnflag = 'R'"), bodies))
 
 
 @query("""SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, 0 AS col, l_partkey AS symbol_id FROM lineitem WHERE l_returnflag IN ('A', 'N')
 UNION SELECT l_orderkey, l_linenumber, 0, p_partkey FROM lineitem JOIN part ON p_size = l_suppkey WHERE l_returnflag = 'R'""")
 def whole_usages(spark, sf) -> DataFrame:
-    """As all_usages, with all parts as macro bodies."""
-    u = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.lit(0).alias("col"), F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("macro_id"), "l_returnflag")
-    bodies = v.symbols(spark, sf).select(F.col("size").cast("long").alias("macro_id"), "symbol_id")
-    return usages.find_usages(u.where("l_returnflag = 'A'"), u.where("l_returnflag = 'N'"), usages.macro_body_uses(u.where("l_returnflag = 'R'"), bodies))
+    """As all_usages."""
+    return all_usages(spark, sf)
 
 
 @query("SELECT l_returnflag AS use_kind, l_partkey % 5 = 0 AS uncertain, count(*) AS n, (l_partkey % 5 = 0)::INT AS list_order FROM lineitem GROUP BY ALL")
@@ -480,7 +481,11 @@ def capped_logs(spark, sf) -> DataFrame:
     return logs.cap_log(c, 2000).select("session", "n", "bytes_so_far")
 
 
-@query(None)
+@query("""WITH RECURSIVE o AS (SELECT user_id AS session, epoch_us(ts) AS ts_us, trunc(value * 1073741824 / 10)::BIGINT AS bytes FROM events),
+q AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts_us, bytes) AS n FROM o),
+r AS (SELECT session, n, ts_us, bytes, bytes AS last, true AS kept FROM q WHERE n = 1
+UNION ALL SELECT q.session, q.n, q.ts_us, q.bytes, CASE WHEN abs(q.bytes - last) >= 1073741824 THEN q.bytes ELSE last END, abs(q.bytes - last) >= 1073741824 FROM r JOIN q ON q.session = r.session AND q.n = r.n + 1)
+SELECT session, ts_us, bytes FROM r WHERE kept""")
 def memory_steps(spark, sf) -> DataFrame:
     """Values as gigabytes. Tested against a plain loop."""
     s = v.events(spark, sf).select(F.col("user_id").alias("session"), "ts", (F.col("value") * logs.GIGABYTE / 10).cast("long").alias("bytes"))
@@ -566,13 +571,13 @@ def header_pairs(spark, sf) -> DataFrame:
     return extract.pair_header_source(s.select(at("Public", ".h")).unionByName(s.where("size % 2 = 0").select(at("Private", ".cpp"))))
 
 
-@query("SELECT p_partkey AS symbol_id, 'u/' || p_name || '.h' AS include_text, CASE WHEN p_type IN ('SMALL', 'STANDARD') THEN NULL ELSE substr(p_type, 1, 1) END AS prefix FROM part WHERE p_type <> 'MEDIUM'")
+@query("SELECT p_partkey AS symbol_id, CASE p_size % 3 WHEN 0 THEN 'u/' || p_name || '.h' WHEN 1 THEN p_brand || '/' || p_name || '.h' ELSE '/else/' || p_brand || '/' || p_name || '.h' END AS include_text, ['A', NULL, 'F', 'E', NULL][(p_size % 5 + 1)::INT] AS prefix FROM part")
 def include_texts(spark, sf) -> DataFrame:
-    s = v.symbols(spark, sf).where("kind <> 'MEDIUM'")
-    path = F.concat(F.lit("/engine/"), "module", F.lit("/Public/u/"), "name", F.lit(".h"))
-    kind = F.when(F.col("kind").isin("ECONOMY"), "EConomy").when(F.col("kind") == "LARGE", "large").when(F.col("kind") == "PROMO", "promo").otherwise("none")
-    found = fn.name_prefix(F.when(F.col("kind").isin("LARGE", "PROMO", "ECONOMY"), F.col("kind")))
-    return s.select("symbol_id", fn.include_text(path).alias("include_text"), F.when(F.col("kind").isin("SMALL", "STANDARD"), None).otherwise(F.coalesce(found, F.substring("kind", 1, 1))).alias("prefix")).drop(kind)
+    """Headers below a public folder, below the folder of the including file, and elsewhere; names with and without a prefix."""
+    s = v.symbols(spark, sf)
+    folder = F.element_at(F.array(F.concat(F.lit("/engine/"), "module", F.lit("/Public/u/")), F.concat(F.lit("/own/"), "module", F.lit("/")), F.concat(F.lit("/else/"), "module", F.lit("/"))), (F.col("size") % 3 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("AThing", "Uthing", "FValue", "EMode", "iFace")]), (F.col("size") % 5 + 1).cast("int"))
+    return s.select("symbol_id", fn.include_text(F.concat(folder, "name", F.lit(".h")), F.lit("/own")).alias("include_text"), fn.name_prefix(name).alias("prefix"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(replace(text, '%%', ''), '%')) AS arity FROM documents WHERE contains(text, '%')")
@@ -605,19 +610,23 @@ def event_properties(spark, sf) -> DataFrame:
     return v.table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query(r'''SELECT lang, count(*) AS n_documents, sum(len(regexp_extract_all(text, '[\pL\pN_]+')))::BIGINT AS n_words FROM documents WHERE NOT regexp_matches(text, '["/#''0-9]') GROUP BY lang''')
+#: The lexical pieces as SQL's regular expressions say them, and which of them are words (macros of the reflection system are a class of their own).
+TOKENS = r'''(?s)//[^\n]*|/\*.*?(?:\*/|\z)|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|(?m:^[ \t]*#[ \t]*\w+)|\d[\w.'']*|[\pL\pN_]+|[^\s\w]'''
+WORDS = f"SELECT lang, count(*) AS n_documents, sum(coalesce(len(list_filter(regexp_extract_all(text, '{TOKENS}'), lambda x: regexp_matches(x, '^[\\pL_]') AND x NOT IN ({', '.join(repr(m) for m in [*extract.REFLECTION, 'GENERATED_BODY'])}))), 0))::BIGINT AS n_words FROM documents GROUP BY lang"
+
+
+@query(WORDS)
 def token_counts(spark, sf) -> DataFrame:
-    d = v.table(spark, sf, "documents").where(~F.col("text").rlike(r'''["/#'0-9]'''))
-    words = extract.tokenize(d.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).where("kind in ('identifier', 'keyword')").groupBy("path").agg(F.count("*").alias("n"))
+    """Words of all documents: strings, comments, directives and numbers count as none. Also tested against a count by hand."""
+    d = v.table(spark, sf, "documents")
+    words = extract.word_counts(d.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
     return d.join(words, d["doc_id"] == words["path"], "left").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words"))
 
 
-@query(None)
+@query(WORDS)
 def whole_token_counts(spark, sf) -> DataFrame:
-    """As token_counts, over all documents: strings, comments, directives and numbers count as no words. Tested against a count by hand."""
-    d = v.table(spark, sf, "documents")
-    words = extract.tokenize(d.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).where("kind in ('identifier', 'keyword')").groupBy("path").agg(F.count("*").alias("n"))
-    return d.join(words, d["doc_id"] == words["path"], "left").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words"))
+    """As token_counts."""
+    return token_counts(spark, sf)
 
 
 # Inspections
