@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.hierarchy import ancestors
+from corvane.operators.tables import saved
 
 HOUR = 3_600_000_000
 
@@ -39,8 +40,16 @@ def inherits(spark, sf) -> DataFrame:
     return table(spark, sf, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("child_id"), F.expr("p_partkey div 3").alias("parent_id"))
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
 def type_ancestors(spark, sf) -> DataFrame:
-    return ancestors(inherits(spark, sf))
+    """The closure of the type tree, stored once a session for each state of its input."""
+    written = spark.read.parquet(f"{sf}/part.parquet").agg(F.max("_metadata.file_modification_time"), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, sf, *written)
+    if key not in _STORED:
+        _STORED[key] = saved(ancestors(inherits(spark, sf)), "type-ancestors")
+    return _STORED[key]
 
 
 def types(spark, sf) -> DataFrame:
