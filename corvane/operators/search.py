@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from corvane.functions.text import breadcrumb, initials, literal_pattern, typo_d
 
 #: Kinds of assets that are searched only with all_assets.
 MEDIA_KINDS = ["texture", "mesh", "sound", "animation"]
+#: Queries of a table that are sent to all tasks at once; more of them go in several blocks.
+BLOCK = 10_000
 
 
 def scope_texts(texts: DataFrame, names: bool = False, all_assets: bool = False, editor_caches: bool = False, media_kinds: list[str] = MEDIA_KINDS) -> DataFrame:
@@ -28,10 +32,32 @@ def matches(text: str, query: Column, match_case: bool = False, whole_word: bool
     return F.regexp_like(t, F.concat(F.lit(r"(?<!\w)"), literal_pattern(q), F.lit(r"(?!\w)"))) if whole_word else F.contains(t, q)
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The different runs of n characters of a text: its characters beside those that follow, so a long text takes no longer a character than a short one."""
+    letters = F.split(text, "")
+    runs = letters
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(letters, k + 1, 1 << 30), lambda x, y: F.concat(x, y))
+    return F.array_compact(F.array_distinct(runs))
+
+
+def _gram_of(query: Column) -> Column:
+    """A run of characters that every text with the query has: its first three, or all of a shorter one."""
+    return F.substring(query, 1, 3)
+
+
+def _in_blocks(rows: DataFrame, queries: DataFrame, on: str) -> DataFrame:
+    """rows joined with a stated set of queries by an equality key, BLOCK queries at a time, so what is broadcast is bounded."""
+    blocks = -(-queries.count() // BLOCK) or 1
+    part = lambda i: queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id", on), F.lit(blocks)) == i)
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(part(i)), on) for i in range(blocks)])
+
+
 def search_text(texts: DataFrame, query: str | DataFrame, match_case: bool = False, whole_word: bool = False) -> DataFrame:
     """Texts that hold the query (two characters at least), with breadcrumb text if there is one.
 
-    One query is a filter on the scan. A table of queries (query_id, query) meets every text: a set of queries against all rows.
+    One query is a filter on the scan. A query of a table (query_id, query) meets only texts that have its first three characters (an equality join with the texts' 3-grams), and these are
+    then checked in full.
     """
     where = [c for c in ("breadcrumb",) if c in texts.columns]
     shown = texts.withColumn("place", breadcrumb("breadcrumb")) if where else texts
@@ -39,7 +65,11 @@ def search_text(texts: DataFrame, query: str | DataFrame, match_case: bool = Fal
         if len(query) < 2:
             raise ValueError("a query takes two characters at least")
         return shown.where(matches("text", F.lit(query), match_case, whole_word))
-    return shown.join(query.where(F.length("query") >= 2), matches("text", F.col("query"), match_case, whole_word))
+    fold = (lambda c: c) if match_case else F.lower
+    asked = query.where(F.length("query") >= 2).withColumn("_gram", _gram_of(fold(F.col("query"))))
+    text = fold(F.col("text"))
+    held = shown.withColumn("_gram", F.explode(F.concat(_grams(text, 2), _grams(text, 3))))
+    return _in_blocks(held, asked, "_gram").where(matches("text", F.col("query"), match_case, whole_word)).drop("_gram")
 
 
 def symbol_filter(symbols: DataFrame, kinds: list[str] | None = None, container: str | None = None) -> DataFrame:
@@ -78,11 +108,54 @@ def word_rank(name: str, word: Column, fuzzy: bool = True) -> Column:
     return rank.when(F.startswith(initials(name), word), 2).when(F.contains(n, w), 3).when(F.regexp_like(n, letters), 4).when(near, 5)
 
 
+def _shorter(x: Column) -> Column:
+    """A word with each of its characters left out."""
+    return F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+
+
+def _near(x: Column, two: Column) -> Column:
+    """A word with up to one character left out, or up to two: words within that many typos have one of these in common."""
+    once = _shorter(x)
+    return F.array_distinct(F.concat(F.array(x), once, F.when(two, F.flatten(F.transform(once, _shorter))).otherwise(F.array().cast("array<string>"))))
+
+
+def _tagged(tag: str, keys: Column) -> Column:
+    return F.transform(keys, lambda x: F.concat(F.lit(tag), x))
+
+
+def _name_keys(name: str, fuzzy: bool) -> Column:
+    """What a name can be found by: runs of up to three characters; beginnings of its initials, pairs of letters in order, and its words with letters left out."""
+    n = F.lower(F.col(name))
+    keys = [_tagged("g", _grams(n, k)) for k in (1, 2, 3)]
+    if fuzzy:
+        own, letters = initials(name), F.split(n, "")
+        pairs = F.flatten(F.transform(letters, lambda x, i: F.transform(F.slice(letters, i + 2, F.size(letters)), lambda y: F.concat(x, y))))
+        words = F.split(n, r"[^a-z0-9]+")
+        keys += [
+            _tagged("i", F.when(F.length(own) > 0, F.transform(F.sequence(F.lit(1), F.length(own)), lambda i: F.substring(own, F.lit(1), i))).otherwise(F.array().cast("array<string>"))),
+            _tagged("s", pairs),
+            _tagged("t", F.flatten(F.transform(words, lambda x: _near(x, F.length(x) >= 7)))),
+        ]
+    return F.array_distinct(F.concat(*keys))
+
+
+def _word_keys(word: str, fuzzy: bool) -> Column:
+    """The keys of a word: a name that it meets by some rule has one of them."""
+    w = F.lower(F.col(word))
+    keys = [F.array(F.concat(F.lit("g"), _gram_of(w)))]
+    if fuzzy:
+        keys += [F.array(F.concat(F.lit("i"), word)), F.array(F.concat(F.lit("s"), F.substring(w, 1, 1), F.right(w, F.lit(1)))), _tagged("t", _near(w, F.length(word) > 8))]
+    return F.array_distinct(F.concat(*keys))
+
+
 def search_symbols(symbols: DataFrame, queries: DataFrame, k: int = 20, fuzzy: bool = True) -> DataFrame:
     """(query_id, rank, symbol_id, name, n_words): the k best symbols for each query (query_id, query): any word is enough, symbols with more words come
-    first, then better ranks, shorter names, names, ids. A set of queries against all rows; the top k is cut in each task before the shuffle."""
+    first, then better ranks, shorter names, names, ids. Words meet names by equality keys (3-grams, initials, pairs of letters, letters left out), and
+    each pair that meets is then ranked in full; the top k is cut in each task before the shuffle."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split("query", r"\s+"), lambda w: w != ""))).alias("word"))
-    hits = symbols.select("symbol_id", "name").join(words, word_rank("name", F.col("word"), fuzzy).isNotNull())
-    hits = hits.withColumn("_rank", word_rank("name", F.col("word"), fuzzy)).groupBy("query_id", "symbol_id", "name").agg(F.count("*").alias("n_words"), F.sum("_rank").alias("_rank"))
+    keyed = words.withColumn("_key", F.explode(_word_keys("word", fuzzy)))
+    named = symbols.select("symbol_id", "name").withColumn("_key", F.explode(_name_keys("name", fuzzy)))
+    hits = _in_blocks(named, keyed, "_key").select("query_id", "word", "symbol_id", "name").distinct()
+    hits = hits.withColumn("_rank", word_rank("name", F.col("word"), fuzzy)).where("_rank is not null").groupBy("query_id", "symbol_id", "name").agg(F.count("*").alias("n_words"), F.sum("_rank").alias("_rank"))
     best = Window.partitionBy("query_id").orderBy(F.desc("n_words"), "_rank", F.length("name"), "name", "symbol_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "symbol_id", "name", "n_words")

@@ -347,3 +347,24 @@ def test_conditions_over_several_lines(spark):
     t = {"source_files": frame(spark, "path string, content string", ("a.cpp", code))}
     line = lambda rule: [r.line for r in inspections.RULES[rule](t).orderBy("line").collect()]
     assert line("assignment_in_condition") == [2] and line("empty_statement") == [6, 11] and line("self_assignment") == [13]
+
+
+def test_blocked_search_equals_all_pairs(spark):
+    draw = random.Random(11)
+    part = lambda: draw.choice(["Get", "Set", "shooter", "Actor", "location", "Widget", "x", "transformation", "é1"])
+    names = frame(spark, "symbol_id long, name string", *[(i, draw.choice(["", " ", "_"]).join(part() for _ in range(draw.randint(1, 4)))) for i in range(120)], (500, ""), (501, None))
+    asked = ["GA", "shter", "locatoin", "transfrmatin", "x", "é1", "getactor", "zz", "wdgt", "Actor Set", "transformatoins"]
+    queries = frame(spark, "query_id long, query string", *enumerate(asked))
+    for fuzzy in (True, False):
+        words = queries.select("query_id", F.explode(F.array_distinct(F.split("query", " "))).alias("word"))
+        pairs = names.crossJoin(words).where(search.word_rank("name", F.col("word"), fuzzy).isNotNull())
+        want = {(r.query_id, r.symbol_id): r.n for r in pairs.groupBy("query_id", "symbol_id").agg(F.count("*").alias("n")).collect()}
+        got = search.search_symbols(names, queries, 1000, fuzzy)
+        assert {(r.query_id, r.symbol_id): r.n_words for r in got.collect()} == want and want
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    texts = names.select("symbol_id", F.col("name").alias("text"))
+    for case, word in ((False, False), (True, False), (False, True)):
+        got = search.search_text(texts, queries, case, word)
+        want = texts.crossJoin(queries).where("length(query) >= 2").where(search.matches("text", F.col("query"), case, word))
+        assert sorted(map(tuple, got.select("symbol_id", "query_id").collect())) == sorted(map(tuple, want.select("symbol_id", "query_id").collect()))
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
