@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from corvane.llm.common import binary_array, give_back, maybe_among, saved, scratch, shuffle_partitions, slices, small_batches, table, text_bytes, text_of, word_spans
 
 #: Entries of one class from which it is split; entries that are sorted at once.
-HOT, CHUNK = 2_000, 20_000
+HOT, CHUNK = 2_000, 8_000
 #: Bands that a hot class is split into at each step.
 SPLIT = 8
 #: Symbols under the rolling hash, and symbols between two triggers of the parse on average, for bytes and for words.
@@ -148,6 +148,7 @@ def _with_symbols(keyed: DataFrame, entries: DataFrame, least: int, unit: str) -
                 spans = pa.array([raw[a * z : (b + least) * z] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
                 same = [p.field(c) for c in ("class", "full1", "full2", "twice")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.zeros(len(lo), np.int32)), pa.array(at - lo), pa.array(hi - lo), spans], ["class", "full1", "full2", "twice", "shift", "most", "last", "span"])
+        give_back()
 
     return both.mapInArrow(run, _ENTRY)
 
@@ -161,6 +162,19 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(x: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first symbols of every suffix in one number, as many as fit, and how many these are; the end of a string comes first."""
+    seen = np.flatnonzero(np.bincount(x)) if x.dtype == np.uint8 else np.unique(x)
+    number = np.searchsorted(seen, x).astype(np.int64) + 1
+    bits = int(len(seen)).bit_length()
+    width = max(1, 62 // bits)
+    key = number.copy()
+    for j in range(1, width):
+        key <<= bits
+        key[:-j][left[:-j] > j] |= number[j:][left[:-j] > j]
+    return key, width
+
+
 def suffix_ranks(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The suffix array of several strings, as the rank of each suffix (from its place to the end of its string) among all; equal
     suffixes share a rank. Prefix doubling: ranks by the first n symbols, taken in pairs, give those by 2 n."""
@@ -168,12 +182,13 @@ def suffix_ranks(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
-    rank, step, longest = _dense(x), 1, int(np.diff(offsets).max())
+    key, step = _packed(x, left)
+    rank, longest = _dense(key), int(np.diff(offsets).max())
     while step < longest:
         goes_on = np.flatnonzero(left > step)
-        second = np.zeros(n, np.int64)
-        second[goes_on] = rank[goes_on + step]
-        rank = _dense(rank * (n + 1) + second)
+        key = rank * (n + 1)
+        key[goes_on] += rank[goes_on + step]
+        rank = _dense(key)
         step *= 2
     return rank
 
@@ -262,7 +277,7 @@ def repeated_starts(x: np.ndarray, offsets: np.ndarray, most: np.ndarray, last:
     suffix = np.where(before > 0, rank[np.minimum(places[heads.indices.to_numpy()[entry]] + start, len(rank) - 1)], 0)
     row = np.repeat(np.arange(len(entry)), 1 + twice[entry])
     key = suffix[row] * n + place[entry[row]]
-    corpus = np.argsort(key, kind="stable")
+    corpus = np.argsort(key)
     row, key = row[corpus], key[corpus]
     near = np.flatnonzero(key[1:] // n == key[:-1] // n)
     a, b, need = key[near] % n, key[near + 1] % n, least - before[row[near]]
@@ -306,6 +321,7 @@ def _solved(entries: DataFrame, least: int, unit: str) -> DataFrame:
                 held = t.slice(cut).to_batches()
         if held and sum(b.num_rows for b in held):
             yield solve(pa.Table.from_batches(held).combine_chunks())
+        give_back()
 
     parts = shuffle_partitions(entries.sparkSession)
     return entries.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(run, "full1 long, full2 long, lo int, hi int")
