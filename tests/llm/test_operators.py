@@ -255,6 +255,51 @@ def test_language_id_learns_and_handles_hard_rows(spark, sf):
     assert langid.identified(empty(spark), net).count() == 0
 
 
+def loop_probabilities(net, data):
+    """The pooled probabilities of a text, one byte after the other."""
+    k, total = langid.HIDDEN, np.zeros(len(net.languages))
+    gate = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(window, d):
+        h, out = np.zeros(k), []
+        for byte in window:
+            g, a = net.tables[d][byte].astype(float), h @ net.recurrent[d].astype(float)
+            z, r = gate(g[:k] + a[:k]), gate(g[k : 2 * k] + a[k : 2 * k])
+            n = np.tanh(g[2 * k :] + r * a[2 * k :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    for at in range(0, len(data), langid.WINDOW):
+        window = data[at : at + langid.WINDOW]
+        for f, b in zip(states(window, 0), states(window[::-1], 1)[::-1], strict=True):
+            y = np.exp(np.concatenate([f, b]) @ net.out.astype(float) + net.bias)
+            total += y / y.sum()
+    return total / len(data)
+
+
+def test_op4_matches_loops(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    net = langid.learn(docs)
+    got = {r.doc_id: r for r in QUERIES["op4_language_id"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(got) == sorted(texts)
+    for i, text in texts.items():
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        elif len(text) < 900:
+            want = loop_probabilities(net, text.encode())
+            assert abs(got[i].score - want.max()) < 1e-3 and abs(want[net.languages.index(got[i].lang_pred)] - want.max()) < 1e-3
+
+
+def test_language_ties_go_to_the_first_by_code_point(spark):
+    k = langid.HIDDEN
+    net = langid.Network(["a", "b"], [np.zeros((256, 3 * k), np.float32)] * 2, [np.zeros((k, 3 * k), np.float32)] * 2, np.zeros((2 * k, 2), np.float32), np.zeros(2, np.float32))
+    got = langid.identified(documents(spark).withColumn("lang_pred", F.lit(1)), net).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("a", 0.5), ("und", 0.0)}
+
+
 def test_language_gradients():
     draw = np.random.default_rng(0)
     x = draw.integers(0, 256, (3, 5))
