@@ -453,6 +453,40 @@ def test_suffix_dedup_of_hard_rows(spark):
     assert suffix.without_repeats(empty(spark)).count() == 0
 
 
+def test_many_equal_rows_are_cut_once_each(spark):
+    """Rows of one id and text share their runs: each is cut the same, and each run counts once however many rows there are."""
+    draw = random.Random(1)
+    text = " ".join(draw.choice(["alpha", "beta", "gamma", "delta"]) + str(draw.randint(0, 99)) for _ in range(120))
+    rows = [(1, text, None, None, 0)] * 700 + [(2, "un" + text[50:] + "like", None, None, 0), (3, "nothing like it", None, None, 0)]
+    docs = documents(spark, rows).repartition(4)
+    got = suffix.without_repeats(docs, 64).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("kept")).alias("left"), F.max(F.size("spans")).alias("spans")).collect()
+    assert {r.doc_id: (r.n, r.left, r.spans) for r in got} == {1: (700, 0, 1), 2: (1, len("un" + "like"), 1), 3: (1, len("nothing like it"), 0)}
+
+
+@pytest.mark.parametrize("hot", [2_000, 2])
+def test_repeated_words_match_a_count(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    draw = random.Random(7)
+    say = lambda n: [draw.choice("abcdeé") + draw.choice(["", "x", "yy"]) for _ in range(n)]
+    common_words = say(40)
+    texts = ["  ".join(say(draw.randint(0, 9)) + common_words[draw.randint(0, 20) :] + say(draw.randint(0, 9))) + draw.choice(["", "\n", " "]) for _ in range(25)] + [None, "", "a"]
+    least, seen = 12, {}
+    for t in texts:
+        w = (t or "").split()
+        for i in range(len(w) - least + 1):
+            seen[tuple(w[i : i + least])] = seen.get(tuple(w[i : i + least]), 0) + 1
+    want = []
+    for t in texts:
+        found = [m.span() for m in re.finditer(r"\S+", t or "")]
+        gone = set()
+        for i in range(len(found) - least + 1):
+            if seen[tuple((t or "")[a:b] for a, b in found[i : i + least])] > 1:
+                gone |= set(range(found[i][0], found[i + least - 1][1]))
+        want.append("".join(c for i, c in enumerate(t or "") if i not in gone))
+    got = suffix.without_repeats(documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), least, unit="word").collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in got} == dict(enumerate(want))
+
+
 def test_op7_matches_brute_force(spark, sf):
     d = common.table(spark, sf, "documents").orderBy("doc_id").collect()
     got = [tuple(r) for r in QUERIES["op7_suffix_array"](spark, sf).orderBy("doc_id").collect()]
@@ -560,6 +594,45 @@ def test_op9_matches_brute_force(spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(raw), len(padded), sha(padded), zlib.crc32(padded[-64:]), len(stream), sha(stream))
 
 
+def walked(stream):
+    """Time stamps and random-access points (bytes before them) of the elementary stream, packet by packet."""
+    tables, stamps, points, offset = {}, [], [], 0
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47
+        pid, begins, has_field, has_body = (p[1] & 31) << 8 | p[2], bool(p[1] & 64), bool(p[3] & 32), bool(p[3] & 16)
+        body = 4 + (1 + p[4] if has_field else 0)
+        random_access = has_field and p[4] > 0 and bool(p[5] & 64)
+        if not has_body or not begins:
+            offset += (188 - body) * (pid in tables.values())
+            continue
+        if pid == 0 or pid in tables:
+            section = p[body + 1 + p[body] :]
+            length = (section[1] & 15) << 8 | section[2]
+            if pid == 0:
+                tables[(section[10] & 31) << 8 | section[11]] = None
+            else:
+                skip = (section[10] & 15) << 8 | section[11]
+                assert length > 9 + skip
+                tables[pid] = (section[13 + skip] & 31) << 8 | section[14 + skip]
+        elif pid in tables.values():
+            b = p[body + 9 : body + 14]
+            stamps.append((b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1)
+            if random_access:
+                points.append(offset)
+            offset += 188 - body - 9 - p[body + 8]
+    return stamps, points
+
+
+def test_media_feature_matches_a_walk(spark, sf):
+    d = {r.doc_id: (r.text or "").encode() for r in common.table(spark, sf, "documents").collect()}
+    for r in QUERIES["op9_media"](spark, sf).collect():
+        raw = d[r.doc_id]
+        stream = media.mux(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))
+        stamps, points = walked(stream)
+        assert r.feature == f"pes={len(stamps)};access={len(points)};first_pts={stamps[0]};last_pts={stamps[-1]};last_access={points[-1]};packets={len(stream) // 188}"
+
+
 # 10 Toxicity
 
 
