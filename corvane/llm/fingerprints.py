@@ -11,13 +11,14 @@ that has the name of a result column is replaced by the result.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +93,18 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return _with_groups(docs.withColumn("fingerprint", _digests("text")), buckets(docs)).select("doc_id", "fingerprint", "group_id", "group_size")
 
 
+def _cuts_below(x: Column, cuts: list[int]) -> Column:
+    """How many of the cuts (ascending) are x or less: the stretch of cuts that x falls in is found first, so about 2 sqrt(n) are compared."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts))
+    stretches = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    count = lambda known: F.size(F.filter(known, lambda c: c <= x))
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    at = count(longs([s[0] for s in stretches]))
+    return F.when(at == 0, 0).otherwise((at - 1) * width + count(F.get(F.array(*[longs(s) for s in stretches]), at - 1)))
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, next_text): each document beside the next one by ascending id; after the last comes the first.
 
@@ -104,7 +117,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     parts = shuffle_partitions(spark)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     cuts = sorted({int(q) for q in keyed.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    part = _cuts_below(F.col("doc_id"), cuts)
     keyed = keyed.select("*", F.when(F.col("doc_id").isNull(), 0).otherwise(part).alias("part"), F.xxhash64("text").alias("h"))
     heads = sorted((r["part"], r["head"]) for r in keyed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h")).alias("head")).collect())
     if not heads:

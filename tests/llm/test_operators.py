@@ -391,6 +391,13 @@ def test_op6_matches_brute_force(spark, sf):
         assert (r.near_edited, r.near_next) == (float(r.fingerprint == r.edited_fingerprint), float(fingerprints.canonical(text) == fingerprints.canonical(after)))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 17])
+def test_cuts_below(spark, n):
+    cuts = sorted({(i * 37) % 101 for i in range(n)})
+    got = spark.range(-3, 105).select("id", fingerprints._cuts_below(F.col("id"), cuts).alias("n")).collect()
+    assert all(r.n == sum(c <= r.id for c in cuts) for r in got)
+
+
 def test_clashing_digests_are_told_apart_by_bytes(spark):
     rows = spark.createDataFrame([(1, "a", "f"), (2, "b", "f"), (3, "A ", "f"), (4, "c", "g"), (5, "c", "g"), (6, "d", "h")], "doc_id long, text string, fingerprint string")
     packed = rows.select("doc_id", "fingerprint", fingerprints._packed("text").alias("packed")).groupBy("fingerprint", "packed").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
