@@ -30,10 +30,18 @@ def read_sources(spark: SparkSession, roots: list[tuple[str, str]], pattern: str
     return out.select("path", "scope", kind.alias("kind"), "content", F.sha2("content", 256).alias("content_hash"), "mtime")
 
 
+def list_files(spark: SparkSession, roots: list[str], pattern: str = "*") -> DataFrame:
+    """(path, size, mtime) of files as they are now; contents aren't read. Tasks get no empty files, so the names come from Spark's own listing, which
+    the driver holds for every read; an empty file has no mtime."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
+    names = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    found = files.select(_decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return names.join(found, "path", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"), "mtime")
+
+
 def list_assets(spark: SparkSession, roots: list[str], pattern: str = "*.{uasset,umap}") -> DataFrame:
     """(asset_path, size, mtime); contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
-    return files.select(F.col("path").alias("asset_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return list_files(spark, roots, pattern).withColumnRenamed("path", "asset_path")
 
 
 def read_facts(spark: SparkSession, path: str, name: str, form: str = "parquet") -> DataFrame:
@@ -134,14 +142,6 @@ def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("session_date", "session_time", "pid", (F.col("n") + 1).cast("long").alias("n"), F.try_to_timestamp(grab(1)).alias("ts"), grab(2).alias("category"), F.coalesce(grab(3), F.col("line")).alias("message"))
 
 
-def list_files(spark: SparkSession, roots: list[str], pattern: str = "*") -> DataFrame:
-    """(path, size) of files as they are now; contents aren't read. Tasks get no empty files, so the names come from Spark's own listing, which
-    the driver holds for every read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
-    names = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
-    return names.join(files.select(_decoded_path().alias("path"), F.col("length").alias("size")), "path", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"))
-
-
 def unreadable(expected: DataFrame, read: DataFrame, now: DataFrame | None = None) -> DataFrame:
     """(path, cause): files that were listed (path) but of which a skipping read gave nothing.
 
