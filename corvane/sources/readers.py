@@ -36,7 +36,8 @@ def list_files(spark: SparkSession, roots: list[str], pattern: str = "*") -> Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
     names = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
     found = files.select(_decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return names.join(found, "path", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"), "mtime")
+    key = F.regexp_replace("path", "^file:/+", "file:/")  # a local address is written with one slash or three
+    return names.withColumn("_key", key).join(found.select(key.alias("_key"), "size", "mtime"), "_key", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"), "mtime")
 
 
 def list_assets(spark: SparkSession, roots: list[str], pattern: str = "*.{uasset,umap}") -> DataFrame:
