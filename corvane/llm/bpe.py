@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import binary_array, give_back, shuffle_partitions, slices, small_batches, table, text_bytes, text_of
+from corvane.llm.common import binary_array, give_back, shuffle_partitions, slices, small_batches, table, text_bytes, text_of, trimmed
 
 BLOCK = 6 << 20
 #: Distinct words that a task holds (some 300 bytes each with their ids), but for those of over LONG bytes.
@@ -60,7 +60,7 @@ def _pack(**columns: pa.Array) -> bytes:
 
 
 def _unpack(data: bytes) -> pa.Table:
-    return pq.read_table(pa.BufferReader(data)).combine_chunks()
+    return pq.read_table(pa.BufferReader(data), use_threads=False).combine_chunks()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -161,8 +161,11 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "data": _pack(position=own["position"].chunk(0), ids=lists)}])
+        del known
+        give_back()
 
     def assemble(rows: pa.Table) -> pa.Table:
+        _tokenizer.cache_clear()  # a worker that has encoded words before needs it no more
         if len(set(rows["digest"].to_pylist())) > 1:
             raise ValueError("the input changed between two reads of it: write it to a table first")
         whole = [i for i, n in enumerate(rows["words"].to_pylist()) if n is not None]
@@ -182,17 +185,19 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         give_back()
         return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[before]), lists.values)})
 
-    words = docs.mapInArrow(split, "block long, digest long, owner long, data binary").repartition(parts, "owner")
-    encoded = words.select("block", "digest", "data").mapInArrow(encode_once, "block long, digest long, data binary")
-    numbered = docs.mapInArrow(number, "block long, digest long, data binary, words int, doc_id array<long>, before array<long>")
+    words = docs.mapInArrow(trimmed(split), "block long, digest long, owner long, data binary").repartition(parts, "owner")
+    encoded = words.select("block", "digest", "data").mapInArrow(trimmed(encode_once), "block long, digest long, data binary")
+    numbered = docs.mapInArrow(trimmed(number), "block long, digest long, data binary, words int, doc_id array<long>, before array<long>")
     return numbered.unionByName(encoded, allowMissingColumns=True).groupBy("block").applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, vocabulary: str) -> DataFrame:
     """The input with `text`, the decoded ids; ids that the vocabulary lacks count as nothing, a null list as empty."""
+    shared = ids.sparkSession.sparkContext.broadcast(pieces(vocabulary))  # half a megabyte, whatever the corpus
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = pieces(vocabulary)
+        _tokenizer.cache_clear()
+        told = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -209,7 +214,7 @@ def decode(ids: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     schema = ids.select(*[c for c in ids.columns if c != "text"], F.lit("").alias("text")).schema
-    return ids.mapInArrow(join, schema)
+    return ids.mapInArrow(trimmed(join), schema)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import maybe_among, saved, scratch, shuffle_partitions, small_batches, table, text_of
+from corvane.llm.common import maybe_among, saved, scratch, shuffle_partitions, small_batches, table, text_of, trimmed
 
 
 def canonical(text: str) -> str:
@@ -142,7 +142,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                     ids, texts, nexts, held = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], ["doc_id", "text", "next_text"])
 
-    return dealt.drop("h").mapInArrow(pair, "doc_id long, text string, next_text string")
+    return dealt.drop("h").mapInArrow(trimmed(pair), "doc_id long, text string, next_text string")
 
 
 @F.pandas_udf(T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]))

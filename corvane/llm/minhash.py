@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, binary_array, lower_ascii, maybe_among, saved, scratch, slices, small_batches, table, text_bytes, text_of, word_spans
+from corvane.llm.common import WORD, binary_array, lower_ascii, maybe_among, saved, scratch, slices, small_batches, table, text_bytes, text_of, trimmed, word_spans
 from corvane.llm.components import components
 
 BANDS, ROWS, MINIMA, SEED = 32, 4, 512, 20240917
@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "bands", "signature"])
 
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary, signature binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_id binary, bands binary, signature binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(nodes)], ["key", "node"])
 
-    return classes.select("node", "bands").mapInArrow(run, "key long, node long")
+    return classes.select("node", "bands").mapInArrow(trimmed(run), "key long, node long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -172,7 +172,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 keep = np.flatnonzero(same >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(same[keep])], ["a", "b", "estimate"])
 
-    return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, estimate double")
+    return p.select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a long, b long, estimate double")
 
 
 _FIND = re.compile(WORD).findall
@@ -204,7 +204,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["u", "v"])
 
     t = pairs.select("a", "b").join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return t.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+    return t.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _components_of(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
             own = np.array([xxhash.xxh3_64_intdigest(t.as_buffer()) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([nodes, pa.array(np.repeat(own, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(hashes.view(np.int64))], ["node", "own", "size", "key"])
 
-    shingles = texts.select("node", "text").mapInArrow(run, "node long, own long, size long, key long")
+    shingles = texts.select("node", "text").mapInArrow(trimmed(run), "node long, own long, size long, key long")
     spread = shingles.join(shingles.groupBy("key").agg(F.count("*").alias("n")), "key")
     rarest = Window.partitionBy("node", "own").orderBy("n", "key")
     wanted = F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import binary_array, give_back, maybe_among, saved, scratch, shuffle_partitions, slices, small_batches, table, text_bytes, text_of, word_spans
+from corvane.llm.common import binary_array, give_back, maybe_among, saved, scratch, shuffle_partitions, slices, small_batches, table, text_bytes, text_of, trimmed, word_spans
 
 #: Entries of one class from which it is split; entries that are sorted at once.
 HOT, CHUNK = 2_000, 8_000
@@ -129,7 +129,7 @@ def _parsed(keyed: DataFrame, least: int, unit: str) -> DataFrame:
                 ["row_key", "lo", "hi", "at", "class", "full1", "full2"],
             )
 
-    return keyed.select("row_key", "text").mapInArrow(run, "row_key binary, lo int, hi int, at int, class long, full1 long, full2 long")
+    return keyed.select("row_key", "text").mapInArrow(trimmed(run), "row_key binary, lo int, hi int, at int, class long, full1 long, full2 long")
 
 
 def _with_symbols(keyed: DataFrame, entries: DataFrame, least: int, unit: str) -> DataFrame:
@@ -150,7 +150,7 @@ def _with_symbols(keyed: DataFrame, entries: DataFrame, least: int, unit: str) -
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.zeros(len(lo), np.int32)), pa.array(at - lo), pa.array(hi - lo), spans], ["class", "full1", "full2", "twice", "shift", "most", "last", "span"])
         give_back()
 
-    return both.mapInArrow(run, _ENTRY)
+    return both.mapInArrow(trimmed(run), _ENTRY)
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -324,7 +324,7 @@ def _solved(entries: DataFrame, least: int, unit: str) -> DataFrame:
         give_back()
 
     parts = shuffle_partitions(entries.sparkSession)
-    return entries.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(run, "full1 long, full2 long, lo int, hi int")
+    return entries.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(trimmed(run), "full1 long, full2 long, lo int, hi int")
 
 
 def _banded(entries: DataFrame, least: int, unit: str, width: int) -> DataFrame:
@@ -343,7 +343,7 @@ def _banded(entries: DataFrame, least: int, unit: str, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["class", "full1", "full2", "twice", "shift", "most", "last", "span"])
 
-    return entries.mapInArrow(run, _ENTRY)
+    return entries.mapInArrow(trimmed(run), _ENTRY)
 
 
 def repeated(keyed: DataFrame, least: int, unit: str = "byte") -> DataFrame:
@@ -415,7 +415,7 @@ def without_repeats(docs: DataFrame, least: int = 400, text: str = "text", doc_i
             columns = [batch.column(n) for n in [*names, "n_bytes"]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*names, "n_bytes", "kept", "spans"])
 
-    return plain.unionByName(cut.mapInArrow(run, plain.schema))
+    return plain.unionByName(cut.mapInArrow(trimmed(run), plain.schema))
 
 
 def op7_suffix_array(spark, sf_dir) -> DataFrame:

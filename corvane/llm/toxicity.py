@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import binary_array, held_out, slices, small_batches, table, text_bytes, text_of, word_spans
+from corvane.llm.common import binary_array, held_out, slices, small_batches, table, text_bytes, text_of, trimmed, word_spans
 
 DIM = 1 << 22
 SAMPLE, LEAST = 16_384, 4
@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(terms.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), lists], ["doc_id", "toxic", "terms"])
 
-    got = both.mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    got = both.mapInArrow(trimmed(run), "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id").combine_chunks()
     if not len(got):
         return fit(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0))
     lists = got["terms"].combine_chunks()
@@ -224,7 +224,7 @@ def scored(docs: DataFrame, model: FactorizationMachine, text: str = "text", out
             kept = [n for n in b.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(1 / (1 + np.exp(-np.clip(y, -500, 500))))], [*kept, out])
 
-    return clean.mapInArrow(run, docs.drop(out).withColumn(out, F.lit(0.0)).schema)
+    return clean.mapInArrow(trimmed(run), docs.drop(out).withColumn(out, F.lit(0.0)).schema)
 
 
 def op10_toxicity(spark, sf_dir) -> DataFrame:
