@@ -82,11 +82,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return binary_array(data, starts, np.append(starts[1:], n)) if n else pa.array([], pa.binary()), np.searchsorted(starts, offsets)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     """(block, digest, batch, distinct words by falling frequency, positions in them, words before each row)."""
     context = TaskContext.get()
     at = (context.partitionId() if context else 0) << 32
-    for batch in slices(batches, "text", BLOCK):
+    for batch in slices(batches, "text", size):
         words, before = words_of(*text_bytes(batch.column("text")))
         coded = words.dictionary_encode()
         buffers = coded.dictionary.buffers()
@@ -123,14 +123,14 @@ def pieces(path: str) -> pa.Array:
     return pa.array([out.get(i) for i in range(max(out) + 1)], pa.binary())
 
 
-def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids of each whole text."""
-    small_batches(docs.sparkSession, BLOCK)
+def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, ids): the token ids of each whole text. block: bytes of text that a task works on at once; smaller ones shuffle more."""
+    small_batches(docs.sparkSession, block)
     parts = shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, digest, _, words, _, _ in _blocks(batches):
+        for at, digest, _, words, _, _ in _blocks(batches, block):
             told = words.to_pylist()
             shares: list[list[int]] = [[] for _ in range(parts)]
             for i in sorted(range(len(told)), key=told.__getitem__):
@@ -138,18 +138,18 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             for p, own in enumerate(shares):
                 if own:
                     own = pa.array(own, pa.int32())
-                    yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "owner": p, "data": _pack(position=own, word=words.take(own))}])
+                    yield pa.RecordBatch.from_pylist([{"block": at, "digest": digest, "owner": p, "data": _pack(position=own, word=words.take(own))}])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("data", pa.binary()), ("words", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("before", pa.list_(pa.int64()))])
-        for block, digest, batch, words, positions, before in _blocks(batches):
-            columns = [pa.array([x]) for x in (block, digest, _pack(position=positions))] + [pa.array([len(words)], pa.int32()), pa.array([batch.column("doc_id")], pa.list_(pa.int64())), pa.array([before], pa.list_(pa.int64()))]
+        for at, digest, batch, words, positions, before in _blocks(batches, block):
+            columns = [pa.array([x]) for x in (at, digest, _pack(position=positions))] + [pa.array([len(words)], pa.int32()), pa.array([batch.column("doc_id")], pa.list_(pa.int64())), pa.array([before], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, known = _tokenizer(vocabulary), {}
         for batch in batches:
-            for block, digest, data in zip(*(batch.column(c).to_pylist() for c in ("block", "digest", "data")), strict=True):
+            for at, digest, data in zip(*(batch.column(c).to_pylist() for c in ("block", "digest", "data")), strict=True):
                 own = _unpack(data)
                 words = own["word"].to_pylist()
                 if len(known) > TABLE:
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                 ids = [known[w] if w in known else once[w] for w in words]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "data": _pack(position=own["position"].chunk(0), ids=lists)}])
+                yield pa.RecordBatch.from_pylist([{"block": at, "digest": digest, "data": _pack(position=own["position"].chunk(0), ids=lists)}])
         del known
         give_back()
 
