@@ -22,6 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Repeated passages of so many words and more are cut out. The fewest bytes that so many words take: one each, and one between.
 PASSAGE_WORDS = 51
 PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
+#: Bytes of text that a task encodes at once: less than elsewhere, as executors still hold what earlier stages left.
+ENCODE_BYTES = 2 << 20
 ORACLE_SQL = None
 
 
@@ -57,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, n_chars): token ids of each document of the mix, and the length of what they decode to."""
     path = bpe.vocabulary_path()
-    back = bpe.decode(bpe.encode(docs, path), path)
+    back = bpe.decode(bpe.encode(docs, path, block=ENCODE_BYTES), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("text").cast("long").alias("n_chars"))
 
 
