@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, fingerprints, langid, media, minhash, mixing, suffix, toxicity, warc
+from corvane.llm import bpe, chat, fingerprints, infill, langid, media, minhash, mixing, quality, suffix, toxicity, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_media": media.op9_media,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_quality_rules": quality.op12_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op3_minhash": minhash.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_fill_in_middle": infill.OP11_SQL,
+    "op12_quality_rules": quality.OP12_SQL,
 }
