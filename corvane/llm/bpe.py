@@ -63,13 +63,13 @@ def _unpack(data: bytes) -> pa.Table:
     return pq.read_table(pa.BufferReader(data), use_threads=False).combine_chunks()
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """All words of the rows, and the number of words before each row (one entry more than rows)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, blanks: np.ndarray = _CUT) -> tuple[pa.Array, np.ndarray]:
+    """All words of the rows, and the number of words before each row (one entry more than rows). blanks: per byte, whether a word may begin with it."""
     n = len(data)
     cut = np.zeros(n, bool)
     if n > 1:
         before = data[:-1]
-        cut[1:] = _CUT[data[1:]] & _OPEN[before]
+        cut[1:] = blanks[data[1:]] & _OPEN[before]
         # Unicode white space: C2 85, C2 A0, and characters from E1 9A, E2 80, E2 81, E3 80; no cut after any of these
         late = np.flatnonzero(cut[1:] & (before >= 0x80))
         if len(late):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, fingerprints, infill, langid, media, minhash, mixing, quality, suffix, toxicity, warc
+from corvane.llm import alignment, bpe, chat, fingerprints, infill, langid, media, minhash, mixing, quality, suffix, toxicity, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
     "op12_quality_rules": quality.op12_quality_rules,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
