@@ -7,11 +7,10 @@ last opening of each depth gives the container. There is no type checking: what
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.brackets import STRING, after_calls, behind, closing, inside, items, trimmed
 from corvane.functions.text import is_exposed, path_stem, prefix_kind, unix_path
 
 # Macros of the engine's reflection system.
@@ -19,12 +18,7 @@ REFLECTION = ["UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UPROPERTY", "UFUNCTIO
 # Words of the language that the token classes tell apart.
 KEYWORDS = ["auto", "bool", "break", "case", "catch", "char", "class", "const", "constexpr", "continue", "default", "delete", "do", "double", "else", "enum", "explicit", "extern", "false", "final", "float", "for", "friend", "goto", "if", "inline", "int", "long", "mutable", "namespace", "new", "noexcept", "nullptr", "operator", "override", "private", "protected", "public", "return", "short", "signed", "sizeof", "static", "struct", "switch", "template", "this", "throw", "true", "try", "typedef", "typename", "union", "unsigned", "using", "virtual", "void", "while"]
 
-_STRING = r'"(?:[^"\\\n]++|\\.)*+"'
-_PIECES = rf"(?s){_STRING}|'(?:[^'\\\n]++|\\.)*+'|//[^\n]*|/\*.*?(?:\*/|\z)|[^\"'/]++|."
-#: Levels of parentheses in one another that are followed: the bracket depth that common compilers allow.
-NESTING = 256
-#: Balanced parentheses, with strings and quotes in them.
-PAREN = reduce(lambda inner, _: rf"\((?:[^()\"]++|{_STRING}|{inner}|\")*+\)", range(NESTING), r"\([^()]*+\)")
+_PIECES = rf"(?s){STRING}|'(?:[^'\\\n]++|\\.)*+'|//[^\n]*|/\*.*?(?:\*/|\z)|[^\"'/]++|."
 
 
 def without_comments(content: Column, strings: bool = True) -> Column:
@@ -41,16 +35,6 @@ def lines_in(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
-
-
-def _top_level(args: Column) -> Column:
-    """A list in parentheses cut at its own commas."""
-    item = rf"(?:{_STRING}|{PAREN}|[^,\"()])+"
-    return F.filter(F.transform(F.regexp_extract_all(args, F.lit(item), 0), _trimmed), lambda x: x != "")
-
-
 def extract_reflection(files: DataFrame) -> DataFrame:
     """(path, line, macro, specifiers, meta, declaration): each reflection macro with its specifiers, its meta keys, and the text that follows."""
     names = "|".join(REFLECTION)
@@ -58,21 +42,26 @@ def extract_reflection(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.posexplode(cut).alias("n", "text"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("line", F.coalesce(F.sum(lines_in(F.col("text"))).over(w), F.lit(0)) + 1)
-    head = rf"^({names})\s*({PAREN})"
-    rows = rows.where(F.col("text").rlike(head)).withColumn("macro", F.regexp_extract("text", head, 1)).withColumn("args", F.regexp_extract("text", head, 2))
-    items = _top_level(F.substring(F.col("args"), F.lit(2), F.length("args") - 2))
-    rows = rows.withColumn("items", items)
+    rows = macro_calls(rows, rf"^({names})\s*(?=\()").withColumn("items", items(F.col("args")))
     is_meta = lambda x: x.rlike(r"^meta\s*=")
     inner = F.regexp_extract(F.coalesce(F.get(F.filter("items", is_meta), F.lit(0)), F.lit("")), r"(?s)^meta\s*=\s*\((.*)\)$", 1)
     key = lambda x: F.trim(F.regexp_extract(x, r"^([^=]*)", 1))
     value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, r"(?s)^[^=]*=(.*)$", 1)), r'(?s)^"(.*)"$', "$1")
-    entries = F.transform(_top_level(inner), lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
+    entries = F.transform(items(inner), lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
     first = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     meta = F.map_from_entries(F.transform(first, lambda k: F.struct(k.alias("key"), F.get(F.filter(entries, lambda e: e["key"] == k), F.lit(0))["value"].alias("value"))))
-    rest = F.regexp_extract(_trimmed(F.substring(F.col("text"), F.length(F.regexp_extract("text", head, 0)) + 1, F.length("text"))), r"(?s)^([^;{]*)", 1)
+    rest = F.regexp_extract(trimmed(F.col("rest")), r"(?s)^([^;{]*)", 1)
     return rows.select("path", F.col("line").cast("int").alias("line"), "macro", F.filter("items", lambda x: ~is_meta(x)).alias("specifiers"), meta.alias("meta"), F.trim(F.regexp_replace(rest, r"\s+", " ")).alias("declaration"))
 
 
+def macro_calls(rows: DataFrame, head: str) -> DataFrame:
+    """Rows whose text begins with a call, with macro (the name), args (what is in its parentheses) and rest. head: a pattern of the name up to the parenthesis."""
+    rows = rows.where(F.col("text").rlike(head)).withColumn("macro", F.regexp_extract("text", head, 1))
+    called = F.substring(F.col("text"), F.length(F.regexp_extract("text", head, 0)) + 1, F.length("text"))
+    rows = rows.withColumn("_call", called).withColumn("_end", closing(F.col("_call"))).where("_end > 0")
+    return rows.withColumn("args", F.expr("substring(_call, 2, _end - 2)")).withColumn("rest", F.expr("substring(_call, _end + 1, length(_call))")).drop("_call", "_end")
+
+
 def extract_includes(files: DataFrame) -> DataFrame:
     """(path, line, target_text) of include lines, in order."""
     rows = files.select("path", F.posexplode(F.split(without_comments(F.col("content")), "\n")).alias("n", "text"))
@@ -82,7 +71,7 @@ def extract_includes(files: DataFrame) -> DataFrame:
 
 def statements(files: DataFrame) -> DataFrame:
     """(path, n, text, line, end_line, depth, container, opens): the statements of each file with line range, brace depth and innermost container."""
-    clean = F.regexp_replace(without_comments(F.col("content"), strings=False), r"(?m)^[ \t]*#(?:[^\n\\]|\\\r?\n|\\.)*", "")
+    clean = F.regexp_replace(without_comments(F.col("content"), strings=False), r"(?m)^[ \t]*#(?:[^\n\\]++|\\\r?\n|\\.)*+", "")
     rows = files.select("path", F.posexplode(F.split(clean, r"(?<=[;{}])|(?<=\b(?:public|protected|private):)")).alias("n", "raw"))
     w = Window.partitionBy("path").orderBy("n")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -104,53 +93,56 @@ def statements(files: DataFrame) -> DataFrame:
 def extract_declarations(files: DataFrame) -> DataFrame:
     """(path, line, end_line, kind, name, container, bases, params, type_text, flags): types, functions, fields, enum values, namespaces, macros, declaration level only."""
     s = statements(files)
-    macro = r"^(?:(?:" + "|".join(REFLECTION) + r"|GENERATED_BODY|GENERATED_UCLASS_BODY)\s*" + PAREN + r"\s*)+"
-    s = s.withColumn("text", F.trim(F.regexp_replace("text", macro, ""))).withColumn("text", F.trim(F.regexp_replace("text", r"^(?:public|protected|private)\s*:\s*", "")))
+    s = s.withColumn("text", after_calls(F.col("text"), [*REFLECTION, "GENERATED_BODY", "GENERATED_UCLASS_BODY"])).withColumn("text", F.trim(F.regexp_replace("text", r"^(?:public|protected|private)\s*:\s*", "")))
+    # what stands before the first parenthesis, in it, and behind it
+    opens = F.instr("text", "(")
+    called = F.substring(F.col("text"), opens, F.length("text"))
+    s = s.withColumn("_head", F.when(opens > 0, F.left(F.col("text"), opens - 1))).withColumn("_args", F.when(opens > 0, inside(called))).withColumn("_tail", F.when(opens > 0, behind(called)))
     kind_re = r"^(?:template\s*<[^>]*>\s*)?(class|struct|union|enum(?: class)?|namespace)\s+(?:\w+_API\s+)?(\w+)(?:\s+final)?\s*(?::([^:].*?))?\s*\{$"
-    func_re = rf"^((?:(?:virtual|static|inline|explicit|constexpr|friend|FORCEINLINE|extern|\w+_API)\s+)*)([\w:<>,&*\s]*?)\s*\b(~?\w+(?:::~?\w+)*)\s*({PAREN})\s*((?:const|override|final|noexcept)\b\s*)*(=\s*0|=\s*default|=\s*delete)?\s*(?::[^:].*)?[;{{]$"
-    field_re = r"^((?:(?:static|const|mutable|constexpr|inline)\s+)*)([\w:<>,&*\s]+?[\s&*>])(\w+)\s*(?:\[[^\]]*\])?\s*(?:=.*|\{)?;?$"
-    is_type, is_func = F.col("text").rlike(kind_re), F.col("text").rlike(func_re) & ~F.col("text").rlike(r"^(?:if|for|while|switch|return|else|do|catch)\b")
-    is_field = F.col("text").rlike(field_re) & F.endswith("text", F.lit(";")) & ~F.col("text").rlike(r"^(?:return|using|typedef|friend|delete|goto|break|continue|class|struct|enum)\b")
-    g = lambda r, i: F.trim(F.regexp_extract("text", r, i))
+    head_re = r"^((?:(?:virtual|static|inline|explicit|constexpr|friend|FORCEINLINE|extern|\w+_API)\s+)*+)([\w:<>,&*\s]*?)\s*\b(~?\w+(?:::~?\w+)*+)\s*$"
+    tail_re = r"^\s*((?:const|override|final|noexcept)\b\s*)*+(=\s*0|=\s*default|=\s*delete)?\s*(?::[^:].*)?[;{]$"
+    field_re = r"^((?:(?:static|const|mutable|constexpr|inline)\s+)*+)([\w:<>,&*\s]+?[\s&*>])(\w+)\s*(?:\[[^\]]*\])?\s*(?:=.*|\{)?;?$"
+    starts = lambda words: F.col("text").rlike(rf"^(?:{words})\b")
+    s = s.withColumn("_type", F.col("text").rlike(kind_re)).withColumn("_func", ~F.col("_type") & F.coalesce(F.col("_head").rlike(head_re) & F.col("_tail").rlike(tail_re), F.lit(False)) & ~starts("if|for|while|switch|return|else|do|catch"))
+    s = s.withColumn("_field", ~F.col("_type") & ~F.col("_func") & F.endswith("text", F.lit(";")) & F.col("text").rlike(field_re) & ~starts("return|using|typedef|friend|delete|goto|break|continue|class|struct|enum"))
+    is_type, is_func, is_field = (F.col(c) for c in ("_type", "_func", "_field"))
+    g = lambda r, i, c="text": F.trim(F.regexp_extract(c, r, i))
     kind = F.when(is_type, g(kind_re, 1)).when(is_func, F.lit("function")).when(is_field, F.lit("field"))
-    name = F.when(is_type, g(kind_re, 2)).when(is_func, g(func_re, 3)).otherwise(g(field_re, 3))
+    name = F.when(is_type, g(kind_re, 2)).when(is_func, g(head_re, 3, "_head")).otherwise(g(field_re, 3))
     bases = F.transform(F.filter(F.split(g(kind_re, 3), ","), lambda b: F.trim(b) != ""), lambda b: F.regexp_replace(F.trim(b), r"^(?:(?:public|protected|private|virtual)\s+)*", ""))
-    args = g(func_re, 4)
     param = lambda p: F.struct(F.trim(F.regexp_replace(F.regexp_replace(p, r"=.*$", ""), r"\b\w+\s*$", "")).alias("type"), F.regexp_extract(F.regexp_replace(p, r"\s*=.*$", ""), r"[\s&*>](\w+)\s*$", 1).alias("name"), F.contains(p, F.lit("=")).alias("has_default"))
-    params = F.transform(_list_items(F.substring(args, F.lit(2), F.length(args) - 2)), param)
-    out = s.withColumn("kind", kind).where("kind is not null").select(
-        "path", "line", "end_line", F.when(F.col("kind").startswith("enum"), "enum").otherwise(F.col("kind")).alias("kind"), name.alias("name"), "container",
-        F.when(is_type & ~g(kind_re, 1).startswith("enum"), bases).alias("bases"), F.when(is_func, params).alias("params"), F.when(is_func, g(func_re, 2)).when(is_field & ~is_type, g(field_re, 2)).alias("type_text"),
-        F.coalesce(F.when(is_func, F.col("text").rlike(r"^(?:\w+\s+)*?virtual\b")), F.lit(False)).alias("is_virtual"), F.col("text").rlike(r"\bstatic\b").alias("is_static"),
-        F.col("text").rlike(r"\)\s*(?:const\s+)?override\b").alias("is_override"), F.col("text").rlike(r"\)\s*[\w\s]*\bfinal\b").alias("is_final"), F.col("text").rlike(r"\)\s*const\b").alias("is_const"), F.col("text").rlike(r"=\s*0\s*;$").alias("is_pure"), (is_func & F.col("opens")).alias("has_body"), "depth",
+    params = F.transform(F.filter(items(F.col("_args"), angles=True), lambda x: x != "void"), param)
+    told = F.struct(
+        F.when(kind.startswith("enum"), "enum").otherwise(kind).alias("kind"), name.alias("name"),
+        F.when(is_type & ~g(kind_re, 1).startswith("enum"), bases).alias("bases"), F.when(is_func, params).alias("params"), F.when(is_func, g(head_re, 2, "_head")).when(is_field, g(field_re, 2)).alias("type_text"),
+        F.coalesce(F.when(is_func, F.col("_head").rlike(r"\bvirtual\b")), F.lit(False)).alias("is_virtual"), F.col("text").rlike(r"\bstatic\b").alias("is_static"),
+        F.col("text").rlike(r"\)\s*(?:const\s+)?override\b").alias("is_override"), F.col("text").rlike(r"\)\s*[\w\s]*\bfinal\b").alias("is_final"), F.col("text").rlike(r"\)\s*const\b").alias("is_const"), F.col("text").rlike(r"=\s*0\s*;$").alias("is_pure"), (is_func & F.col("opens")).alias("has_body"),
     )
-    # what lies in function bodies, and macro calls, are no declarations
-    made = (F.col("type_text") != "") | F.col("name").contains("::") | F.col("name").startswith("~") | (F.col("name") == F.col("container"))
-    out = out.where(~F.col("kind").isin("function", "field") | (((F.col("depth") == 0) | F.col("container").isNotNull()) & F.coalesce(made, F.lit(False))))
-    # the old style enum: namespace X { enum Type { ... } } is an enum named X
-    inner = out.where("kind = 'enum' and name = 'Type' and container is not null").select("path", F.col("container").alias("name")).distinct().withColumn("_enum", F.lit(True))
-    out = out.join(inner, ["path", "name"], "left").withColumn("kind", F.when((F.col("kind") == "namespace") & F.col("_enum"), "enum").otherwise(F.col("kind"))).drop("_enum", "depth")
-    return out
 
+    def declares(d: Column) -> Column:
+        """What lies in function bodies, and macro calls, are no declarations."""
+        made = (d["type_text"] != "") | d["name"].contains("::") | d["name"].startswith("~") | (d["name"] == F.col("container"))
+        return d["kind"].isNotNull() & (~d["kind"].isin("function", "field") | (((F.col("depth") == 0) | F.col("container").isNotNull()) & F.coalesce(made, F.lit(False))))
 
-def _list_items(args: Column) -> Column:
-    """Parameters: cut at commas that are outside of angle brackets and parentheses."""
-    item = rf"(?:<(?:[^<>]|<[^<>]*>)*>|{PAREN}|[^,<(])+"
-    return F.filter(F.transform(F.regexp_extract_all(args, F.lit(item), 0), _trimmed), lambda x: (x != "") & (x != "void"))
+    # exploded, so that filters on what is told aren't put in its place, over and over
+    out = s.select("path", "line", "end_line", "container", F.explode(F.filter(F.array(told), declares)).alias("_d")).select("path", "line", "end_line", "container", "_d.*")
+    # the old style enum: namespace X { enum Type { ... } } is an enum named X
+    inner = (F.col("kind") == "enum") & (F.col("name") == "Type") & F.col("container").isNotNull()
+    named = Window.partitionBy("path", F.when(inner, F.col("container")).otherwise(F.col("name")))
+    out = out.withColumn("_enum", F.max(inner).over(named))
+    return out.select("path", "line", "end_line", F.when((F.col("kind") == "namespace") & F.col("_enum"), "enum").otherwise(F.col("kind")).alias("kind"), *[c for c in out.columns if c not in ("path", "line", "end_line", "kind", "_enum")])
 
 
 def extract_delegates(files: DataFrame) -> DataFrame:
     """(path, line, macro, type_name, params, is_dynamic, is_multicast, returns, errors) of delegate declarations, with what is wrong in them."""
-    head = rf"\b(DECLARE_\w*DELEGATE\w*)\s*({PAREN})"
     cut = F.split(without_comments(F.col("content")), r"(?=\bDECLARE_\w*DELEGATE\w*\s*\()")
     rows = files.select("path", F.posexplode(cut).alias("n", "text"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("line", (F.coalesce(F.sum(lines_in(F.col("text"))).over(w), F.lit(0)) + 1).cast("int")).where(F.col("text").rlike("^" + head))
-    rows = rows.withColumn("macro", F.regexp_extract("text", head, 1)).withColumn("args", F.regexp_extract("text", head, 2))
+    rows = rows.withColumn("line", (F.coalesce(F.sum(lines_in(F.col("text"))).over(w), F.lit(0)) + 1).cast("int"))
+    rows = macro_calls(rows, r"^(DECLARE_\w*DELEGATE\w*)\s*(?=\()")
     # the preprocessor cuts at every comma that isn't in parentheses, also inside angle brackets
-    items = _top_level(F.substring(F.col("args"), F.lit(2), F.length("args") - 2))
     dynamic, multicast, returns = F.col("macro").contains("DYNAMIC"), F.col("macro").contains("MULTICAST"), F.col("macro").contains("RetVal")
-    rows = rows.withColumn("items", items).withColumn("type_name", F.get("items", F.when(returns, 1).otherwise(0)))
+    rows = rows.withColumn("items", items(F.col("args"))).withColumn("type_name", F.get("items", F.when(returns, 1).otherwise(0)))
     rows = rows.withColumn("params", F.slice("items", F.when(returns, 3).otherwise(2), F.size("items")))
     words = {"One": 1, "Two": 2, "Three": 3, "Four": 4, "Five": 5, "Six": 6, "Seven": 7, "Eight": 8, "Nine": 9}
     told = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.nullif(F.regexp_extract("macro", r"_([A-Za-z]+)Params?$", 1), F.lit(""))), F.lit(0))
@@ -188,7 +180,7 @@ def pair_header_source(files: DataFrame) -> DataFrame:
 
 
 #: Lexical tokens.
-_TOKENS = rf"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|{_STRING}|'(?:[^'\\\n]++|\\.)*+'|(?m:^[ \t]*#[ \t]*\w+)|\d[\w.']*|[\p{{L}}\p{{N}}_]+|[^\s\w]"
+_TOKENS = rf"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|{STRING}|'(?:[^'\\\n]++|\\.)*+'|(?m:^[ \t]*#[ \t]*\w+)|\d[\w.']*|[\p{{L}}\p{{N}}_]+|[^\s\w]"
 
 
 def word_counts(files: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.brackets import STRING, behind, items
 from corvane.functions.text import format_arity, name_prefix, path_stem, pointee_type
-from corvane.operators.extract import PAREN, expected_definitions, lines_in, without_comments
+from corvane.operators.extract import macro_calls, expected_definitions, lines_in, without_comments
 from corvane.operators.usages import conflicting_specifiers
 
 RULES: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
@@ -206,7 +207,7 @@ def inspect_access(t: dict) -> DataFrame:
 
 #: What to look for in code without comments and strings; conditions and statements may go over several lines.
 ASSIGNMENT_IN_IF = r"^(?:if|while)\s*\(\s*[\w.\->\[\]]+\s*=(?!=)[^=;]*\)"
-EMPTY_BODY = rf"^(?:if|for|while)\s*{PAREN}\s*;"
+CONDITION = r"^(?:if|for|while)\s*(?=\()"
 SELF_ASSIGNMENT = r"^([\w.\->\[\]:]+)\s*=\s*\1\s*;"
 
 
@@ -231,10 +232,14 @@ def inspect_assignment_in_condition(t: dict) -> DataFrame:
     return findings(found, "assignment_in_condition", "warning", "an assignment is the condition")
 
 
+def _behind_condition(text: Column) -> Column:
+    return behind(F.substring(text, F.length(F.regexp_extract(text, CONDITION, 0)) + 1, F.length(text)))
+
+
 @rule
 def inspect_empty_statement(t: dict) -> DataFrame:
     """A `while` right after a closing brace ends a do loop."""
-    found = code_pieces(t["source_files"], _CONDITIONS).where(F.col("text").rlike(EMPTY_BODY)).where(~(F.startswith("text", F.lit("while")) & (F.col("before") == "}")))
+    found = code_pieces(t["source_files"], _CONDITIONS).where(F.col("text").rlike(CONDITION)).where(_behind_condition(F.col("text")).rlike(r"^\s*;")).where(~(F.startswith("text", F.lit("while")) & (F.col("before") == "}")))
     return findings(found, "empty_statement", "warning", "a semicolon is the whole body")
 
 
@@ -252,11 +257,11 @@ def inspect_format_arguments(t: dict) -> DataFrame:
     rows = t["source_files"].select("path", F.posexplode(cut).alias("n", "text"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("line", F.coalesce(F.sum(lines_in(F.col("text"))).over(w), F.lit(0)) + 1)
-    call = rf'(?s)^(?:UE_LOG\s*\([^,()]*,[^,()]*,|FString::Printf\s*\()\s*TEXT\s*\(\s*"((?:[^"\\]|\\.)*)"\s*\)((?:"(?:[^"\\]|\\.)*"|{PAREN}|[^()"])*)\)'
-    rows = rows.where(F.col("text").rlike(call)).withColumn("_rest", F.regexp_extract("text", call, 2))
-    flat = F.regexp_replace(F.regexp_replace("_rest", r'"(?:[^"\\]|\\.)*"', ""), PAREN, "")
-    rows = rows.withColumn("_args", F.regexp_count(flat, F.lit(",")))
-    return findings(rows.where(format_arity(F.regexp_extract("text", call, 1)) != F.col("_args")), "format_arguments", "warning", "conversions and arguments differ in number")
+    rows = macro_calls(rows, r"^(UE_LOG|FString::Printf)\s*(?=\()").withColumn("_items", items(F.col("args")))
+    first = F.when(F.col("macro") == "UE_LOG", 2).otherwise(0)
+    literal = rf"(?s)^TEXT\s*\(\s*({STRING})\s*\)$"
+    rows = rows.withColumn("_format", F.get("_items", first)).where(F.col("_format").rlike(literal)).withColumn("_args", F.size("_items") - first - 1)
+    return findings(rows.where(format_arity(F.regexp_extract("_format", literal, 1)) != F.col("_args")), "format_arguments", "warning", "conversions and arguments differ in number")
 
 
 def inspect_all(tables: dict[str, DataFrame], rules: list[str] | None = None) -> DataFrame:

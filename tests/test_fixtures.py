@@ -332,7 +332,7 @@ def test_updates(spark):
 
 def test_parentheses_of_any_depth(spark):
     deep = lambda n: "(" * n + 'x, ")"' + ")" * n
-    for n in (8, 200):
+    for n in (8, 300, 100_000):
         code = f"UFUNCTION(Category = F{deep(n)}, Exec)\nvoid A();\nDECLARE_DELEGATE_OneParam(FOne, decltype{deep(n)});\nvoid G(int32 A = F{deep(n)}, bool B);\n"
         files = frame(spark, "path string, content string", ("a.h", code))
         got = extract.extract_reflection(files).first()
@@ -368,3 +368,25 @@ def test_blocked_search_equals_all_pairs(spark):
         want = texts.crossJoin(queries).where("length(query) >= 2").where(search.matches("text", F.col("query"), case, word))
         assert sorted(map(tuple, got.select("symbol_id", "query_id").collect())) == sorted(map(tuple, want.select("symbol_id", "query_id").collect()))
         assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_long_arguments(spark):
+    """Values of a megabyte, long literals with many escapes, long directives, and many parameters."""
+    raw, text = "x" * 1_000_000, '"' + "\\n,)" * 200_000 + '"'
+    params = ", ".join(f"TMap<int32, FString> P{i}" for i in range(2_000))
+    code = f"#define X {'a ' * 50_000}\nUPROPERTY(Category = {raw}, meta = (ToolTip = {text}, Key))\nint32 A;\nvoid Many({params});\nUFUNCTION()\nvoid B() {{ UE_LOG(L, Warning, TEXT({text}), {raw}); UE_LOG(L, Warning, TEXT(\"%s\"), F({text}), 2); }}\n"
+    files = frame(spark, "path string, content string", ("a.h", code))
+    got = {r.macro: r for r in extract.extract_reflection(files).collect()}
+    assert list(got["UPROPERTY"].specifiers) == [f"Category = {raw}"] and got["UPROPERTY"].meta == {"ToolTip": text[1:-1], "Key": ""} and (got["UFUNCTION"].line, got["UFUNCTION"].declaration) == (5, "void B()")
+    d = {r.name: r for r in extract.extract_declarations(files).collect()}
+    assert d["A"].type_text == "int32" and [p.type for p in d["Many"].params] == ["TMap<int32, FString>"] * 2_000
+    found = inspections.RULES["format_arguments"]({"source_files": files}).collect()
+    assert [r.line for r in found] == [6, 6]
+
+
+def test_templates_in_one_another(spark):
+    deep = "TMap<TPair<int, TArray<TSet<TWeak<A, B>>>>, C>"
+    code = f"class X {{\nvoid F({deep} A, int B = G(1 < 2, 3), char C = ',', char D = '(', int* E = P->Q(), {deep}& G);\nbool H(bool A = (x > y), TArray<int> B) const;\n}};\n"
+    got = {r.name: r for r in extract.extract_declarations(frame(spark, "path string, content string", ("a.h", code))).collect()}
+    assert [(p.type, p.name) for p in got["F"].params] == [(deep, "A"), ("int", "B"), ("char", "C"), ("char", "D"), ("int*", "E"), (f"{deep}&", "G")]
+    assert [p.name for p in got["H"].params] == ["A", "B"] and got["H"].is_const
