@@ -43,6 +43,7 @@ RADIX, FAN, PAIRS, SEGMENT = 256, 1024, 1 << 20, 128 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
 _HASHED = 1 << 20  # words whose groups are written out at once
+_AT_ONCE = 1 << 13  # words that are encoded at once: the encoder's own results are much larger than the ids
 
 
 def _squeezed(*columns: np.ndarray) -> bytes:
@@ -95,7 +96,12 @@ def _encoders(bytes_path: str, pieces_path: str):
 def _ids(words: list[str], bytes_path: str, pieces_path: str) -> tuple[list[list[int]], list[list[int]]]:
     """Token ids of words that begin with a blank; B adds that blank itself."""
     a, b, blank = _encoders(bytes_path, pieces_path)
-    return [e.ids for e in a.encode_batch_fast(words, add_special_tokens=False)], [x or [blank] for x in b.encode([w[1:] for w in words], num_threads=1)]
+    left, right = [], []
+    for at in range(0, len(words), _AT_ONCE):
+        some = words[at : at + _AT_ONCE]
+        left += [e.ids for e in a.encode_batch_fast(some, add_special_tokens=False)]
+        right += [x or [blank] for x in b.encode([w[1:] for w in some], num_threads=1)]
+    return left, right
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
