@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,72 +10,63 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from corvane.operators.logs import REPORT_SECONDS, SLOW_MS
 from corvane.operators.tables import saved, shared_dir
 from corvane.operators.updates import declaration_fingerprints, latest_versions
+from corvane.streaming import generations
 
 #: Index files are dealt over this many partitions by path, so a batch rewrites only those that its paths fall in.
 PARTITIONS = 64
 
 
 def update_index(batch: DataFrame, index: str, extract: Callable[[DataFrame], DataFrame], partitions: int = PARTITIONS) -> None:
-    """Put a batch of files (path, content, version, deleted) into an index of declarations below `index`.
+    """Put a batch of files (path, content, version, deleted) into an index of files and declarations below `index`.
 
     The newest version of each path counts, also against what the index has; a deleted path leaves its row in `files`, so a late
-    older version stays out. Rows of other paths in touched partitions are kept; other partitions aren't read or written. Paths whose
-    declarations are the same as before (same fingerprint) leave the declarations alone.
+    older version stays out. Only partitions that the batch falls in are read and written, and declarations only in those where
+    some path declares something else than before (by fingerprint). What is written is a new generation; one manifest names the generation of
+    each partition of both tables, and takes effect as a whole when it gets its name. So readers never see half a batch, a batch that fails anywhere leaves the
+    index as it was, and a batch put in again changes nothing.
     """
     spark = batch.sparkSession
+    have = generations.read_manifest(spark, index)
     part = F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int")
-    new = saved(latest_versions(batch).withColumn("part", part), "batch")
-    touched = [r[0] for r in new.select("part").distinct().collect()]  # at most `partitions` numbers
-    if not touched:
-        return
-    old_files, old_decls = (_existing(spark, f"{index}/{n}", touched) for n in ("files", "declarations"))
+    if have and have["partitions"] != partitions:
+        raise ValueError(f"the index has {have['partitions']} partitions")
+    new = latest_versions(batch).withColumn("part", part)
+    old_files = generations.table_of(spark, index, have, "files")
     if old_files is not None:
         new = new.join(old_files.select("path", F.col("version").alias("_have")), "path", "left").where("_have is null or version > _have").drop("_have")
     new = saved(new, "accepted")
+    touched = [r[0] for r in new.select("part").distinct().collect()]  # at most `partitions` numbers
+    if not touched:
+        return
     decls = saved(extract(new.where("not deleted").select("path", "content")).withColumn("part", part), "extracted")
     prints = declaration_fingerprints(decls).select("path", "fingerprint")
-    files = saved(new.drop("content").join(prints, "path", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("0"))).select("path", "version", "deleted", "fingerprint", "part"), "files")
-    changed = files.select("path", "fingerprint", "deleted")
+    files = new.select("path", "version", "deleted", "part").join(prints, "path", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("0")))
+    changed = files.select("path", "fingerprint", "part")
     if old_files is not None:
-        same = changed.join(old_files.select("path", F.col("fingerprint").alias("_fp"), F.col("deleted").alias("_gone")), "path").where("fingerprint = _fp and deleted = _gone").select("path")
-        changed = changed.join(same, "path", "left_anti")
-    changed = saved(changed.select("path"), "changed")
-    _replace(old_files, files, files.select("path"), f"{index}/files")
-    if not changed.isEmpty():
-        _replace(old_decls, decls.join(changed, "path", "left_semi"), changed, f"{index}/declarations")
-
-
-def _existing(spark: SparkSession, path: str, parts: list[int]) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).where(F.col("part").isin(parts))
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-
-
-def _replace(old: DataFrame | None, new: DataFrame, paths: DataFrame, where: str) -> None:
-    """Rewrite the partitions of new and of the replaced paths with the old rows of other paths."""
-    out = new
-    if old is not None:
-        hit = old.join(paths, "path", "left_semi").select("part").union(new.select("part")).distinct()
-        out = new.unionByName(old.join(hit, "part", "left_semi").join(paths, "path", "left_anti"))
-        gone = hit.join(out.select("part").distinct(), "part", "left_anti").count()
-        if gone:  # a partition that loses its last row keeps a mark, as overwriting with nothing leaves it as it was
-            empty = hit.join(out.select("part").distinct(), "part", "left_anti")
-            marks = empty.select(*[F.col("part") if c == "part" else F.lit(None).cast(t).alias(c) for c, t in out.dtypes])
-            out = out.unionByName(marks)
-    # one task per partition number, so that each folder gets one file
-    saved(out, "partitions").repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(where)
+        before = old_files.where(F.col("part").isin(touched)).select("path", F.when(F.col("deleted"), "0").otherwise(F.col("fingerprint")).alias("_fp"))
+        changed = changed.join(before, "path", "left").where("not fingerprint <=> coalesce(_fp, '0')")
+    else:
+        changed = changed.where("fingerprint <> '0'")
+    stale = [r[0] for r in changed.select("part").distinct().collect()]
+    generation = uuid.uuid4().hex
+    paths = new.select("path")
+    told = {}
+    for name, rows, parts in (("files", files, touched), ("declarations", decls.where(F.col("part").isin(stale)), stale)):
+        old = generations.table_of(spark, index, have, name, parts)
+        if old is not None:
+            rows = rows.unionByName(old.join(paths, "path", "left_anti"), allowMissingColumns=True)
+        told[name] = (rows, parts)
+    generations.commit(spark, index, have, generation, told, partitions)
 
 
 def read_declarations(spark: SparkSession, index: str) -> DataFrame:
-    return spark.read.parquet(f"{index}/declarations").where("path is not null").drop("part")
+    """The declarations of the last whole batch."""
+    return generations.table_of(spark, index, generations.read_manifest(spark, index), "declarations").drop("part")
 
 
 def stream_index(files: DataFrame, index: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str, partitions: int = PARTITIONS) -> StreamingQuery:
@@ -94,39 +86,76 @@ def slow_operations(ops: DataFrame, window: str = "1 hour", slow_ms: int = SLOW_
     return o.where(F.col("ms") >= slow_ms).groupBy("op", F.window("ts", window)).agg(F.count("*").alias("n"), F.max("ms").alias("slowest_ms")).select("op", F.col("window.start").alias("start"), "n", "slowest_ms")
 
 
-def stream_hangs(beats: DataFrame, seconds: float = 1.0, reports: tuple = REPORT_SECONDS, late: str = "10 minutes") -> DataFrame:
-    """(session, ts, seconds, report_at) from heartbeats (session, ts): a row with report_at null for each time without one that is longer than `seconds`,
-    and a row for each report that it lasted long enough for. The last sign of life of a session is its state; batches are sorted by time, and a beat
-    older than the state is late and ignored. A hang that goes on is reported when the watermark passes the next report time.
-    """
-    out = "session long, ts timestamp, seconds double, report_at int"
-
-    def gaps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else (None, 0)
-        rows = []
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() * 1000
-            for r in reports:
-                if told < r and last + r * 1_000_000 <= now:
+class _Hangs(StatefulProcessor):
+    """Beats of a session: those that the watermark has passed are walked in order, the others wait. State: the last sign of life and the reports told of it."""
+
+    def __init__(self, seconds: float, reports: tuple):
+        self.least, self.reports = round(seconds * 1_000_000), sorted(reports)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long, told int")
+        self.waiting = handle.getListState("waiting", "us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        times = [t for frame in rows for t in frame["ts"].dropna().astype("datetime64[us]").astype("int64")]
+        yield self._walked(key, times, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._walked(key, [], timerValues)
+
+    def _walked(self, key: tuple, times: list[int], timers: TimerValues) -> pd.DataFrame:
+        passed = timers.getCurrentWatermarkInMs() * 1000
+        last, told = self.last.get() if self.last.exists() else (None, 0)
+        beats = sorted({*times, *(x[0] for x in self.waiting.get())})
+        settled = bisect.bisect_right(beats, passed)
+        rows: list[tuple] = []
+
+        def report(until: int) -> None:
+            nonlocal told
+            for r in self.reports:
+                if told < r and until - last >= r * 1_000_000:
                     rows.append((key[0], last, float(r), r))
                     told = r
-        for frame in frames:
-            for t in sorted(frame["ts"].astype("datetime64[us]").astype("int64")):
-                if last is not None and t > last and (t - last) / 1e6 > seconds:
-                    gap = (t - last) / 1e6
-                    rows.append((key[0], last, gap, None))
-                    rows += [(key[0], last, float(r) if r < gap else gap, r) for r in reports if told < r <= gap]
-                if last is None or t > last:
-                    last, told = t, 0
-        state.update((last, told))
-        nxt = next((r for r in reports if r > told), None)
-        if nxt is not None:
-            due = (last + nxt * 1_000_000) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+        for t in beats[:settled]:
+            if last is not None and t > last:
+                if t - last > self.least:
+                    rows.append((key[0], last, (t - last) / 1_000_000, None))
+                report(t)
+            if last is None or t > last:
+                last, told = t, 0
+        if last is not None:
+            report(passed)
+            self.last.update((int(last), told))
+        self.waiting.put([(int(t),) for t in beats[settled:]]) if settled < len(beats) else self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # one timer for the next beat that waits, and one for each report that is still to come
+        due = ([] if last is None else [last + r * 1_000_000 for r in self.reports if r > told]) + beats[settled : settled + 1]
+        for at in {t // 1000 - 1 for t in due}:
+            self.handle.registerTimer(at)
         got = pd.DataFrame(rows, columns=["session", "ts", "seconds", "report_at"])
-        yield got.assign(ts=pd.to_datetime(got["ts"], unit="us"), report_at=got["report_at"].astype("Int32"))
+        return got.assign(ts=pd.to_datetime(got["ts"], unit="us"), report_at=got["report_at"].astype("Int32"))
 
-    return beats.withWatermark("ts", late).groupBy("session").applyInPandasWithState(gaps, out, "last long, told int", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_hangs(beats: DataFrame, seconds: float = 1.0, reports: tuple = REPORT_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """(session, ts, seconds, report_at) from heartbeats (session, ts), whatever order they come in: a row with report_at null for each time without one that is longer than
+    `seconds`, once a beat has ended it, and a row for each report, as soon as the watermark says that the session has been silent for so long, ended or not.
+
+    Beats wait in the state until the watermark passes them, so those that come late by less than `late` are put in their place. Needs the state store
+    that keeps timers and lists; it is set for the session where none is chosen.
+    """
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark = beats.sparkSession
+    if "RocksDB" not in spark.conf.get(store, ""):
+        spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = beats.schema["session"].dataType.simpleString()
+    rows = beats.select("session", "ts").withWatermark("ts", late).groupBy("session")
+    return rows.transformWithStateInPandas(_Hangs(seconds, reports), f"session {kind}, ts timestamp, seconds double, report_at int", "Append", "EventTime")
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:

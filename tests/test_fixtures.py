@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as fn
 from corvane.operators import extract, hierarchy, inspections, logs, resolve, search, updates, usages
 from corvane.sources import readers
-from corvane.streaming import jobs
+from corvane.streaming import generations, jobs
 
 HEADER = '''#pragma once
 #include "CoreMinimal.h"
@@ -314,6 +314,78 @@ def test_incremental_index_equals_a_rebuild(spark, tmp_path):
         assert sorted(tuple(r) for r in jobs.read_declarations(spark, index).select("path", "declaration").collect()) == want
 
 
+VERSIONS = "path string, content string, version long, deleted boolean"
+
+
+def test_a_failed_batch_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    """A failure at any write, then the same batch again: nothing is lost, and readers see the batch whole or not at all."""
+    batches = [[(f"f{i}", f"int a{i};\nint b;", 1, False) for i in range(6)], [("f0", "int z;", 2, False), ("f1", "", 2, True), ("f2", "int a2;  \nint b;", 2, False), ("f9", "int n;", 2, False)]]
+    told = lambda index: sorted(map(tuple, jobs.read_declarations(spark, index).select("path", "declaration").collect()))
+    whole = f"file://{tmp_path}/whole"
+    for batch in batches:
+        jobs.update_index(frame(spark, VERSIONS, *batch), whole, declarations, partitions=3)
+    writes = [(jobs, "saved"), (generations, "write_partitions"), (generations, "put_manifest")]
+    for place, name in writes:
+        for late in (False, True):
+            for at in range(2):
+                index, calls = f"file://{tmp_path}/{name}-{late}-{at}", []
+                jobs.update_index(frame(spark, VERSIONS, *batches[0]), index, declarations, partitions=3)
+                before, real = told(index), getattr(place, name)
+
+                def fails(*a, at=at, late=late, real=real, calls=calls):
+                    calls.append(1)
+                    out = real(*a) if late and name != "put_manifest" or len(calls) <= at else None
+                    if len(calls) > at:
+                        raise OSError("lost")
+                    return out
+
+                with monkeypatch.context() as m:
+                    m.setattr(place, name, fails)
+                    if name == "put_manifest" and at:
+                        continue
+                    with pytest.raises(OSError):
+                        jobs.update_index(frame(spark, VERSIONS, *batches[1]), index, declarations, partitions=3)
+                assert told(index) == before
+                for _ in range(2):
+                    jobs.update_index(frame(spark, VERSIONS, *batches[1]), index, declarations, partitions=3)
+                    assert told(index) == told(whole)
+    assert told(whole) == [("f0", "int z;"), ("f2", "int a2;  "), ("f2", "int b;")] + sorted((f"f{i}", x) for i in (3, 4, 5) for x in (f"int a{i};", "int b;")) + [("f9", "int n;")]
+    assert generations.vacuum(spark, whole, keep=1) >= 1 and generations.vacuum(spark, whole, keep=1) == 0
+    assert len(told(whole)) == 10
+
+
+def test_live_hangs_equal_the_batch(spark, tmp_path):
+    """Frames of 20 rows, beats in any order, over several batches: hangs and reports are those of the batch operators, with what goes on at the end."""
+    draw, t0 = random.Random(5), dt.datetime(2024, 1, 1)
+    beats = []
+    for session in range(6):
+        at = t0
+        for _ in range(draw.choice((1, 30, 200))):
+            at += dt.timedelta(seconds=draw.choice((0.2, 0.5, 1.0, 1.000001, 1.4, 5, 5.3, 16, 70, 301.5)))
+            beats.append((session, at))
+    end = max(t for _, t in beats) + dt.timedelta(seconds=100)
+    beats += [(99, end), (None, t0)]
+    beats += draw.sample(beats, 20)  # some come twice
+    order = sorted(beats, key=lambda b: b[1] + dt.timedelta(seconds=draw.random() * 50))  # late by less than a minute
+    size = len(order) // 3 + 1
+    for i in range(3):
+        frame(spark, "session long, ts timestamp", *order[i * size : (i + 1) * size]).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "20")
+    try:
+        stream = spark.readStream.schema("session long, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"file://{tmp_path}/in/*")
+        got = jobs.finished(jobs.stream_hangs(stream, late="60 seconds"), "append").collect()
+    finally:
+        spark.conf.set(key, was)
+    seen = end - dt.timedelta(seconds=60)  # the last watermark
+    all_ = frame(spark, "session long, ts timestamp", *{b for b in beats if b[1] <= seen})
+    assert sorted(str((r.session, r.ts, r.seconds)) for r in got if r.report_at is None) == sorted(str((r.session, r.ts, r.seconds)) for r in logs.detect_hangs(all_).collect())
+    last = all_.groupBy("session").agg(F.max("ts").alias("ts")).withColumn("ts", F.lit(seen)).select("session", "ts")
+    reports = logs.hang_reports(logs.detect_hangs(all_.unionByName(last).distinct())).collect()
+    assert sorted(str((r.session, r.ts, r.report_at)) for r in got if r.report_at is not None) == sorted(str((r.session, r.ts, r.report_at)) for r in reports)
+
+
 def test_index_stream(spark, tmp_path):
     schema = "path string, content string, version long, deleted boolean"
     frame(spark, schema, ("a", "int x;", 1, False), ("b", "int y;\nint z;", 1, False), ("a", "int w;", 2, False)).write.parquet(f"file://{tmp_path}/in/0")
