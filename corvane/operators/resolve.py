@@ -17,11 +17,11 @@ LINE_BLOCK = 256
 
 
 def closed_redirects(redirects: DataFrame) -> DataFrame:
-    """(old_name, new_name) with chains followed to their end by doubling; names that end in a cycle are dropped.
+    """(old_name, new_name) with chains followed to their end by doubling; names that end in a cycle are dropped. A name that redirects to itself and to others goes to the smallest of the others.
 
     As long as a chain is open, a doubling ends some names; what is left once none ends goes round in a cycle.
     """
-    now = one = saved(redirects.groupBy("old_name").agg(F.min("new_name").alias("new_name")).where("old_name <> new_name"), "redirects")
+    now = one = saved(redirects.where("old_name <> new_name").groupBy("old_name").agg(F.min("new_name").alias("new_name")), "redirects")
     old = one.select(F.col("old_name").alias("new_name"))
     last, open_names = None, now.join(old, "new_name", "left_semi").count()
     while open_names and open_names != last:

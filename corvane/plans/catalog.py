@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
 from corvane.operators import extract, hierarchy, inspections, logs, resolve, search, updates, usages
+from corvane.operators.tables import new_folder
 from corvane.plans import files, rules  # noqa: F401, they register their queries
 from corvane.plans import standins as v
 from corvane.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -680,5 +681,56 @@ def slow_operations(spark, sf) -> DataFrame:
 
 @query("SELECT session, epoch_us(ts) AS ts_us, (gap / 1000000.0)::DOUBLE AS seconds FROM (SELECT user_id AS session, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) WHERE gap > 43200000000")
 def streamed_hangs(spark, sf) -> DataFrame:
-    e = jobs.event_stream(spark, sf).select(F.col("user_id").alias("session"), "ts")
-    return jobs.finished(jobs.stream_hangs(e, 12 * 3600), "append").where("report_at is null").select("session", F.unix_micros("ts").alias("ts_us"), "seconds")
+    return jobs.finished(jobs.stream_hangs(_beats(spark, sf), 12 * 3600, late="2 days"), "append").where("report_at is null").select("session", F.unix_micros("ts").alias("ts_us"), "seconds")
+
+
+def _beats(spark, sf) -> DataFrame:
+    """Events as a stream of several batches, by time but up to a day out of order; a beat of no session, days after all others, lets the watermark pass these."""
+    e = v.events(spark, sf).select(F.col("user_id").alias("session"), "ts")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * i / 3 for i in range(1, 3)] if low else []
+    came = F.col("ts") + F.make_dt_interval(secs=F.pmod(F.xxhash64("session", "ts"), F.lit(86_400)).cast("decimal(18,6)"))
+    folder, files = new_folder(spark, "beats"), 8
+    n = sum((came > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    for i in range(3):
+        e.where(n == i).repartition(files).write.parquet(f"{folder}/{i}")
+    e.agg(F.lit(None).cast("long").alias("session"), (F.max("ts") + F.expr("interval 9 days")).alias("ts")).write.parquet(f"{folder}/3")
+    return spark.readStream.schema("session long, ts timestamp").option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
+
+
+@query("""WITH g AS (SELECT user_id AS session, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events)
+SELECT session, epoch_us(ts) AS ts_us, unnest(list_filter([43200, 86400, 129600]::BIGINT[], lambda r: gap IS NULL OR r * 1000000 <= gap))::INT AS report_at FROM g""")
+def streamed_hang_reports(spark, sf) -> DataFrame:
+    """Reports of hangs after 12, 24 and 36 hours, also of those that go on at the end."""
+    return jobs.finished(jobs.stream_hangs(_beats(spark, sf), 12 * 3600, (43_200, 86_400, 129_600), "2 days"), "append").where("report_at is not null and session is not null").select("session", F.unix_micros("ts").alias("ts_us"), "report_at")
+
+
+@query("SELECT conv_id AS path, count(*) FILTER (turn % 3 = 0 AND conv_id % 2 = 0) = 0 AND count(*) FILTER (turn = 1 AND conv_id % 5 = 0) = 0 AS unchanged FROM conversations GROUP BY conv_id")
+def unchanged_declarations(spark, sf) -> DataFrame:
+    """Fingerprints before and after an edit: lines move everywhere; some declarations change, some come twice."""
+    said = v.table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.concat_ws(":", "turn", "role", "text").alias("declaration"))
+    other = F.when((F.col("line") % 3 == 0) & (F.col("path") % 2 == 0), F.concat("declaration", F.lit(" "))).otherwise(F.col("declaration"))
+    edited = said.select("path", (100 - F.col("line")).alias("line"), other.alias("declaration"))
+    edited = edited.unionByName(edited.where("line = 99 and path % 5 = 0"))
+    before, after = (updates.declaration_fingerprints(x).select("path", F.col("fingerprint").alias(n)) for x, n in ((said, "old"), (edited, "new")))
+    return before.join(after, "path").select("path", (F.col("old") == F.col("new")).alias("unchanged"))
+
+
+@query("""WITH d AS (SELECT event_id, user_id, CASE event_id % 6 WHEN 0 THEN 'UPROPERTY' WHEN 1 THEN 'Fire' || user_id % 10 || '_Implementation' WHEN 2 THEN 'Execute_Fire' || user_id % 10 WHEN 3 THEN 'Fire' || user_id % 10 WHEN 4 THEN 'Super' ELSE 'x' END AS token FROM events)
+SELECT event_id AS line, user_id::VARCHAR AS path, token FROM d WHERE NOT (user_id % 3 = 0 AND (event_id % 6 IN (0, 4) OR (event_id % 6 IN (1, 2) AND user_id % 10 < 5)))""")
+def stale_diagnostics(spark, sf) -> DataFrame:
+    """Users divisible by 3 are files with a stale generated header; reflected functions are Fire0 to Fire4."""
+    e = v.events(spark, sf).select("event_id", F.col("user_id").alias("u"))
+    fire = F.concat(F.lit("Fire"), F.col("u") % 10)
+    token = F.element_at(F.array(F.lit("UPROPERTY"), F.concat(fire, F.lit("_Implementation")), F.concat(F.lit("Execute_"), fire), fire, F.lit("Super"), F.lit("x")), (F.col("event_id") % 6 + 1).cast("int"))
+    d = e.select(F.col("u").cast("string").alias("path"), F.col("event_id").alias("line"), F.lit("E0020").alias("code"), F.lit("not declared").alias("message"), token.alias("token"))
+    events = e.where("u % 10 < 5").select(fire.alias("name")).distinct()
+    return inspections.filter_diagnostics(d, d.select("path", F.lit("Real.h").alias("target_text")).distinct(), e.where("u % 3 = 0").select(F.col("u").cast("string").alias("path")), events).select("line", "path", "token")
+
+
+@query("SELECT CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 1 ELSE p_partkey END AS target_id, p_partkey AS n FROM part")
+def redirected_to_several(spark, sf) -> DataFrame:
+    """A name with several redirects, one of them to itself, goes to the smallest other."""
+    p = v.symbols(spark, sf).select("symbol_id")
+    r = p.where("symbol_id % 4 = 0").select(F.col("symbol_id").alias("old_name"), F.explode(F.array("symbol_id", F.col("symbol_id") + 1, F.col("symbol_id") + 2)).alias("new_name"))
+    return resolve.apply_redirects(p.select(F.col("symbol_id").alias("target_id"), F.col("symbol_id").alias("n")), r, "target_id")
