@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corvane.llm.bpe import pieces, vocabulary_path, words_of
 from corvane.llm.common import give_back, saved, scratch, slices, small_batches, table, text_bytes, trimmed
 
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 #: Parts of the A ids; runs that a task merges at once; pairs and bytes of text that fill a segment.
 RADIX, FAN, PAIRS, SEGMENT = 256, 1024, 1 << 20, 128 << 20
 _BLANK = np.zeros(256, bool)
@@ -256,6 +256,7 @@ def _spilled(docs: DataFrame, bytes_path: str, pieces_path: str, block: int, rad
         if len(known):
             yield from spill()
         _encoders.cache_clear()
+        give_back()
 
     return docs.mapInArrow(trimmed(run), "run long, part int, data binary, doc_id array<long>, docs binary, digest binary")
 
@@ -355,6 +356,7 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, doc_id: str
 
     def whole(rows: pa.Table) -> pa.Table:
         """The documents of a segment, with what came back to its runs."""
+        _encoders.cache_clear()
         packed = rows.filter(pc.is_valid(rows["docs"]))
         blocks = [_columns(x) for x in packed["docs"].to_pylist()]
         known = np.unique(np.concatenate([np.cumsum(x[7]) for x in blocks]))
