@@ -108,15 +108,21 @@ def word_rank(name: str, word: Column, fuzzy: bool = True) -> Column:
     return rank.when(F.startswith(initials(name), word), 2).when(F.contains(n, w), 3).when(F.regexp_like(n, letters), 4).when(near, 5)
 
 
-def _shorter(x: Column) -> Column:
-    """A word with each of its characters left out."""
-    return F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+def _segments(word: Column) -> Column:
+    """What a word within the typo distance d has: of the d + 1 parts of nearly equal length that `word` is cut into, one at least is whole in it, and so are that part's first
+    three characters."""
+    n = F.length(word)
 
+    def part(parts: int) -> Column:
+        at = [F.floor(n * i / parts).cast("int") for i in range(parts + 1)]
+        return F.array(*[F.substring(word, x + 1, F.least(y - x, F.lit(3))) for x, y in zip(at[:-1], at[1:], strict=True)])
 
-def _near(x: Column, two: Column) -> Column:
-    """A word with up to one character left out, or up to two: words within that many typos have one of these in common."""
-    once = _shorter(x)
-    return F.array_distinct(F.concat(F.array(x), once, F.when(two, F.flatten(F.transform(once, _shorter))).otherwise(F.array().cast("array<string>"))))
+    return F.when(n <= 8, part(typo_distance("") + 1)).otherwise(part(typo_distance("x" * 9) + 1))
+
+
+def _pairs(letters: Column) -> Column:
+    """All pairs of different places' letters in order, each once: per different letter, the different letters behind its first place. So a long name has no more pairs than its alphabet allows."""
+    return F.flatten(F.transform(F.array_distinct(letters), lambda x: F.transform(F.array_distinct(F.slice(letters, F.array_position(letters, x).cast("int") + 1, F.size(letters))), lambda y: F.concat(x, y))))
 
 
 def _tagged(tag: str, keys: Column) -> Column:
@@ -124,17 +130,16 @@ def _tagged(tag: str, keys: Column) -> Column:
 
 
 def _name_keys(name: str, fuzzy: bool) -> Column:
-    """What a name can be found by: runs of up to three characters; beginnings of its initials, pairs of letters in order, and its words with letters left out."""
+    """What a name can be found by: runs of up to three characters, beginnings of its initials, pairs of letters in order, and whether it has a word of two letters at most. The keys grow in proportion to the name."""
     n = F.lower(F.col(name))
     keys = [_tagged("g", _grams(n, k)) for k in (1, 2, 3)]
     if fuzzy:
         own, letters = initials(name), F.split(n, "")
-        pairs = F.flatten(F.transform(letters, lambda x, i: F.transform(F.slice(letters, i + 2, F.size(letters)), lambda y: F.concat(x, y))))
         words = F.split(n, r"[^a-z0-9]+")
         keys += [
             _tagged("i", F.when(F.length(own) > 0, F.transform(F.sequence(F.lit(1), F.length(own)), lambda i: F.substring(own, F.lit(1), i))).otherwise(F.array().cast("array<string>"))),
-            _tagged("s", pairs),
-            _tagged("t", F.flatten(F.transform(words, lambda x: _near(x, F.length(x) >= 7)))),
+            _tagged("s", _pairs(letters)),
+            F.when(F.exists(words, lambda x: F.length(x) <= 2), F.array(F.lit("t"))).otherwise(F.array().cast("array<string>")),
         ]
     return F.array_distinct(F.concat(*keys))
 
@@ -144,13 +149,13 @@ def _word_keys(word: str, fuzzy: bool) -> Column:
     w = F.lower(F.col(word))
     keys = [F.array(F.concat(F.lit("g"), _gram_of(w)))]
     if fuzzy:
-        keys += [F.array(F.concat(F.lit("i"), word)), F.array(F.concat(F.lit("s"), F.substring(w, 1, 1), F.right(w, F.lit(1)))), _tagged("t", _near(w, F.length(word) > 8))]
+        keys += [F.array(F.concat(F.lit("i"), word)), F.array(F.concat(F.lit("s"), F.substring(w, 1, 1), F.right(w, F.lit(1)))), F.when(F.length(w) <= 1, F.array(F.lit("t"))).otherwise(_tagged("g", _segments(w)))]
     return F.array_distinct(F.concat(*keys))
 
 
 def search_symbols(symbols: DataFrame, queries: DataFrame, k: int = 20, fuzzy: bool = True) -> DataFrame:
     """(query_id, rank, symbol_id, name, n_words): the k best symbols for each query (query_id, query): any word is enough, symbols with more words come
-    first, then better ranks, shorter names, names, ids. Words meet names by equality keys (3-grams, initials, pairs of letters, letters left out), and
+    first, then better ranks, shorter names, names, ids. Words meet names by equality keys (3-grams, initials, pairs of letters, segments that a typo leaves whole), and
     each pair that meets is then ranked in full; the top k is cut in each task before the shuffle."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split("query", r"\s+"), lambda w: w != ""))).alias("word"))
     keyed = words.withColumn("_key", F.explode(_word_keys("word", fuzzy)))

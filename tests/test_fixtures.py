@@ -425,7 +425,7 @@ def test_blocked_search_equals_all_pairs(spark):
     draw = random.Random(11)
     part = lambda: draw.choice(["Get", "Set", "shooter", "Actor", "location", "Widget", "x", "transformation", "é1"])
     names = frame(spark, "symbol_id long, name string", *[(i, draw.choice(["", " ", "_"]).join(part() for _ in range(draw.randint(1, 4)))) for i in range(120)], (500, ""), (501, None))
-    asked = ["GA", "shter", "locatoin", "transfrmatin", "x", "é1", "getactor", "zz", "wdgt", "Actor Set", "transformatoins"]
+    asked = ["GA", "shter", "locatoin", "transfrmatin", "x", "é1", "getactor", "zz", "wdgt", "y", "xy", "sho", "Gt", "loc", "witget", "transphormatiom", "hooter", "Actor Set", "transformatoins"]
     queries = frame(spark, "query_id long, query string", *enumerate(asked))
     for fuzzy in (True, False):
         words = queries.select("query_id", F.explode(F.array_distinct(F.split("query", " "))).alias("word"))
@@ -462,3 +462,11 @@ def test_templates_in_one_another(spark):
     got = {r.name: r for r in extract.extract_declarations(frame(spark, "path string, content string", ("a.h", code))).collect()}
     assert [(p.type, p.name) for p in got["F"].params] == [(deep, "A"), ("int", "B"), ("char", "C"), ("char", "D"), ("int*", "E"), (f"{deep}&", "G")]
     assert [p.name for p in got["H"].params] == ["A", "B"] and got["H"].is_const
+
+
+def test_keys_of_a_name_grow_with_its_length(spark):
+    draw = random.Random(2)
+    made = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCXYZ_0123456789") for _ in range(n))
+    names = frame(spark, "n int, name string", *[(n, made(n)) for n in (100, 300, 600, 1200)])
+    keys = {r.n: r.k for r in names.select("n", F.size(search._name_keys("name", True)).alias("k")).collect()}
+    assert all(k <= 4 * n + 38 * 38 for n, k in keys.items())
