@@ -6,12 +6,18 @@ skipped where the session says so (`spark.sql.files.ignoreCorruptFiles`, `ignore
 
 from __future__ import annotations
 
+import fnmatch
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import path_stem, unix_path
+from corvane.operators.tables import saved
 from corvane.schemas import SCHEMAS
 
 
@@ -30,14 +36,50 @@ def read_sources(spark: SparkSession, roots: list[tuple[str, str]], pattern: str
     return out.select("path", "scope", kind.alias("kind"), "content", F.sha2("content", 256).alias("content_hash"), "mtime")
 
 
+#: Stores that tasks can list by themselves.
+LISTED_BY_TASKS = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
+def _glob(pattern: str) -> str:
+    """A pattern with *, ? and one level of {a,b} as a regular expression."""
+    parts = re.split(r"\{([^}]*)\}", pattern)
+    made = [fnmatch.translate(x)[4:-3] if i % 2 == 0 else f"(?:{'|'.join(fnmatch.translate(y)[4:-3] for y in x.split(','))})" for i, x in enumerate(parts)]
+    return "".join(made)
+
+
 def list_files(spark: SparkSession, roots: list[str], pattern: str = "*") -> DataFrame:
-    """(path, size, mtime) of files as they are now; contents aren't read. Tasks get no empty files, so the names come from Spark's own listing, which
-    the driver holds for every read; an empty file has no mtime."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
-    names = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
-    found = files.select(_decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    key = F.regexp_replace("path", "^file:/+", "file:/")  # a local address is written with one slash or three
-    return names.withColumn("_key", key).join(found.select(key.alias("_key"), "size", "mtime"), "_key", "left").select("path", F.coalesce("size", F.lit(0)).alias("size"), "mtime")
+    """(path, size, mtime) of files as they are now; contents aren't read. As in Spark's own listing, names that begin with a dot or an underscore are left out.
+
+    Folders are a table: tasks list its folders through the store's own file system, and the folders that they find are the table of the next round, so rounds are
+    as many as folders lie in one another, and names are never on the driver. A folder that vanishes meanwhile has no files.
+    """
+    roots = [r if "://" in r else f"file://{r.removeprefix('file:')}" for r in roots]
+    other = sorted({r.partition("://")[0] for r in roots} - set(LISTED_BY_TASKS))
+    if other:
+        raise ValueError(f"tasks can't list {', '.join(other)}; the stores are {', '.join(LISTED_BY_TASKS)}")
+    wanted = re.compile(_glob(pattern))
+    schema = "root string, folder string, is_file boolean, path string, size long, mtime timestamp"
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, folder in zip(batch.column("root").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+                store, base = pyarrow.fs.FileSystem.from_uri(root.rstrip("/") or root)
+                seen = store.get_file_info(pyarrow.fs.FileSelector(base + folder, allow_not_found=True))
+                seen = [i for i in seen if not i.base_name.startswith((".", "_")) and (not i.is_file or wanted.fullmatch(i.base_name))]
+                start = root.rstrip("/").removesuffix(base) if root.rstrip("/").endswith(base) else root.partition("://")[0] + "://"
+                columns = [[root] * len(seen), [i.path[len(base) :] for i in seen], [i.is_file for i in seen], [start + i.path for i in seen], [i.size if i.is_file else 0 for i in seen]]
+                times = pa.array([i.mtime_ns // 1000 if i.mtime_ns is not None else None for i in seen], pa.timestamp("us", "UTC"))
+                kinds = (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), times], ["root", "folder", "is_file", "path", "size", "mtime"])
+
+    rows = spark.createDataFrame([(r, "") for r in dict.fromkeys(roots)], "root string, folder string")
+    found = []
+    while True:
+        listed = saved(rows.repartition("root", "folder").mapInArrow(visit, schema), "listing")
+        found.append(listed.where("is_file").select("path", "size", "mtime"))
+        rows = listed.where("not is_file").select("root", "folder")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def list_assets(spark: SparkSession, roots: list[str], pattern: str = "*.{uasset,umap}") -> DataFrame:

@@ -470,3 +470,17 @@ def test_keys_of_a_name_grow_with_its_length(spark):
     names = frame(spark, "n int, name string", *[(n, made(n)) for n in (100, 300, 600, 1200)])
     keys = {r.n: r.k for r in names.select("n", F.size(search._name_keys("name", True)).alias("k")).collect()}
     assert all(k <= 4 * n + 38 * 38 for n, k in keys.items())
+
+
+def test_listing_in_tasks(spark, tmp_path):
+    """Folders in one another, names with blanks and signs, empty files, hidden names; an unknown store is an error."""
+    made = ["a.uasset", "x/b c.umap", "x/y/%41+é.uasset", "x/y/z/empty.umap", "x/other.txt", "x/.hidden.umap", "_tmp/c.umap", "x/noumap"]
+    for i, name in enumerate(made):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" * (0 if "empty" in name else i + 1))
+    (tmp_path / "bare").mkdir()
+    got = {r.asset_path: (r["size"], r.mtime is not None) for r in readers.list_assets(spark, [f"file://{tmp_path}"]).collect()}
+    assert got == {f"file://{tmp_path}/{n}": (0 if "empty" in n else made.index(n) + 1, True) for n in made[:4]}
+    assert readers.list_files(spark, [str(tmp_path / "x"), f"file:{tmp_path}/gone"]).count() == 5
+    with pytest.raises(ValueError):
+        readers.list_files(spark, ["viewfs://store/in"])
