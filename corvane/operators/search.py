@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.text import breadcrumb, initials, literal_pattern, typo_distance
 
@@ -13,6 +14,8 @@ from corvane.functions.text import breadcrumb, initials, literal_pattern, typo_d
 MEDIA_KINDS = ["texture", "mesh", "sound", "animation"]
 #: Queries of a table that are sent to all tasks at once; more of them go in several blocks.
 BLOCK = 10_000
+#: Queries of a table up to which each text is simply asked for all of them in one pass.
+FEW = 64
 
 
 def scope_texts(texts: DataFrame, names: bool = False, all_assets: bool = False, editor_caches: bool = False, media_kinds: list[str] = MEDIA_KINDS) -> DataFrame:
@@ -56,8 +59,8 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, on: str) -> DataFrame:
 def search_text(texts: DataFrame, query: str | DataFrame, match_case: bool = False, whole_word: bool = False) -> DataFrame:
     """Texts that hold the query (two characters at least), with breadcrumb text if there is one.
 
-    One query is a filter on the scan. A query of a table (query_id, query) meets only texts that have its first three characters (an equality join with the texts' 3-grams), and these are
-    then checked in full.
+    One query is a filter on the scan, and a table (query_id, query) of up to FEW is one pass over the texts. A query of a larger table meets only texts that have its first three
+    characters (an equality join with the texts' 3-grams), and these are then checked in full.
     """
     where = [c for c in ("breadcrumb",) if c in texts.columns]
     shown = texts.withColumn("place", breadcrumb("breadcrumb")) if where else texts
@@ -65,8 +68,14 @@ def search_text(texts: DataFrame, query: str | DataFrame, match_case: bool = Fal
         if len(query) < 2:
             raise ValueError("a query takes two characters at least")
         return shown.where(matches("text", F.lit(query), match_case, whole_word))
+    asked = query.where(F.length("query") >= 2)
+    few = asked.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        told = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in asked.schema]) for r in few]) if few else F.lit(None).cast(T.ArrayType(asked.schema))
+        hit = lambda q: matches("text", q["query"], match_case, whole_word)
+        return shown.withColumn("_asked", F.explode(F.filter(told, hit))).select(*shown.columns, "_asked.*")
     fold = (lambda c: c) if match_case else F.lower
-    asked = query.where(F.length("query") >= 2).withColumn("_gram", _gram_of(fold(F.col("query"))))
+    asked = asked.withColumn("_gram", _gram_of(fold(F.col("query"))))
     text = fold(F.col("text"))
     held = shown.withColumn("_gram", F.explode(F.concat(_grams(text, 2), _grams(text, 3))))
     return _in_blocks(held, asked, "_gram").where(matches("text", F.col("query"), match_case, whole_word)).drop("_gram")

@@ -54,9 +54,11 @@ def table_of(spark: SparkSession, index: str, manifest: dict | None, name: str,
     return spark.read.schema(schema).option("basePath", f"{index}/{name}").parquet(*paths).select(*schema.names)
 
 
-def write_partitions(rows: DataFrame, folder: str) -> None:
-    """One task a partition number, so that each folder gets one file."""
-    rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+def write_partitions(rows: DataFrame, folder: str, sort: str | None = None) -> None:
+    """One task a partition number, so that each folder gets one file; sorted by a column if the table has it."""
+    rows = rows.repartition("part")
+    rows = rows.sortWithinPartitions("part", sort) if sort in rows.columns else rows
+    rows.write.mode("overwrite").partitionBy("part").parquet(folder)
 
 
 def put_manifest(spark: SparkSession, index: str, told: dict, number: int) -> None:
@@ -72,7 +74,7 @@ def put_manifest(spark: SparkSession, index: str, told: dict, number: int) -> No
         raise RuntimeError("another batch was put in at the same time")
 
 
-def commit(spark: SparkSession, index: str, have: dict | None, generation: str, tables: dict[str, tuple[DataFrame, list[int]]], partitions: int) -> None:
+def commit(spark: SparkSession, index: str, have: dict | None, generation: str, tables: dict[str, tuple[DataFrame, list[int]]], partitions: int, sort: str | None = None) -> None:
     """Write the new rows (with part) of some partitions of each table as a generation, then the manifest that replaces `have`."""
     told = {"partitions": partitions, "tables": json.loads(json.dumps(have["tables"])) if have else {}}
     for name, (rows, parts) in tables.items():
@@ -83,7 +85,7 @@ def commit(spark: SparkSession, index: str, have: dict | None, generation: str,
         if not parts:
             continue
         folder = f"{index}/{name}/generation={generation}"
-        write_partitions(rows, folder)
+        write_partitions(rows, folder, sort)
         for n in _names(spark, folder):
             if n.startswith("part="):
                 own["parts"][n.removeprefix("part=")] = generation

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
-from corvane.operators import extract, hierarchy, inspections, logs, resolve, search, updates, usages
+from corvane.operators import extract, hierarchy, inspections, logs, postings, resolve, search, updates, usages
 from corvane.sources import readers
 from corvane.streaming import generations, jobs
 
@@ -484,3 +484,33 @@ def test_listing_in_tasks(spark, tmp_path):
     assert readers.list_files(spark, [str(tmp_path / "x"), f"file:{tmp_path}/gone"]).count() == 5
     with pytest.raises(ValueError):
         readers.list_files(spark, ["viewfs://store/in"])
+
+
+def test_postings_equal_a_scan(spark, tmp_path):
+    """Built, updated, put in again, compacted and rebuilt: every time what a scan of the current texts finds."""
+    draw = random.Random(6)
+    index, state = f"file://{tmp_path}/postings", {}
+    text = lambda: draw.choice([None, "", "x", "Ab", "aé漢 ", "\n"]) if draw.random() < 0.2 else " ".join(draw.choice(["Get", "set", "actor", "Ünï", "a.b", "x", "the", "ab"]) for _ in range(draw.randint(1, 6)))
+    queries = frame(spark, "query_id int, query string", *enumerate(["get", "ab", "a.b", "x", "Actor s", "ünï", "é漢", "zz", "the the", "get", "t"]))
+    schema = "text_id long, text string, version long, deleted boolean"
+
+    def same():
+        texts = frame(spark, "text_id long, text string", *[(i, t) for i, (t, _, gone) in state.items() if not gone])
+        for case, word in ((False, False), (True, False), (False, True)):
+            want = sorted(map(tuple, search.search_text(texts, queries, case, word).select("query_id", "text_id").collect()))
+            assert sorted(map(tuple, postings.search_postings(spark, index, queries, case, word).select("query_id", "text_id").collect())) == want and want
+
+    for step in range(2):
+        batch = [(draw.randint(0, 30), text(), 100 * step + i + (0 if draw.random() < 0.8 else -150), draw.random() < 0.1) for i in range(25)]
+        for _ in range(2):
+            postings.update_postings(frame(spark, schema, *batch), index, partitions=3)
+        for i, t, v, gone in sorted(batch, key=lambda r: r[2]):
+            if v > state.get(i, (None, -1000, None))[1]:
+                state[i] = (t, v, gone)
+        same()
+    postings.compact(spark, index)
+    same()
+    rebuilt = f"file://{tmp_path}/rebuilt"
+    postings.update_postings(frame(spark, schema, *[(i, *x) for i, x in state.items()]), rebuilt, partitions=3)
+    rows = lambda at: sorted(map(tuple, postings._all_grams(spark, at, generations.read_manifest(spark, at)).collect()))
+    assert rows(index) == rows(rebuilt)
