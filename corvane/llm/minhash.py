@@ -9,9 +9,10 @@
 5. Confirmed links are merged by large-star and small-star. Buckets that still hold several components have their members
    of different components compared by signature, each pair in the first band that they share, and what those find is
    confirmed and merged too. So a link that isn't to a bucket's smallest class is found as well.
-6. Buckets of over BLOCK classes of several components (texts with much in common, but less than the threshold) are not compared
-   in pairs. Their classes are dealt anew by their rarest shingles: two sets of similarity t share one of the |A| - t |A| + 1 rarest
-   of either, so this loses no link, and what many texts have in common is in nobody's rare part.
+6. Buckets of over DIRECT classes of several components (texts with much in common, but less than the threshold) are not compared
+   in pairs, so a class has a bounded number of direct pairs. Their classes are dealt anew by their rarest shingles. Of two sets of similarity t or more, with |A| <= |B|,
+   the common part has 2t / (1 + t) |A| elements at least, so one of the |A| - 2t / (1 + t) |A| + 1 rarest of A is among the |B| - t |B| + 1 rarest of B: this loses no link.
+   What a family has in common is rare for none of its members, and texts that keep too little of their own rare part for the threshold never meet.
 
 The first confirmation takes the best pair of each class only; the other pairs count only while they join components.
 
@@ -37,8 +38,8 @@ from corvane.llm.components import components
 BANDS, ROWS, MINIMA, SEED = 32, 4, 512, 20240917
 #: Similarity in hundredths. SLACK: how far below it a signature's estimate may be (four and a half standard deviations).
 PERCENT, SLACK = 80, 0.08
-#: Members of one bucket that are compared with each other.
-BLOCK = 2_000
+#: Members of a bucket up to which all are compared with each other; members of a rare shingle that one task compares with as many others.
+DIRECT, BLOCK = 32, 2_000
 _CHUNK = 1 << 16
 
 
@@ -213,15 +214,16 @@ def _components_of(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(own: DataFrame) -> DataFrame:
-    """(key, n) of the buckets that hold several components."""
-    return own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
+    """(key, n) of the buckets that hold several components and, where members may be indexed, one that is."""
+    told = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), *([F.max("indexed").alias("indexed")] if "indexed" in own.columns else []))
+    return told.where("lo < hi").where("indexed" if "indexed" in own.columns else "true").select("key", "n")
 
 
 def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float, banded: bool) -> DataFrame:
     """(a, b): pairs of different components that share a bucket and whose signatures allow a link.
 
     A bucket of over BLOCK members is cut into blocks; each pair of blocks is one group, so groups are bounded
-    and a pair is given only if its signatures agree. banded: keys are bands, and a pair belongs to the first that it shares.
+    and a pair is given only if its signatures agree. banded: keys are bands, and a pair belongs to the first that it shares; else one member of a pair is indexed.
     """
     sized = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = own.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
@@ -234,9 +236,11 @@ def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float,
         i, j, key = t["i"][0].as_py(), t["j"][0].as_py(), t["key"][0].as_py()
         band = int((keys[0] == key).argmax()) if banded else 0
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        indexed = None if banded else t["indexed"].to_numpy()
         a, b = [], []
         for x in left:
-            y = right[(part[right] != part[x]) & (np.minimum(size[right], size[x]) >= (least + SLACK - 1e-9) * np.maximum(size[right], size[x]))]
+            others = right if banded or indexed[x] else right[indexed[right]]
+            y = others[(part[others] != part[x]) & (np.minimum(size[others], size[x]) >= (least + SLACK - 1e-9) * np.maximum(size[others], size[x]))]
             if i == j:
                 y = y[node[y] > node[x]]
             if len(y) and band:
@@ -247,12 +251,15 @@ def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float,
                 b += node[y].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = rows.select("key", "i", "j", "block", "node", "component", "n_shingles", "bands", "signature").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    found = rows.select("key", "i", "j", "block", "node", "component", "n_shingles", "bands", "signature", *([] if banded else ["indexed"])).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, node) for the rarest shingles of every text, as many as any set of that similarity must share one of. texts: node, text."""
+    """(key, node, indexed) for the rarest shingles of every text. texts: node, text.
+
+    As many as any smaller set of that similarity must share one of; indexed are those that any larger one must share one of.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -265,8 +272,10 @@ def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
     shingles = texts.select("node", "text").mapInArrow(trimmed(run), "node long, own long, size long, key long")
     spread = shingles.join(shingles.groupBy("key").agg(F.count("*").alias("n")), "key")
     rarest = Window.partitionBy("node", "own").orderBy("n", "key")
-    wanted = F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1
-    return spread.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= wanted).select("key", "node").distinct()
+    # whole numbers: a quotient in floating point could round a length down
+    upto = lambda share, of: F.expr(f"size - (size * {share} + {of - 1}) div {of} + 1")
+    ranked = spread.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= upto(percent, 100))
+    return ranked.withColumn("indexed", F.col("rank") <= upto(2 * percent, 100 + percent)).groupBy("key", "node").agg(F.max("indexed").alias("indexed"))
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, save) -> DataFrame:
@@ -308,8 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc
 
         own = save(_components_of(members, labels), "members")
         mixed = save(_mixed(own), "mixed-buckets")
-        across = save(_across(own, mixed.where(F.col("n") <= BLOCK), classes, least, banded=True), "across")
-        large = mixed.where(F.col("n") > BLOCK)
+        across = save(_across(own, mixed.where(F.col("n") <= DIRECT), classes, least, banded=True), "across")
+        large = mixed.where(F.col("n") > DIRECT)
         if not large.isEmpty():
             wide = own.join(large.select("key"), "key", "left_semi").select(F.col("node").alias("doc_id"))
             rare = save(_components_of(rare_shingles(_texts_of(docs, wide, save).withColumnRenamed("doc_id", "node"), words, percent), labels), "rare-shingles")

@@ -195,6 +195,7 @@ def test_near_duplicates_match_brute_force(spark, words):
 def test_large_buckets_are_dealt_by_rare_shingles(spark, monkeypatch):
     """Texts that share much, but not enough, meet in all bands; links among them must be found without comparing all pairs."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "DIRECT", 4)
     draw = random.Random(3)
     common = [f"c{i}" for i in range(70)]
     own = [[f"o{g}_{i}" for i in range(30)] for g in range(12)]
@@ -206,12 +207,32 @@ def test_large_buckets_are_dealt_by_rare_shingles(spark, monkeypatch):
     rare = minhash.rare_shingles(documents(spark, rows).selectExpr("doc_id as node", "text"), 5, 80).collect()
     sets = {}
     for r in rare:
-        sets.setdefault(r.node, set()).add(r.key)
+        sets.setdefault(r.node, {})[r.key] = r.indexed
     texts = {r[0]: minhash.shingle_set(r[1], 5) for r in rows}
     for x in texts:
         for y in texts:
-            if 100 * len(texts[x] & texts[y]) >= 80 * len(texts[x] | texts[y]):
-                assert sets[x] & sets[y]
+            if len(texts[x]) <= len(texts[y]) and 100 * len(texts[x] & texts[y]) >= 80 * len(texts[x] | texts[y]):
+                assert any(sets[x][k] for k in sets[x].keys() & sets[y].keys())
+
+
+def test_families_below_the_threshold_confirm_few_pairs(spark, monkeypatch):
+    """Texts with 85 shingles in common and 15 of their own pass the signatures in every pair; with some real copies among them. Pairs read as texts stay in proportion to documents."""
+    seen, real = [], minhash._confirmed
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    counts = {}
+    for n in (200, 400):
+        seen.clear()
+        common = [f"c{i}" for i in range(89)]
+        rows = [(i, " ".join(common + [f"o{i}_{j}" if i % 40 else f"p{i // 80}_{j}" for j in range(15)]), None, None, 0) for i in range(n)]
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+        assert got == {i: i if i % 40 else 80 * (i // 80) for i in range(n)}
+        counts[n] = sum(seen)
+    assert counts[400] <= 2.2 * counts[200] and counts[400] <= 5 * 400, counts
 
 
 def test_rows_of_one_id_are_one_node(spark):
