@@ -38,7 +38,7 @@ from corvane.llm.common import binary_array, give_back, shuffle_partitions, slic
 
 BLOCK = 6 << 20
 #: Distinct words that a task holds (some 300 bytes each with their ids), but for those of over LONG bytes.
-TABLE, LONG = 1 << 19, 256
+TABLE, LONG = 1 << 17, 256
 
 _CUT = np.zeros(256, bool)  # a cut may come before these
 _CUT[[0x20, 9, 10, 13]] = True
