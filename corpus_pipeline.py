@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, minhash, mixing, suffix, toxicity
-from corvane.llm.common import new_folder, table
+from corvane.llm.common import new_folder, saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Repeated passages of so many words and more are cut out. The fewest bytes that so many words take: one each, and one between.
@@ -59,7 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, n_chars): token ids of each document of the mix, and the length of what they decode to."""
     path = bpe.vocabulary_path()
-    back = bpe.decode(bpe.encode(docs, path, block=ENCODE_BYTES), path)
+    # written in between, so a task has one Python worker at a time
+    back = bpe.decode(saved(bpe.encode(docs, path, block=ENCODE_BYTES), "ids"), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("text").cast("long").alias("n_chars"))
 
 
