@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.scans import line_block, scan, time_block
+
 #: Seconds at which a lasting hang is written, and the shortest slow operation in milliseconds.
 REPORT_SECONDS, SLOW_MS = (5, 15, 60, 300), 300
 GIGABYTE = 1 << 30
@@ -15,9 +17,9 @@ GIGABYTE = 1 << 30
 
 def detect_hangs(heartbeats: DataFrame, seconds: float = 1.0) -> DataFrame:
     """(session, ts, until, seconds): times without a heartbeat for longer than the threshold; ts is the last sign of life."""
-    w = Window.partitionBy("session").orderBy("ts")
     gap = (F.unix_micros("until") - F.unix_micros("ts")) / 1_000_000
-    return heartbeats.select("session", "ts").withColumn("until", F.lead("ts").over(w)).withColumn("seconds", gap).where(F.col("seconds") > seconds)
+    beats = scan(heartbeats.select("session", "ts"), ["session"], ["ts"], time_block("ts"), nexts={"until": F.col("ts")})
+    return beats.withColumn("seconds", gap).where(F.col("seconds") > seconds)
 
 
 def hang_reports(hangs: DataFrame, at: tuple = REPORT_SECONDS) -> DataFrame:
@@ -35,8 +37,8 @@ def retain_sessions(sessions: DataFrame, n: int = 5, group: tuple = (), order: t
 
 def cap_log(lines: DataFrame, most: int = 20 << 20, group: str = "session", order: str = "n", text: str = "message") -> DataFrame:
     """The lines of each session until its file would grow beyond `most` bytes."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("bytes_so_far", F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).over(w)).where(F.col("bytes_so_far") <= most)
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
+    return scan(lines, [group], [order], line_block(order), sums={"bytes_so_far": size.cast("long")}).where(F.col("bytes_so_far") <= most)
 
 
 def memory_steps(samples: DataFrame, step: int = GIGABYTE) -> DataFrame:
@@ -75,14 +77,13 @@ def build_memory(lines: DataFrame) -> DataFrame:
 
 def implementation_plan(functions: DataFrame) -> DataFrame:
     """Missing definitions (def_line null) with the definitions of the neighbours before and after in the class: where a new one belongs."""
-    w = Window.partitionBy("type_id").orderBy("line", "function_id")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    f = functions.withColumn("after_line", F.last("def_line", ignorenulls=True).over(before)).withColumn("before_line", F.first("def_line", ignorenulls=True).over(after))
+    # of a row without a definition, the last up to it is the last before it
+    f = scan(functions, ["type_id"], ["line", "function_id"], line_block("line"), lasts={"after_line": F.col("def_line")}, afters={"before_line": F.col("def_line")})
     return f.where("def_line is null").select("type_id", "function_id", "after_line", "before_line")
 
 
 def outline(symbols: DataFrame) -> DataFrame:
     """symbols (path, line, symbol_id, ...) with their place in the file's outline."""
-    return symbols.withColumn("outline_pos", F.row_number().over(Window.partitionBy("path").orderBy("line", "symbol_id")))
+    return scan(symbols, ["path"], ["line", "symbol_id"], line_block("line"), sums={"outline_pos": F.lit(1)}).withColumn("outline_pos", F.col("outline_pos").cast("int"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import unix_path
+from corvane.operators.scans import scan, time_block
 from corvane.operators.tables import saved
 
 #: Lines of a file that share a key in scope joins.
@@ -173,10 +174,9 @@ def missing_includes(uses: DataFrame, headers: DataFrame, seen: DataFrame, forwa
 
 
 def attribute_hangs(hangs: DataFrame, ui_ops: DataFrame) -> DataFrame:
-    """hangs (session, ts, hang_id) with the last operation (session, ts, op) begun at or before: a union and one window per session, no range join."""
+    """hangs (session, ts, hang_id) with the last operation (session, ts, op) begun at or before: a union and a scan by session, no range join."""
     both = hangs.select("session", "ts", "hang_id", F.lit(None).cast("string").alias("op"), F.lit(1).alias("_o")).unionByName(ui_ops.select("session", "ts", F.lit(None).cast(hangs.schema["hang_id"].dataType).alias("hang_id"), "op", F.lit(0).alias("_o")))
-    w = Window.partitionBy("session").orderBy("ts", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("op", F.last("op", ignorenulls=True).over(w)).where("_o = 1").select("hang_id", "session", "ts", "op")
+    return scan(both, ["session"], ["ts", "_o"], time_block("ts"), lasts={"op": F.col("op")}).where("_o = 1").select("hang_id", "session", "ts", "op")
 
 
 def resolve_includes(includes: DataFrame, compile_commands: DataFrame, files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
-from corvane.operators import extract, hierarchy, inspections, logs, resolve, search, updates, usages
+from corvane.operators import extract, hierarchy, inspections, logs, postings, resolve, search, updates, usages
 from corvane.operators.tables import new_folder
 from corvane.plans import files, rules  # noqa: F401, they register their queries
 from corvane.plans import standins as v
@@ -414,6 +414,19 @@ def text_search_table(spark, sf) -> DataFrame:
     return search.search_text(v.asset_texts(spark, sf).select("text"), q).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT n_nationkey::BIGINT AS query_id, doc_id AS text_id FROM documents JOIN (SELECT n_nationkey, substr('theionandouingerasth', (n_nationkey % 15) + 1, 5) AS q FROM nation) ON contains(lower(text), q) WHERE doc_id % 11 <> 0""")
+def text_search_postings(spark, sf) -> DataFrame:
+    """A stored index: all documents, those with doc_id % 7 = 0 with other texts; then these anew and doc_id % 11 = 0 deleted, then searched."""
+    d = v.table(spark, sf, "documents").where("doc_id is not null").select(F.col("doc_id").alias("text_id"), "text")
+    index = f"{new_folder(spark, 'postings')}/index"
+    first = F.when(F.col("text_id") % 7 == 0, F.lit("and the ion")).otherwise(F.col("text"))
+    postings.update_postings(d.select("text_id", first.alias("text"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted")), index)
+    edited = d.where("text_id % 7 = 0 or text_id % 11 = 0").select("text_id", "text", F.lit(2).cast("long").alias("version"), (F.col("text_id") % 11 == 0).alias("deleted"))
+    postings.update_postings(edited, index)
+    q = v.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.substring(F.lit("theionandouingerasth"), F.col("n_nationkey") % 15 + 1, F.lit(5)).alias("query"))
+    return postings.search_postings(spark, index, q).select("query_id", "text_id")
+
+
 @query("SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE p_type IN ('SMALL', 'LARGE') AND p_brand = 'Brand#7'")
 def symbols_of_container(spark, sf) -> DataFrame:
     return search.symbol_filter(v.symbols(spark, sf).withColumnRenamed("module", "container"), ["SMALL", "LARGE"], "Brand#7").select("symbol_id", "name")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import path_stem, unix_path
+from corvane.operators.scans import line_block, scan
 from corvane.operators.tables import saved
 from corvane.schemas import SCHEMAS
 
@@ -113,10 +114,9 @@ def read_specifier_catalog(spark: SparkSession, path: str, engine_version: str,
 
 def ini_rows(lines: DataFrame) -> DataFrame:
     """(file, line, section, key, value) of numbered lines (file, line, text): the section carries forward; before any it is null."""
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     text = F.trim(F.regexp_replace("text", r"\r$", ""))
     section = F.nullif(F.regexp_extract(text, r"^\[(.*)\]$", 1), F.lit(""))
-    rows = lines.withColumn("text", text).withColumn("section", F.last(section, ignorenulls=True).over(w))
+    rows = scan(lines.withColumn("section", section).withColumn("text", text), ["file"], ["line"], line_block("line"), lasts={"section": F.col("section")})
     rows = rows.where(F.col("text").rlike(r"^[^;#\[].*="))
     key = F.trim(F.regexp_replace(F.regexp_extract("text", r"^([^=]*)=", 1), r"^[+\-.!]", ""))
     return rows.select("file", "line", "section", key.alias("key"), F.trim(F.regexp_extract("text", r"^[^=]*=(.*)$", 1)).alias("value"))

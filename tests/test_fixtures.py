@@ -4,10 +4,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
-from corvane.operators import extract, hierarchy, inspections, logs, postings, resolve, search, updates, usages
+from corvane.operators import extract, hierarchy, inspections, logs, postings, resolve, scans, search, updates, usages
 from corvane.sources import readers
 from corvane.streaming import generations, jobs
 
@@ -514,3 +515,16 @@ def test_postings_equal_a_scan(spark, tmp_path):
     postings.update_postings(frame(spark, schema, *[(i, *x) for i, x in state.items()]), rebuilt, partitions=3)
     rows = lambda at: sorted(map(tuple, postings._all_grams(spark, at, generations.read_manifest(spark, at)).collect()))
     assert rows(index) == rows(rebuilt)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 16])
+def test_scans_equal_windows(spark, size):
+    """Nulls as keys and values, ties of blocks, a key with most rows."""
+    draw = random.Random(8)
+    rows = [(draw.choice([1, 1, 1, 2, None]), i, draw.choice([None, i]), draw.choice([None, None, f"x{i}"])) for i in range(300)] + [(3, 5, None, None)]
+    t = frame(spark, "k int, n int, a int, b string", *rows).repartition(3)
+    got = scans.scan(t, ["k"], ["n"], scans.line_block("n", size), sums={"s": F.col("a")}, lasts={"l": F.col("b")}, nexts={"x": F.col("b"), "y": F.col("n")}, afters={"f": F.col("b")})
+    w = Window.partitionBy("k").orderBy("n")
+    upto, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    want = t.select("k", "n", "a", "b", F.sum("a").over(upto).alias("s"), F.last("b", True).over(upto).alias("l"), F.lead("b").over(w).alias("x"), F.lead("n").over(w).alias("y"), F.first("b", True).over(rest).alias("f"))
+    assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, map(tuple, want.collect())))
