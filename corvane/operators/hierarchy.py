@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import pointee_type
+from corvane.operators.cycles import shortest_cycles
 from corvane.operators.tables import saved
 
 #: Rounds of a walk from seeds that are written as one table; a bound that no real graph comes near, beyond which it raises.
@@ -201,5 +202,7 @@ def filter_tree(anc: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def wait_cycles(waits: DataFrame) -> DataFrame:
-    """Threads in a cycle of waits (waiter, holder): each with the length of its shortest cycle."""
-    return closure(waits.select(F.col("waiter").alias("thread"), F.col("holder").alias("other")), "thread", "other", loops=True).where("thread = other").groupBy("thread").agg(F.min("depth").alias("cycle_length"))
+    """Threads in a cycle of waits (waiter, holder): each with the length of its shortest cycle. Chains cost no more rows than they have edges; see `cycles`."""
+    edges = waits.select(F.col("waiter").alias("u"), F.col("holder").alias("v"))
+    found = shortest_cycles(edges, lambda inside: closure(inside, "u", "v", loops=True))
+    return found.select(F.col("node").alias("thread"), F.col("cycle_length").cast("int").alias("cycle_length"))

@@ -27,7 +27,7 @@ SELF = "selfup AS (SELECT p_partkey AS type_id, p_partkey AS ancestor_id, 0 AS d
 
 @query(f"WITH RECURSIVE {UP} SELECT * FROM up")
 def type_ancestors(spark, sf) -> DataFrame:
-    return v.type_ancestors(spark, sf)
+    return hierarchy.ancestors(v.inherits(spark, sf))
 
 
 @query(f"""WITH RECURSIVE {UP}, {SELF} SELECT ancestor_id AS symbol_id, count(DISTINCT l_orderkey) AS n_assets

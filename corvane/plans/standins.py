@@ -44,8 +44,8 @@ _STORED: dict[tuple, DataFrame] = {}
 
 
 def type_ancestors(spark, sf) -> DataFrame:
-    """The closure of the type tree, stored once a session for each state of its input."""
-    written = spark.read.parquet(f"{sf}/part.parquet").agg(F.max("_metadata.file_modification_time"), F.count("*")).first()
+    """The closure of the type tree, stored once a session for each state of its input (files by name, time and size). `type_ancestors` itself is always computed anew."""
+    written = spark.read.parquet(f"{sf}/part.parquet").agg(F.max("_metadata.file_modification_time"), F.max("_metadata.file_path"), F.sum("_metadata.file_size"), F.count("*")).first()
     key = (spark.sparkContext.applicationId, sf, *written)
     if key not in _STORED:
         _STORED[key] = saved(ancestors(inherits(spark, sf)), "type-ancestors")

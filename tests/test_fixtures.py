@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
-from corvane.operators import extract, hierarchy, inspections, logs, postings, resolve, scans, search, updates, usages
+from corvane.operators import cycles, extract, hierarchy, inspections, logs, postings, resolve, scans, search, updates, usages
 from corvane.sources import readers
 from corvane.streaming import generations, jobs
 
@@ -528,3 +528,64 @@ def test_scans_equal_windows(spark, size):
     upto, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     want = t.select("k", "n", "a", "b", F.sum("a").over(upto).alias("s"), F.last("b", True).over(upto).alias("l"), F.lead("b").over(w).alias("x"), F.lead("n").over(w).alias("y"), F.first("b", True).over(rest).alias("f"))
     assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def walked_cycles(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    found = {}
+    for start in out:
+        seen, now, n = set(), {start}, 0
+        while now:
+            n += 1
+            now = {y for x in now for y in out.get(x, ())} - seen
+            if start in now:
+                found[start] = n
+                break
+            seen |= now
+    return found
+
+
+def test_cycles_of_random_graphs(spark):
+    draw = random.Random(12)
+    graphs = [{(draw.randrange(n), draw.randrange(n)) for _ in range(m)} for n, m in ((12, 14), (25, 40))]
+    graphs.append({(i, draw.randrange(20)) for i in range(20)})  # one edge out each
+    graphs.append({(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 4), (5, 1), (4, 6)})  # cycles in a row, a loop
+    edges = [(100 * g + a, 100 * g + b) for g, graph in enumerate(graphs) for a, b in graph]
+    got = {r.thread: r.cycle_length for r in hierarchy.wait_cycles(frame(spark, "waiter int, holder int", *edges, edges[0], (None, 1), (1, None))).collect()}
+    assert got == walked_cycles(edges)
+    c = {}
+    for r in cycles.strong_components(frame(spark, "u int, v int", *edges)).collect():
+        c.setdefault(r.component, set()).add(r.node)
+    reach = lambda a: {b for b in walk_from(edges, a)}
+    nodes = {x for e in edges for x in e}
+    far = {a: reach(a) for a in nodes}
+    assert {frozenset(x) for x in c.values()} == {frozenset({a} | {b for b in far[a] if a in far[b]}) for a in nodes}
+
+
+def walk_from(edges, start):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    seen, now = set(), {start}
+    while now:
+        now = {y for x in now for y in out.get(x, ())} - seen
+        seen |= now
+    return seen
+
+
+def test_a_chain_into_a_cycle_costs_rows_in_proportion(spark, monkeypatch):
+    rows = []
+
+    def counted(df, name, real=cycles.saved):
+        out = real(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(cycles, "saved", counted)
+    n = 3000
+    edges = [(i, i + 1) for i in range(n)] + [(n + i, n + (i + 1) % 700) for i in range(700)] + [(10_000 + i, i) for i in range(0, n, 3)] + [(n + 5, 20_000)]
+    got = {r.thread: r.cycle_length for r in hierarchy.wait_cycles(frame(spark, "waiter int, holder int", *edges)).collect()}
+    assert got == dict.fromkeys(range(n, n + 700), 700)
+    assert sum(rows) < 40 * len(edges), (sum(rows), len(rows))
