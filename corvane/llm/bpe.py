@@ -5,8 +5,8 @@ byte-level vocabularies), so a word carries its leading blanks. A block of docum
 list of its distinct words and, per document, the positions in that list. Words go to the task that owns their hash, which
 holds its share of the corpus's table of distinct words: a word is encoded when it comes first, and its ids return to all its blocks, where
 they are joined back by position. So the shuffles carry each word once per block, and the positions once; whole texts are never
-shuffled and no table is broadcast. A task holds TABLE words at most: beyond, its table is begun anew, and
-some words are encoded twice then. Words of over LONG bytes, which hardly come again, are encoded wherever they are and not held.
+shuffled and no table is broadcast. A task holds TABLE words at most, those that come first, the common ones among them: others are encoded once
+per block. Words of over LONG bytes, which hardly come again, are encoded wherever they are and not held.
 
 Decoding: ids are joined to their pieces (the vocabulary, whose size is fixed, is on the map side of the join), the bytes
 of a row are strung together and read as UTF-8, with U+FFFD for what is none.
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import binary_array, give_back, shuffle_partitions, slices, small_batches, table, text_bytes, text_of, trimmed
 
 BLOCK = 6 << 20
-#: Distinct words that a task holds (some 300 bytes each with their ids), but for those of over LONG bytes.
-TABLE, LONG = 1 << 17, 256
+#: Distinct words that a task holds (some 300 bytes each with their ids), the first that come, but for those of over LONG bytes.
+TABLE, LONG = 1 << 16, 256
 
 _CUT = np.zeros(256, bool)  # a cut may come before these
 _CUT[[0x20, 9, 10, 13]] = True
@@ -148,15 +148,14 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, known = _tokenizer(vocabulary), {}
+        give_back()  # what reading the vocabulary has taken
         for batch in batches:
             for at, digest, data in zip(*(batch.column(c).to_pylist() for c in ("block", "digest", "data")), strict=True):
                 own = _unpack(data)
                 words = own["word"].to_pylist()
-                if len(known) > TABLE:
-                    known = {}
                 new, once = [w for w in words if w not in known], {}
                 for w, e in zip(new, t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    (known if len(w) <= LONG else once)[w] = np.array(e.ids, np.int32)
+                    (known if len(w) <= LONG and len(known) < TABLE else once)[w] = np.array(e.ids, np.int32)
                 ids = [known[w] if w in known else once[w] for w in words]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))

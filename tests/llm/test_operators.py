@@ -118,6 +118,16 @@ def test_bpe_of_words_that_are_not_held(spark):
     assert got == {r[0]: t.encode(r[1], add_special_tokens=False).ids for r in rows}
 
 
+def test_bpe_of_more_words_than_a_task_holds(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "TABLE", 3)
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    rows = [(i, " ".join(f"w{(i * j) % 17}x y" for j in range(30)), None, None, 0) for i in range(12)]
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(documents(spark, rows).repartition(3), bpe.vocabulary_path(), block=500).collect()}
+    assert got == {r[0]: t.encode(r[1], add_special_tokens=False).ids for r in rows}
+
+
 def test_bpe_cuts_at_token_boundaries():
     from tokenizers import Tokenizer
 
