@@ -72,6 +72,8 @@ def extract_includes(files: DataFrame) -> DataFrame:
 def statements(files: DataFrame) -> DataFrame:
     """(path, n, text, line, end_line, depth, container, opens): the statements of each file with line range, brace depth and innermost container."""
     clean = F.regexp_replace(without_comments(F.col("content"), strings=False), r"(?m)^[ \t]*#(?:[^\n\\]++|\\\r?\n|\\.)*+", "")
+    # a default value in braces, which ends with its parameter, is no block
+    clean = F.regexp_replace(clean, r"(=\s*)\{([^{};]*)\}(?=\s*[,)])", "$1($2)")
     rows = files.select("path", F.posexplode(F.split(clean, r"(?<=[;{}])|(?<=\b(?:public|protected|private):)")).alias("n", "raw"))
     w = Window.partitionBy("path").orderBy("n")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -66,7 +66,10 @@ def update_index(batch: DataFrame, index: str, extract: Callable[[DataFrame], Da
 
 def read_declarations(spark: SparkSession, index: str) -> DataFrame:
     """The declarations of the last whole batch."""
-    return generations.table_of(spark, index, generations.read_manifest(spark, index), "declarations").drop("part")
+    found = generations.table_of(spark, index, generations.read_manifest(spark, index), "declarations")
+    if found is None:
+        raise FileNotFoundError(f"no batch has been put into {index}")
+    return found.drop("part")
 
 
 def stream_index(files: DataFrame, index: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str, partitions: int = PARTITIONS) -> StreamingQuery:

@@ -459,7 +459,7 @@ def test_long_arguments(spark):
 
 def test_templates_in_one_another(spark):
     deep = "TMap<TPair<int, TArray<TSet<TWeak<A, B>>>>, C>"
-    code = f"class X {{\nvoid F({deep} A, int B = G(1 < 2, 3), char C = ',', char D = '(', int* E = P->Q(), {deep}& G);\nbool H(bool A = (x > y), TArray<int> B) const;\n}};\n"
+    code = f"class X {{\nvoid F({deep} A, int B = G(1 < 2, 3), char C = ',', char D = '(', int* E = P->Q(), {deep}& G = {{}});\nbool H(bool A = (x > y), TArray<int> B = {{1, 2}}) const;\n}};\n"
     got = {r.name: r for r in extract.extract_declarations(frame(spark, "path string, content string", ("a.h", code))).collect()}
     assert [(p.type, p.name) for p in got["F"].params] == [(deep, "A"), ("int", "B"), ("char", "C"), ("char", "D"), ("int*", "E"), (f"{deep}&", "G")]
     assert [p.name for p in got["H"].params] == ["A", "B"] and got["H"].is_const
