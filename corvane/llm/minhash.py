@@ -219,15 +219,25 @@ def _mixed(own: DataFrame) -> DataFrame:
     return told.where("lo < hi").where("indexed" if "indexed" in own.columns else "true").select("key", "n")
 
 
+def _first_shared(a: np.ndarray, a_indexed: np.ndarray, b: np.ndarray, b_indexed: np.ndarray) -> int | None:
+    """The smallest key of both that one is indexed by; keys are sorted."""
+    keys, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    hit = np.flatnonzero(a_indexed[i] | b_indexed[j])
+    return int(keys[hit[0]]) if len(hit) else None
+
+
 def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float, banded: bool) -> DataFrame:
     """(a, b): pairs of different components that share a bucket and whose signatures allow a link.
 
     A bucket of over BLOCK members is cut into blocks; each pair of blocks is one group, so groups are bounded
-    and a pair is given only if its signatures agree. banded: keys are bands, and a pair belongs to the first that it shares; else one member of a pair is indexed.
+    and a pair is given only if its signatures agree. banded: keys are bands, and a pair belongs to the first that it shares; else it belongs to the smallest
+    key that both have and one is indexed by.
     """
     sized = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = own.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     rows = rows.join(classes.select("node", "n_shingles", "bands", "signature"), "node")
+    if not banded:  # the keys of a node, which are as many as its text has rare shingles
+        rows = rows.join(own.join(mixed.select("key"), "key", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "indexed"))).alias("keys")), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def run(t: pa.Table) -> pa.Table:
@@ -237,6 +247,8 @@ def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float,
         band = int((keys[0] == key).argmax()) if banded else 0
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         indexed = None if banded else t["indexed"].to_numpy()
+        told = {} if banded else {x: (np.array([k["key"] for k in v]), np.array([k["indexed"] for k in v])) for x, v in zip(node.tolist(), t["keys"].to_pylist(), strict=True)}
+        first = lambda x, y: _first_shared(*told[x], *told[y]) == key
         a, b = [], []
         for x in left:
             others = right if banded or indexed[x] else right[indexed[right]]
@@ -247,11 +259,13 @@ def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float,
                 y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]  # an earlier bucket has this pair
             if len(y):
                 y = y[estimate((signed[y] == signed[x]).mean(axis=1)) >= least]
+                if not banded:
+                    y = y[[first(int(node[x]), int(node[z])) for z in y]] if len(y) else y
                 a += [node[x]] * len(y)
                 b += node[y].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = rows.select("key", "i", "j", "block", "node", "component", "n_shingles", "bands", "signature", *([] if banded else ["indexed"])).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    found = rows.select("key", "i", "j", "block", "node", "component", "n_shingles", "bands", "signature", *([] if banded else ["indexed", "keys"])).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
