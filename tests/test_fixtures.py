@@ -325,31 +325,27 @@ def test_a_failed_batch_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch)
     whole = f"file://{tmp_path}/whole"
     for batch in batches:
         jobs.update_index(frame(spark, VERSIONS, *batch), whole, declarations, partitions=3)
-    writes = [(jobs, "saved"), (generations, "write_partitions"), (generations, "put_manifest")]
-    for place, name in writes:
-        for late in (False, True):
-            for at in range(2):
-                index, calls = f"file://{tmp_path}/{name}-{late}-{at}", []
-                jobs.update_index(frame(spark, VERSIONS, *batches[0]), index, declarations, partitions=3)
-                before, real = told(index), getattr(place, name)
-
-                def fails(*a, at=at, late=late, real=real, calls=calls):
-                    calls.append(1)
-                    out = real(*a) if late and name != "put_manifest" or len(calls) <= at else None
-                    if len(calls) > at:
-                        raise OSError("lost")
-                    return out
-
-                with monkeypatch.context() as m:
-                    m.setattr(place, name, fails)
-                    if name == "put_manifest" and at:
-                        continue
-                    with pytest.raises(OSError):
-                        jobs.update_index(frame(spark, VERSIONS, *batches[1]), index, declarations, partitions=3)
-                assert told(index) == before
-                for _ in range(2):
-                    jobs.update_index(frame(spark, VERSIONS, *batches[1]), index, declarations, partitions=3)
-                    assert told(index) == told(whole)
+    writes = [(jobs, "saved", 0, False), (jobs, "saved", 1, True), (generations, "write_partitions", 0, True), (generations, "write_partitions", 1, False), (generations, "put_manifest", 0, False)]
+    for place, name, at, late in writes:  # the write that fails, and whether it has written before
+        index, calls = f"file://{tmp_path}/{name}-{at}", []
+        jobs.update_index(frame(spark, VERSIONS, *batches[0]), index, declarations, partitions=3)
+        before, real = told(index), getattr(place, name)
+
+        def fails(*a, at=at, late=late, real=real, calls=calls):
+            calls.append(1)
+            out = real(*a) if late or len(calls) <= at else None
+            if len(calls) > at:
+                raise OSError("lost")
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(place, name, fails)
+            with pytest.raises(OSError):
+                jobs.update_index(frame(spark, VERSIONS, *batches[1]), index, declarations, partitions=3)
+        assert told(index) == before
+        for _ in range(2):
+            jobs.update_index(frame(spark, VERSIONS, *batches[1]), index, declarations, partitions=3)
+            assert told(index) == told(whole)
     assert told(whole) == [("f0", "int z;"), ("f2", "int a2;  "), ("f2", "int b;")] + sorted((f"f{i}", x) for i in (3, 4, 5) for x in (f"int a{i};", "int b;")) + [("f9", "int n;")]
     assert generations.vacuum(spark, whole, keep=1) >= 1 and generations.vacuum(spark, whole, keep=1) == 0
     assert len(told(whole)) == 10
