@@ -1,4 +1,4 @@
-"""Cycles in directed graphs, in rows that grow with the edges.
+"""Cycles in directed graphs, in rows that grow with the edges, times the logarithm of the longest chain.
 
 1. Trimming: edges on no cycle go. Nodes with one edge out point on; doubled pointers tell where each such way ends, and if that is a node without an edge out, all of the way goes at once
    (the same for edges in). So a chain of any length costs a logarithm of rounds, not one a node.
