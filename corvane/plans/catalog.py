@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as fn
 from corvane.operators import extract, hierarchy, inspections, logs, postings, resolve, search, updates, usages
 from corvane.operators.tables import new_folder
-from corvane.plans import files, rules  # noqa: F401, they register their queries
+from corvane.plans import files, rules, trees  # noqa: F401, they register their queries
 from corvane.plans import standins as v
 from corvane.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from corvane.sources import readers
