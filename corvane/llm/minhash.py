@@ -12,7 +12,8 @@
 6. Buckets of over DIRECT classes of several components (texts with much in common, but less than the threshold) are not compared
    in pairs, so a class has a bounded number of direct pairs. Their classes are dealt anew by their rarest shingles. Of two sets of similarity t or more, with |A| <= |B|,
    the common part has 2t / (1 + t) |A| elements at least, so one of the |A| - 2t / (1 + t) |A| + 1 rarest of A is among the |B| - t |B| + 1 rarest of B: this loses no link.
-   What a family has in common is rare for none of its members, and texts that keep too little of their own rare part for the threshold never meet.
+   What a family has in common is rare for none of its members, and texts that keep too little of their own rare part for the threshold never meet. Nor are texts compared whose rarest shared shingle stands so late in
+   both that what comes behind it is too little for the threshold.
 
 The first confirmation takes the best pair of each class only; the other pairs count only while they join components.
 
@@ -219,11 +220,15 @@ def _mixed(own: DataFrame) -> DataFrame:
     return told.where("lo < hi").where("indexed" if "indexed" in own.columns else "true").select("key", "n")
 
 
-def _first_shared(a: np.ndarray, a_indexed: np.ndarray, b: np.ndarray, b_indexed: np.ndarray) -> int | None:
-    """The smallest key of both that one is indexed by; keys are sorted."""
-    keys, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    hit = np.flatnonzero(a_indexed[i] | b_indexed[j])
-    return int(keys[hit[0]]) if len(hit) else None
+def _first_shared(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int) -> int | None:
+    """The smallest key of both that one is indexed by, if what they may have in common from their rarest shared one on can reach the threshold.
+
+    a, b: sorted keys, whether they are indexed, how many shingles come behind each in the order of rarity, and the least size of the sets.
+    """
+    keys, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    most, sizes = 1 + np.minimum(a[2][i], b[2][j]), a[3][i] + b[3][j]
+    hit = np.flatnonzero(a[1][i] | b[1][j])
+    return int(keys[hit[0]]) if len(hit) and ((100 + percent) * most >= percent * sizes).any() else None
 
 
 def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float, banded: bool) -> DataFrame:
@@ -237,9 +242,11 @@ def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float,
     rows = own.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     rows = rows.join(classes.select("node", "n_shingles", "bands", "signature"), "node")
     if not banded:  # the keys of a node, which are as many as its text has rare shingles
-        rows = rows.join(own.join(mixed.select("key"), "key", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "indexed"))).alias("keys")), "node")
+        rows = rows.join(own.join(mixed.select("key"), "key", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "indexed", "rest", "size"))).alias("keys")), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
+    percent = round(100 * (least + SLACK))
+
     def run(t: pa.Table) -> pa.Table:
         node, part, size, block = (t[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
         signed, keys = matrix(t["signature"], np.uint8, MINIMA), matrix(t["bands"], np.int64, BANDS)
@@ -247,8 +254,8 @@ def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float,
         band = int((keys[0] == key).argmax()) if banded else 0
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         indexed = None if banded else t["indexed"].to_numpy()
-        told = {} if banded else {x: (np.array([k["key"] for k in v]), np.array([k["indexed"] for k in v])) for x, v in zip(node.tolist(), t["keys"].to_pylist(), strict=True)}
-        first = lambda x, y: _first_shared(*told[x], *told[y]) == key
+        told = {} if banded else {x: tuple(np.array([k[c] for k in v]) for c in ("key", "indexed", "rest", "size")) for x, v in zip(node.tolist(), t["keys"].to_pylist(), strict=True)}
+        first = lambda x, y: _first_shared(told[x], told[y], percent) == key
         a, b = [], []
         for x in left:
             others = right if banded or indexed[x] else right[indexed[right]]
@@ -270,7 +277,7 @@ def _across(own: DataFrame, mixed: DataFrame, classes: DataFrame, least: float,
 
 
 def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, node, indexed) for the rarest shingles of every text. texts: node, text.
+    """(key, node, indexed, rest, size) for the rarest shingles of every text: rest of them are more frequent, size is that of the set. texts: node, text.
 
     As many as any smaller set of that similarity must share one of; indexed are those that any larger one must share one of.
     """
@@ -289,7 +296,7 @@ def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
     # whole numbers: a quotient in floating point could round a length down
     upto = lambda share, of: F.expr(f"size - (size * {share} + {of - 1}) div {of} + 1")
     ranked = spread.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= upto(percent, 100))
-    return ranked.withColumn("indexed", F.col("rank") <= upto(2 * percent, 100 + percent)).groupBy("key", "node").agg(F.max("indexed").alias("indexed"))
+    return ranked.withColumn("indexed", F.col("rank") <= upto(2 * percent, 100 + percent)).groupBy("key", "node").agg(F.max("indexed").alias("indexed"), F.max(F.col("size") - F.col("rank")).alias("rest"), F.min("size").alias("size"))
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, save) -> DataFrame:
