@@ -112,3 +112,16 @@ def test_run_agrees_with_its_stages(spark, sf):
     for k, rows in ran.items():
         ids = t.encode(text[k], add_special_tokens=False).ids
         assert all(x == (len(ids), tuple(ids), len(text[k])) for x in rows)
+
+
+def test_stages_hand_small_batches_to_python(spark, tmp_path):
+    key, folder = "spark.sql.execution.arrow.maxBytesPerBatch", labels(spark, tmp_path)
+    before = spark.conf.get(key)
+    try:
+        for name, stage in pipeline.STAGES:
+            spark.conf.set(key, str(64 << 20))
+            stage(spark, documents(spark), folder)
+            if name != "mixing":  # no Python there
+                assert int(spark.conf.get(key).rstrip("b")) <= 1 << 20, name
+    finally:
+        spark.conf.set(key, before)
