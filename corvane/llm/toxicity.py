@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import binary_array, held_out, slices, small_batches, table, text_bytes, text_of, trimmed, word_spans
+from corvane.llm.common import binary_array, give_back, held_out, slices, small_batches, table, text_bytes, text_of, trimmed, word_spans
 
 DIM = 1 << 22
 SAMPLE, LEAST = 16_384, 4
@@ -118,21 +119,24 @@ def _known(row: np.ndarray, terms: np.ndarray) -> np.ndarray:
 
 
 def telling_in_pairs(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Which of the terms tell of the label in some pair. Rows are counted in blocks: two tables of len(terms) squared are held."""
+    """Which of the terms tell of the label in some pair. Two tables of len(terms) squared are held; rows are counted, and the tables read, in blocks."""
     n = len(terms)
     both, hits = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
-    for at in range(0, len(labels), 1024):
-        block = np.zeros((min(1024, len(labels) - at), n), np.float32)
+    for at in range(0, len(labels), 512):
+        block = np.zeros((min(512, len(labels) - at), n), np.float32)
         for i in range(len(block)):
             block[i, _known(flat[offsets[at + i] : offsets[at + i + 1]], terms)] = 1
-        both += block.T @ block
-        toxic = block[labels[at : at + 1024] > 0]
-        hits += toxic.T @ toxic
-    rows = np.maximum(np.diag(both), 1)[:, None]
-    rate = np.diag(hits)[:, None] / rows  # among the rows with the first of the pair
-    spread = both * rate * (1 - rate) * (1 - both / rows)
-    tells = (hits - both * rate) ** 2 >= TELLING_PAIR * spread
-    tells &= spread > 0
+        toxic = block[labels[at : at + 512] > 0]
+        for a in range(0, n, 256):
+            both[a : a + 256] += block[:, a : a + 256].T @ block
+            hits[a : a + 256] += toxic[:, a : a + 256].T @ toxic
+    tells = np.zeros((n, n), bool)
+    for a in range(0, n, 256):
+        own = both[a : a + 256]
+        rows = np.maximum(np.diag(both)[a : a + 256], 1)[:, None]
+        rate = np.diag(hits)[a : a + 256, None] / rows  # among the rows with the first of the pair
+        spread = own * rate * (1 - rate) * (1 - own / rows)
+        tells[a : a + 256] = ((hits[a : a + 256] - own * rate) ** 2 >= TELLING_PAIR * spread) & (spread > 0)
     return (tells & tells.T).any(axis=1)
 
 
@@ -153,6 +157,7 @@ def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Factorizat
     seen, hit = counts[terms].astype(float), hits[terms]
     alone = terms[(hit - seen * prior) ** 2 >= TELLING * seen * prior * (1 - prior)]
     frequent = np.sort(terms[np.lexsort((terms, -seen))[:PAIRED]])
+    del counts, hits, seen, hit
     terms = np.union1d(alone, frequent[telling_in_pairs(flat, offsets, labels, frequent)])
     n = len(terms)
     draw = np.random.default_rng(SEED)
@@ -162,7 +167,8 @@ def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Factorizat
     model.weights[n] = np.log((positive + 1) / (len(labels) - positive + 1))
     if positive in (0, len(labels)):
         return model
-    own = [_known(flat[offsets[i] : offsets[i + 1]], terms) for i in range(size)]
+    small = np.min_scalar_type(n)
+    own = [_known(flat[offsets[i] : offsets[i + 1]], terms).astype(small) for i in range(size)]
     gw, gv = np.full(n + 1, 1e-6), np.full((n + 1, FACTORS), 1e-6)
     for _ in range(EPOCHS):
         order = draw.permutation(size)
@@ -188,6 +194,28 @@ def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Factorizat
     return model
 
 
+def in_order(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, offsets and labels of all rows of (doc_id, toxic, terms), by doc_id. The batches are taken off the list one by
+    one and let go, so the terms are held once."""
+    ids, labels = (np.concatenate([b.column(c).to_numpy() for b in batches] or [np.zeros(0, np.int64)]) for c in ("doc_id", "toxic"))
+    sizes = np.concatenate([pc.list_value_length(b.column("terms")).to_numpy().astype(np.int64) for b in batches] or [np.zeros(0, np.int64)])
+    order = np.argsort(ids, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(sizes[order])])
+    place = np.empty(len(ids), np.int64)
+    place[order] = offsets[:-1]
+    flat = np.empty(offsets[-1], np.int32)
+    row = len(ids)
+    while batches:
+        lists = batches.pop().column("terms")
+        row -= len(lists)
+        held, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i, at in enumerate(place[row : row + len(lists)].tolist()):
+            flat[at : at + ends[i + 1] - ends[i]] = held[ends[i] : ends[i + 1]]
+        del lists, held, ends
+        give_back()
+    return flat, offsets, labels[order].astype(float)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on labelled rows that aren't held out. The driver gets the hashed terms of at most `sample` labelled ids."""
     small_batches(docs.sparkSession)
@@ -201,13 +229,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(terms.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), lists], ["doc_id", "toxic", "terms"])
 
-    got = both.mapInArrow(trimmed(run), "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    if not len(got):
-        return fit(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0))
-    lists = got["terms"].combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    return fit(lists.values.to_numpy(zero_copy_only=False), offsets, got["toxic"].to_numpy().astype(float))
+    model = fit(*in_order(both.mapInArrow(trimmed(run), "doc_id long, toxic int, terms array<int>").toArrow().to_batches()))
+    give_back()  # the driver's Python stays as small as before
+    return model
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "score") -> DataFrame:
