@@ -53,6 +53,16 @@ def match_property_names(asset_refs: DataFrame, symbols: DataFrame) -> DataFrame
     return names.join(symbols.select("symbol_id", F.col("name").alias("target_name")), "target_name").withColumn("match", F.lit("name")).select("asset_path", "target_name", "symbol_id", "match")
 
 
+def count_property_matches(asset_refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(target_name, n_matches, n_assets): the rows and the distinct assets that match_property_names gives for each name.
+
+    Every asset of a name meets every symbol of it, so the two sides are counted and the counts multiplied; no pair is made. An asset or a symbol without a path or number counts as a row there too.
+    """
+    assets = asset_refs.select("asset_path", "target_name").distinct().groupBy("target_name").agg(F.count("*").alias("_refs"), F.count("asset_path").alias("n_assets"))
+    own = symbols.groupBy(F.col("name").alias("target_name")).agg(F.count("*").alias("_symbols"))
+    return assets.join(own, "target_name").select("target_name", (F.col("_refs") * F.col("_symbols")).alias("n_matches"), "n_assets")
+
+
 def detect_module_aliases(refs: DataFrame, symbols: DataFrame, least: int = 1) -> DataFrame:
     """(old_module, new_module, n_classes): modules that references name but no symbol has, with the module that has most of those classes."""
     wanted = refs.select(F.col("target_module").alias("module"), F.col("target_name").alias("name")).distinct()
