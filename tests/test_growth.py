@@ -32,7 +32,7 @@ def test_counted_property_matches_equal_the_pairs(spark):
     assert got and got == sorted(map(tuple, pairs.collect()))
 
 
-@pytest.mark.parametrize("name", ["property_matches"])
+@pytest.mark.parametrize("name", ["property_matches", "whole_property_matches"])
 def test_a_name_of_very_many_symbols_and_assets(spark, tmp_path, name):
     """4 * 10^10 pairs, which are counted and not made."""
     n = 200_000
