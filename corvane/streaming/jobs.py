@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import bisect
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -19,6 +21,8 @@ from corvane.streaming import generations
 
 #: Index files are dealt over this many partitions by path, so a batch rewrites only those that its paths fall in.
 PARTITIONS = 64
+#: Keys of the state of live hangs, over which sessions are dealt.
+BUCKETS = 512
 
 
 def update_index(batch: DataFrame, index: str, extract: Callable[[DataFrame], DataFrame], partitions: int = PARTITIONS) -> None:
@@ -90,75 +94,96 @@ def slow_operations(ops: DataFrame, window: str = "1 hour", slow_ms: int = SLOW_
 
 
 class _Hangs(StatefulProcessor):
-    """Beats of a session: those that the watermark has passed are walked in order, the others wait. State: the last sign of life and the reports told of it."""
+    """Beats of a bucket of sessions: those that the watermark has passed are walked in order, all sessions at once, the others wait. State: rows (session, us, told), as Arrow tables of up to CHUNK rows; told is
+    the last report told of a session's last sign of life, or WAITS for a beat that waits. The bucket NONE holds the beats of no session."""
+
+    CHUNK, WAITS, NONE = 1 << 16, -1, -1
 
     def __init__(self, seconds: float, reports: tuple):
-        self.least, self.reports = round(seconds * 1_000_000), sorted(reports)
+        self.least, self.reports = round(seconds * 1_000_000), sorted(set(reports))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long, told int")
-        self.waiting = handle.getListState("waiting", "us long")
+        self.kept = handle.getListState("kept", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        times = [t for frame in rows for t in frame["ts"].dropna().astype("datetime64[us]").astype("int64")]
-        yield self._walked(key, times, timerValues)
+        yield self._walked(key, [f[["session", "us"]].assign(told=np.int32(self.WAITS)) for f in rows], timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._walked(key, [], timerValues)
 
-    def _walked(self, key: tuple, times: list[int], timers: TimerValues) -> pd.DataFrame:
+    def _walked(self, key: tuple, new: list[pd.DataFrame], timers: TimerValues) -> pd.DataFrame:
         passed = timers.getCurrentWatermarkInMs() * 1000
-        last, told = self.last.get() if self.last.exists() else (None, 0)
-        beats = sorted({*times, *(x[0] for x in self.waiting.get())})
-        settled = bisect.bisect_right(beats, passed)
-        rows: list[tuple] = []
-
-        def report(until: int) -> None:
-            nonlocal told
-            for r in self.reports:
-                if told < r and until - last >= r * 1_000_000:
-                    rows.append((key[0], last, float(r), r))
-                    told = r
-
-        for t in beats[:settled]:
-            if last is not None and t > last:
-                if t - last > self.least:
-                    rows.append((key[0], last, (t - last) / 1_000_000, None))
-                report(t)
-            if last is None or t > last:
-                last, told = t, 0
-        if last is not None:
-            report(passed)
-            self.last.update((int(last), told))
-        self.waiting.put([(int(t),) for t in beats[settled:]]) if settled < len(beats) else self.waiting.clear()
+        all_ = pd.concat([*(pa.ipc.open_stream(x[0]).read_pandas() for x in self.kept.get()), *new], ignore_index=True)
+        code, sessions = pd.factorize(all_["session"], use_na_sentinel=False)
+        us, told = all_["us"].to_numpy("int64"), all_["told"].to_numpy("int32")
+        is_last = told != self.WAITS
+        last = np.full(len(sessions), np.iinfo("int64").min)
+        last[code[is_last]] = us[is_last]
+        rows = np.flatnonzero(is_last | (us > last[code]))
+        rows = rows[np.lexsort((us[rows], code[rows]))]
+        code, us, told = code[rows], us[rows], told[rows]
+        first = np.ones(len(us), bool)
+        first[1:] = (code[1:] != code[:-1]) | (us[1:] != us[:-1])
+        code, us, told = code[first], us[first], told[first]
+        waits = us > passed
+        waiting = (code[waits], us[waits], told[waits])
+        code, us, told = code[~waits], us[~waits], np.maximum(told[~waits], 0)
+        ends = np.ones(len(us), bool)
+        ends[:-1] = code[1:] != code[:-1]
+        until = np.where(ends, passed, np.append(us[1:], 0))
+        gap = until - us
+        hung = ~ends & (gap > self.least)
+        found = [(code[hung], us[hung], gap[hung] / 1_000_000, None)]
+        now = told.copy()
+        for r in self.reports:
+            due = (told < r) & (gap >= r * 1_000_000)
+            found.append((code[due], us[due], np.full(due.sum(), float(r)), r))
+            now[due] = r
+        self._keep(sessions, *(np.concatenate(x) for x in zip((code[ends], us[ends], now[ends]), waiting, strict=True)))
+        # one timer for what is due first, a beat that waits or a report that is still to come; it fires once the watermark has reached it, so not in the batch that sets it, which would take it away again
+        dues = [us[ends & (now < r)] + r * 1_000_000 for r in self.reports] + [waiting[1]]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        # one timer for the next beat that waits, and one for each report that is still to come
-        due = ([] if last is None else [last + r * 1_000_000 for r in self.reports if r > told]) + beats[settled : settled + 1]
-        for at in {t // 1000 - 1 for t in due}:
-            self.handle.registerTimer(at)
-        got = pd.DataFrame(rows, columns=["session", "ts", "seconds", "report_at"])
-        return got.assign(ts=pd.to_datetime(got["ts"], unit="us"), report_at=got["report_at"].astype("Int32"))
+        if any(len(x) for x in dues):
+            self.handle.registerTimer(-(-int(min(x.min() for x in dues if len(x))) // 1000))
+        frames = [pd.DataFrame({"session": pd.Series(sessions).take(c).array if key[0] != self.NONE else np.full(len(c), None), "us": t, "seconds": s, "report_at": pd.array([r] * len(c), "Int32")}) for c, t, s, r in found]
+        return pd.concat(frames, ignore_index=True)
+
+    def _keep(self, sessions, code: np.ndarray, us: np.ndarray, told: np.ndarray) -> None:
+        chunks = []
+        for at in range(0, len(us), self.CHUNK):
+            part = slice(at, at + self.CHUNK)
+            table = pa.table({"session": pa.Array.from_pandas(pd.Series(sessions).take(code[part])), "us": us[part], "told": told[part]})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            chunks.append((sink.getvalue().to_pybytes(),))
+        self.kept.put(chunks) if chunks else self.kept.clear()
 
     def close(self) -> None:
         pass
 
 
-def stream_hangs(beats: DataFrame, seconds: float = 1.0, reports: tuple = REPORT_SECONDS, late: str = "10 minutes") -> DataFrame:
+def stream_hangs(beats: DataFrame, seconds: float = 1.0, reports: tuple = REPORT_SECONDS, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """(session, ts, seconds, report_at) from heartbeats (session, ts), whatever order they come in: a row with report_at null for each time without one that is longer than
     `seconds`, once a beat has ended it, and a row for each report, as soon as the watermark says that the session has been silent for so long, ended or not.
 
-    Beats wait in the state until the watermark passes them, so those that come late by less than `late` are put in their place. Needs the state store
-    that keeps timers and lists; it is set for the session where none is chosen.
+    Beats wait in the state until the watermark passes them, so those that come late by less than `late` are put in their place. Sessions (numbers, strings or other plain values) are dealt over `buckets`
+    keys of the state, each read, walked and written as a whole: a batch costs calls in proportion to buckets, not to sessions. More sessions than some millions want more buckets; their number can't change
+    once the stream has a checkpoint. Needs the state store that keeps timers and lists; it is set for the session where none is chosen.
     """
     store = "spark.sql.streaming.stateStore.providerClass"
     spark = beats.sparkSession
     if "RocksDB" not in spark.conf.get(store, ""):
         spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = beats.schema["session"].dataType.simpleString()
-    rows = beats.select("session", "ts").withWatermark("ts", late).groupBy("session")
-    return rows.transformWithStateInPandas(_Hangs(seconds, reports), f"session {kind}, ts timestamp, seconds double, report_at int", "Append", "EventTime")
+    bucket = F.when(F.col("session").isNull(), _Hangs.NONE).otherwise(F.pmod(F.xxhash64("session"), F.lit(buckets))).cast("int")
+    # no nulls among whole numbers, which pandas would turn into doubles
+    session = F.coalesce("session", F.lit(0).cast(kind)) if isinstance(beats.schema["session"].dataType, T.IntegralType) else F.col("session")
+    rows = beats.select("session", "ts").where("ts is not null").withWatermark("ts", late).select(bucket.alias("bucket"), session.alias("session"), "ts", F.unix_micros("ts").alias("us"))
+    told = rows.groupBy("bucket").transformWithStateInPandas(_Hangs(seconds, reports), f"session {kind}, us long, seconds double, report_at int", "Append", "EventTime")
+    return told.select("session", F.timestamp_micros("us").alias("ts"), "seconds", "report_at")
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:

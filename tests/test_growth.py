@@ -7,8 +7,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import resolve
+from corvane.operators import logs, resolve
 from corvane.plans.catalog import QUERIES
+from corvane.streaming import jobs
+from tests.compare import rows
 
 
 @contextlib.contextmanager
@@ -42,3 +44,24 @@ def test_a_name_of_very_many_symbols_and_assets(spark, tmp_path, name):
     with within(spark, 60):
         got = QUERIES[name](spark, f"file://{tmp_path}").collect()
     assert [tuple(r) for r in got] == [("bolt", n // 2 * n, n // 2)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_live_hangs_of_many_sessions(spark, tmp_path, kind):
+    """20,000 sessions, whose numbers a double can't hold, and beats of none beside them: what the batch operators tell, in a time that doesn't follow the sessions."""
+    n, big = 20_000, 2**53 + 1
+    name = F.expr(f"cast(case when id % {n + 1} < {n} then {big} + id % {n + 1} end as {kind})")
+    beats = spark.range(6 * (n + 1)).select(name.alias("session"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id").cast("long") * 1000 + F.pmod(F.xxhash64("id"), F.lit(20_000_000))).alias("ts"), "id")
+    for i in range(3):
+        beats.where(F.col("id").between(i * 2 * (n + 1), (i + 1) * 2 * (n + 1) - 1)).drop("id").coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(f"session {kind}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    with within(spark, 60):
+        got = jobs.finished(jobs.stream_hangs(stream, late="30 seconds"), "append").withColumn("session", F.col("session").cast("string")).toPandas()
+    everything = beats.select(F.col("session").cast("string").alias("session"), "ts")
+    seen = everything.agg(F.date_trunc("millisecond", F.max("ts")) - F.expr("interval 30 seconds")).first()[0]
+    passed = everything.where(F.col("ts") <= F.lit(seen))
+    ends = passed.select("session").distinct().withColumn("ts", F.lit(seen))
+    hangs = logs.detect_hangs(passed).toPandas()
+    reports = logs.hang_reports(logs.detect_hangs(passed.unionByName(ends).distinct())).select("session", "ts", "report_at").toPandas()
+    assert len(hangs) > n and rows(got[got.report_at.isna()][["session", "ts", "seconds"]]) == rows(hangs[["session", "ts", "seconds"]])
+    assert len(reports) > n and rows(got[got.report_at.notna()][["session", "ts", "report_at"]].astype({"report_at": int})) == rows(reports.astype({"report_at": int}))
