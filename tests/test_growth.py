@@ -4,12 +4,13 @@ import contextlib
 import random
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import logs, resolve
+from corvane.operators import logs, postings, resolve
 from corvane.plans.catalog import QUERIES
-from corvane.streaming import jobs
+from corvane.streaming import generations, jobs
 from tests.compare import rows
 
 
@@ -65,3 +66,39 @@ def test_live_hangs_of_many_sessions(spark, tmp_path, kind):
     reports = logs.hang_reports(logs.detect_hangs(passed.unionByName(ends).distinct())).select("session", "ts", "report_at").toPandas()
     assert len(hangs) > n and rows(got[got.report_at.isna()][["session", "ts", "seconds"]]) == rows(hangs[["session", "ts", "seconds"]])
     assert len(reports) > n and rows(got[got.report_at.notna()][["session", "ts", "report_at"]].astype({"report_at": int})) == rows(reports.astype({"report_at": int}))
+
+
+def test_posting_lists_equal_a_loop(spark):
+    """Slices of one text and of many; a character of two halves in UTF-16, a zero, letters without case, and lower cases that are longer than the capitals."""
+    draw = random.Random(8)
+    some = [None, "", "x", "ab"] + ["".join(draw.choice("aAbB \0é漢İ😀") for _ in range(draw.randint(0, 30))) for _ in range(40)]
+    texts = spark.createDataFrame([(f"t{i}", i * 10, False, t) for i, t in enumerate(some)] + [("gone", 1, True, "abc")], "text_id string, version long, deleted boolean, text string")
+    want = set()
+    for r in texts.select("text_id", "version", F.lower("text").alias("low")).where("text_id <> 'gone' and low is not null").collect():
+        want |= {(r.low[i : i + n], r.text_id, r.version) for n in (2, 3) for i in range(len(r.low) - n + 1)}
+    for most in (1, 100, 1 << 20):
+        got = sorted(map(tuple, postings._single(postings._posted(texts, 3, most)).collect()))
+        assert got == sorted(want)
+
+
+def test_texts_of_very_many_letters_are_numbered_apart():
+    """40,000 letters in each of 200,000 texts' slice would give numbers beyond 63 bits: such a slice is halved."""
+    many = "".join(map(chr, range(0x20000, 0x20000 + 40_000)))
+    texts = pa.array([many.encode()] + [b"abc"] * 200_000, pa.binary())
+    cuts = [(at, len(t)) for at, t in postings._slices(texts, 1 << 30)]
+    assert len(cuts) > 1 and sum(n for _, n in cuts) == 200_001 and all(at == sum(n for _, n in cuts[:i]) for i, (at, _) in enumerate(cuts))
+    grams, offsets, of = postings._runs([many, many[:3], ""], 3)
+    assert grams[:2] == [many[:3], many[1:4]] and offsets.tolist()[:3] == [0, 2, 3] and of.tolist()[:3] == [0, 1, 0] and len(grams) == 39_998
+
+
+def test_an_index_has_a_row_a_gram_and_slice(spark, tmp_path):
+    """3,000 texts with the same 20 grams or more: a list for each gram, not a row for each text of it."""
+    texts = spark.range(3000).select(F.col("id").alias("text_id"), F.lit("the same text").alias("text"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted")).coalesce(1)
+    index = f"file://{tmp_path}/postings"
+    postings.update_postings(texts, index, partitions=3)
+    have = generations.read_manifest(spark, index)
+    n = postings._all_grams(spark, index, have).count()
+    assert n >= 3000 * 20 and generations.table_of(spark, index, have, "grams0").count() <= n / 500
+    assert generations.table_of(spark, index, have, "counts").agg(F.sum("n")).first()[0] == n
+    queries = spark.createDataFrame([(1, "SAME"), (2, "xt"), (3, "none")], "query_id int, query string")
+    assert {(r.query_id, r["count"]) for r in postings.search_postings(spark, index, queries).groupBy("query_id").count().collect()} == {(1, 3000), (2, 3000)}
