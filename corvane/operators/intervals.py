@@ -14,9 +14,12 @@ Only for types that have descendants outside their own interval (interfaces, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.cycles import pointers
@@ -26,6 +29,8 @@ from corvane.operators.tables import saved
 
 #: Bits of a hash that order siblings inside a block; the others, 12, number the blocks.
 INSIDE = 52
+#: References of an asset from which on it isn't counted by one task; pairs that are sorted at once; bytes of a batch of them.
+HOT, PAIRS, BATCH = 1 << 20, 4 << 20, 4 << 20
 
 
 def split(inherits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,6 +186,75 @@ def meeting_places(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("i", "j", "n", F.col("least.up").alias("pre")).where("pre is not null")
 
 
+def _merged(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, and the sums of their counts."""
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    return at[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _distinct_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: rows (asset_path, ats), those of an asset one after another, become partial counts (at, n) of the assets that have each number."""
+    none = np.zeros(0, "int64")
+    at, n, waiting, size = none, none, [], 0
+    last, own = None, none  # of the asset that may go on in the next batch
+
+    def told(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        assets, lists = batch.column("asset_path"), batch.column("ats")
+        asset = assets.dictionary_encode().indices.to_numpy()
+        pairs = np.repeat(asset.astype("int64"), np.diff(lists.offsets.to_numpy()))
+        ats = lists.flatten().to_numpy().astype("int64")
+        if last is not None:
+            if assets[0] == last:
+                pairs, ats = np.append(pairs, np.full(len(own), asset[0])), np.append(ats, own)
+            else:
+                waiting, size = [*waiting, own], size + len(own)
+        most = int(ats.max(initial=0)) + 1
+        key = np.sort(pairs * most + ats)
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+        pairs, ats = np.divmod(key, most)
+        goes_on = pairs == asset[-1]
+        last, own = assets[-1], ats[goes_on]
+        waiting, size = [*waiting, ats[~goes_on]], size + len(ats) - len(own)
+        if size >= PAIRS:
+            found = np.concatenate(waiting)
+            at, n = _merged(np.append(at, found), np.append(n, np.ones(len(found), "int64")))
+            waiting, size = [], 0
+            if len(at) >= PAIRS:
+                yield told(at, n)
+                at, n = none, none
+    found = np.concatenate([*waiting, own])
+    yield told(*_merged(np.append(at, found), np.append(n, np.ones(len(found), "int64"))))
+
+
+def assets_inside(cool: DataFrame, many: DataFrame | None, outer: DataFrame, labels: DataFrame) -> DataFrame:
+    """(symbol_id, n_assets): distinct assets of the places (asset_path, pre) in the intervals of each type of outer.
+
+    A place has one list of the types that hold it, and goes with it to the task of its asset, which tells the asset's types apart and counts them: pairs of a type and an asset are no rows. Assets of
+    very many places are given apart, as `many`, and dealt by type too, as rows.
+    """
+    own = labels.select(F.col("type_id").alias("ancestor_id"), F.col("pre").alias("at"))
+    levels = _levels(labels)
+    places = cool.select("pre") if many is None else cool.select("pre").unionByName(many.select("pre"))
+    inside = _inside(outer.join(own, "ancestor_id").select(F.col("at").alias("ancestor_id"), "pre", "last"), places, levels).withColumnRenamed("ancestor_id", "at")
+    lists = saved(inside.groupBy("pre").agg(F.collect_list(F.col("at").cast("int" if levels < 31 else "long")).alias("ats")), "types-above")
+    spark, batch = labels.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(batch).rstrip("b")) > BATCH:
+        spark.conf.set(batch, str(BATCH))
+    told = cool.join(lists, "pre").select("asset_path", "ats").repartition("asset_path").sortWithinPartitions("asset_path")
+    counts = told.mapInArrow(_distinct_counts, "at long, n long")
+    if many is not None:
+        pairs = many.join(lists, "pre").select("asset_path", F.explode("ats").alias("at")).withColumn("at", F.col("at").cast("long")).distinct()
+        counts = counts.unionByName(pairs.groupBy("at").agg(F.count("*").alias("n")))
+    return counts.groupBy("at").agg(F.sum("n").alias("n_assets")).join(own, "at").select(F.col("ancestor_id").alias("symbol_id"), "n_assets")
+
+
 def usage_with_derived(refs: DataFrame, labels: DataFrame, outer: DataFrame) -> DataFrame:
     """(symbol_id, n_assets): distinct assets that use a type or one derived from it. refs: symbol_id, asset_path.
 
@@ -189,13 +263,17 @@ def usage_with_derived(refs: DataFrame, labels: DataFrame, outer: DataFrame) ->
     """
     used = saved(refs.select("symbol_id", "asset_path").where("symbol_id is not null and asset_path is not null").distinct(), "used")
     placed = saved(used.join(labels.select(F.col("type_id").alias("symbol_id"), "pre"), "symbol_id").select("asset_path", "pre"), "used-places")
-    near = scan(placed, ["asset_path"], ["pre"], line_block("pre"), nexts={"next": F.col("pre")}).where("next is not null")
+    hot = saved(placed.groupBy("asset_path").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("asset_path"), "hot-assets")
+    cool, many = (placed, None) if hot.isEmpty() else (placed.join(hot, "asset_path", "left_anti"), placed.join(hot, "asset_path", "left_semi"))
+    near = cool.withColumn("next", F.lead("pre").over(Window.partitionBy("asset_path").orderBy("pre")))
+    if many is not None:
+        near = near.unionByName(scan(many, ["asset_path"], ["pre"], line_block("pre"), nexts={"next": F.col("pre")}))
+    near = near.where("next is not null")
     met = meeting_places(labels, near.groupBy(F.col("pre").alias("i"), F.col("next").alias("j")).agg(F.count("*").alias("n")))
     values = placed.groupBy("pre").agg(F.count("*").alias("x")).unionByName(met.select("pre", (-F.col("n")).alias("x")))
     own = sums_below(labels, values).where("total > 0").select(F.col("type_id").alias("symbol_id"), F.col("total").alias("n_assets"))
     alone = used.join(labels.select(F.col("type_id").alias("symbol_id")), "symbol_id", "left_anti").groupBy("symbol_id").agg(F.count("*").alias("n_assets"))
     if outer.isEmpty():
         return own.unionByName(alone)
-    inside = _inside(outer, placed.select("pre"), _levels(labels))
-    wide = inside.join(placed, "pre").select(F.col("ancestor_id").alias("symbol_id"), "asset_path").distinct().groupBy("symbol_id").agg(F.count("*").alias("n_assets"))
+    wide = assets_inside(cool, many, outer, labels)
     return own.join(outer.select(F.col("ancestor_id").alias("symbol_id")).distinct(), "symbol_id", "left_anti").unionByName(wide).unionByName(alone)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import logs, postings, resolve
+from corvane.operators import intervals, logs, postings, resolve
 from corvane.plans.catalog import QUERIES
 from corvane.streaming import generations, jobs
 from tests.compare import rows
@@ -102,3 +102,49 @@ def test_an_index_has_a_row_a_gram_and_slice(spark, tmp_path):
     assert generations.table_of(spark, index, have, "counts").agg(F.sum("n")).first()[0] == n
     queries = spark.createDataFrame([(1, "SAME"), (2, "xt"), (3, "none")], "query_id int, query string")
     assert {(r.query_id, r["count"]) for r in postings.search_postings(spark, index, queries).groupBy("query_id").count().collect()} == {(1, 3000), (2, 3000)}
+
+
+@pytest.mark.parametrize("hot", [40, 1 << 20])
+def test_assets_of_types_with_several_parents_equal_walks(spark, monkeypatch, hot):
+    """An asset with a third of all references, in batches of a few rows, counted by one task and (beyond HOT) dealt by type."""
+    monkeypatch.setattr(intervals, "HOT", hot)
+    draw = random.Random(12)
+    edges = [(i, i // 3) for i in range(1, 300)] + [(i, i // 5) for i in range(1, 300) if i % 7 == 3]
+    refs = [(draw.randrange(310), draw.choice([f"a{draw.randrange(60)}", f"b{draw.randrange(300)}", "hot"])) for _ in range(900)]
+    up = {}
+    for c, p in sorted(edges):
+        up.setdefault(c, {c}).update(up.setdefault(p, {p}))
+    for c, p in sorted(edges):
+        up[c] |= up[p]
+    want = {}
+    for s, a in refs:
+        for t in up.get(s, {s}):
+            want.setdefault(t, set()).add(a)
+    labels, extra = intervals.label(spark.createDataFrame(edges, "child_id long, parent_id long"))
+    outer = intervals.intervals(labels, extra)
+    key, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        got = {r.symbol_id: r.n_assets for r in intervals.usage_with_derived(spark.createDataFrame(refs, "symbol_id long, asset_path string"), labels, outer).collect()}
+    finally:
+        spark.conf.set(key, was)
+    assert got == {t: len(a) for t, a in want.items()}
+
+
+def test_types_and_assets_are_told_apart_in_tasks(monkeypatch):
+    """Batches that cut an asset in two, tables of counts that are handed on before the end."""
+    monkeypatch.setattr(intervals, "PAIRS", 20)
+    draw = random.Random(4)
+    rows_ = sorted((draw.randrange(50), [draw.randrange(30) for _ in range(draw.randint(0, 6))]) for _ in range(400))
+    want = {}
+    for a, ats in rows_:
+        for t in ats:
+            want.setdefault(t, set()).add(a)
+    for size in (1, 9, 400):
+        batches = (pa.record_batch({"asset_path": [f"a{a}" for a, _ in rows_[i : i + size]], "ats": pa.array([t for _, t in rows_[i : i + size]], pa.list_(pa.int32()))}) for i in range(0, 400, size))
+        got = {}
+        for b in intervals._distinct_counts(batches):
+            for at, n in zip(b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True):
+                got[at] = got.get(at, 0) + n
+        assert got == {t: len(a) for t, a in want.items()}
+    assert sum(b.num_rows for b in intervals._distinct_counts(iter([]))) == 0
